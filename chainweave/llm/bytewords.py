@@ -101,7 +101,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[n
 def chained(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive values of h (len(h) - k + 1 of them)."""
     n = max(0, len(h) - k + 1)
-    out = np.full(n, U(k) * BASE, dtype=np.uint64)
+    out = np.full(n, U(k * int(BASE) % 2**64), dtype=np.uint64)
     for i in range(k):
         out = mix(out * U(0xD6E8FEB86659FD93) + h[i : i + n])
     return out

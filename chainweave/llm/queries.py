@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import chat, decontaminate, mixing, sharding
+from chainweave.llm import chat, decontaminate, language, mixing, ngram_join, sharding, spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_language": language.op3_language,
     "op5_chat": chat.op5_chat,
+    "op6_fingerprints": spotsigs.op6_fingerprints,
     "op9_mix_plan": mixing.op9_mix_plan,
     "op10_shards": sharding.op10_shards,
 }
 
 SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
 }
