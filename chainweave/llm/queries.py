@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import chat, decontaminate, language, mixing, ngram_join, sharding, spotsigs
+from chainweave.llm import chat, collinear, decontaminate, language, mixing, ngram_join, sharding, spotsigs, suffix_dedup, suffix_tree_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language": language.op3_language,
+    "op4_suffix_tree": suffix_tree_lm.op4_suffix_tree,
     "op5_chat": chat.op5_chat,
     "op6_fingerprints": spotsigs.op6_fingerprints,
+    "op7_passages": collinear.op7_passages,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_mix_plan": mixing.op9_mix_plan,
     "op10_shards": sharding.op10_shards,
 }
