@@ -87,8 +87,11 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     return np.floor(np.log2(np.maximum(1.0, counts - mean - 4 * np.sqrt(mean)))).astype(np.uint8)
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """(L, first shingles in the global order) of a set, L being the one of least estimated cost."""
+def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[int, int, np.ndarray]:
+    """(L, rarity, first shingles in the global order) of a set, L being the one of least estimated cost.
+
+    Rarity is 0 to 255: low for a set of frequent shingles, which is the middle of its group.
+    """
     n = len(s)
     need = int(needed(n, percent))
     level = levels[s >> bw.U(64 - SKETCH_BITS)]
@@ -103,32 +106,32 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[int, np.nda
         c = size + VERIFY_COST * partners[size - 1] / ell
         if cost is None or c < cost:
             best, cost = ell, c
-    return best, s[order[: n - need + best]]
+    return best, int(255 - 8 * level.mean()), s[order[: n - need + best]]
 
 
 def sketch_sets(docs: DataFrame, levels: Broadcast, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, ell, set_key, prefix) of every document."""
+    """(doc_id, n, ell, rarity, set_key, prefix) of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "ell", "set_key", "prefix"]
+        names = ["doc_id", "n", "ell", "rarity", "set_key", "prefix"]
 
         def out(held: list) -> pa.RecordBatch:
             cols = list(zip(*held, strict=True))
-            off = np.concatenate([[0], np.cumsum([len(x) for x in cols[4]])]).astype(np.int32)
-            flat = pa.array(np.concatenate(cols[4]).view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.ListArray.from_arrays(off, flat)], names=names)
+            off = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype(np.int32)
+            flat = pa.array(np.concatenate(cols[5]).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.ListArray.from_arrays(off, flat)], names=names)
 
         held: list = []
         for i, s in doc_sets(batches, k):
-            ell, p = prefix(s, levels.value, percent) if len(s) else (1, s)
-            held.append((i, len(s), ell, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), p))
+            ell, rarity, p = prefix(s, levels.value, percent) if len(s) else (1, 255, s)
+            held.append((i, len(s), ell, rarity, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), p))
             if len(held) == 500:
                 yield out(held)
                 held = []
         if held:
             yield out(held)
 
-    return docs.mapInArrow(rows, "doc_id long, n long, ell int, set_key binary, prefix array<long>")
+    return docs.mapInArrow(rows, "doc_id long, n long, ell int, rarity int, set_key binary, prefix array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -174,26 +177,46 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
     filled = every.where("n > 0 and doc_id is not null")
     firsts = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = filled.join(firsts, (filled.set_key == firsts.set_key) & (filled.doc_id == firsts.rep), "left_semi").dropDuplicates(["doc_id"])
-    post = reps.select(F.explode("prefix").alias("tok"), "doc_id", (F.col("n") * 32 + F.col("ell")).alias("meta"))
+    post = reps.select("doc_id", (F.col("n") * 32 + F.col("ell")).alias("meta"), "rarity", F.posexplode("prefix").alias("pos", "tok"))
+    post = post.select("tok", "doc_id", "meta", (F.col("pos").cast("long") * 256 + F.col("rarity")).alias("spot"))
     token = Window.partitionBy("tok")
     post = stage_table(post.withColumn("df", F.count("*").over(token)).where("df > 1").drop("df"), "postings")
 
-    def fits(a: str, b: str):
-        n, m = F.expr(f"{a} div 32"), F.expr(f"{b} div 32")
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    def overlap(a: str, b: str) -> str:
+        """Shingles that a linked pair shares at least, as SQL: ceil(t (n + m) / (1 + t))."""
+        return f"(({percent} * ({a} div 32 + {b} div 32) + {99 + percent}) div {100 + percent})"
+
+    def fits(a: str, b: str, i: str, j: str):
+        """Whether two sets that meet at places i and j of the global order can be alike at all."""
+        n, m, i, j = f"({a} div 32)", f"({b} div 32)", f"({i} div 256)", f"({j} div 256)"
+        return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {overlap(a, b)}")
+
+    def matches(a: str, b: str):
+        """Prefix shingles that a pair shares at least.
+
+        Of the two, the one whose prefix ends first has all its matches up to there inside both
+        prefixes, and need - L shingles behind it.
+        """
+        behind = F.greatest(*[F.expr(f"({percent} * ({x} div 32) + 99) div 100 - {x} % 32") for x in (a, b)])
+        return F.greatest(F.least(F.col(a) % 32, F.col(b) % 32), F.expr(overlap(a, b)) - behind)
 
     links, open_ = None, post.withColumn("comp", F.col("doc_id"))
     for turn in range(rounds):
-        lead = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "meta", "comp")).over(token)
-        pairs = open_.withColumn("lead", lead).where("lead.comp <> comp").where(fits("meta", "lead.meta"))
-        pairs = pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
+        middle = F.col("spot") % 256 if turn == 0 else F.lit(0)
+        lead = F.min(F.struct(middle.alias("r"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "meta", "spot", "comp")).over(token)
+        pairs = open_.withColumn("lead", lead).where("lead.comp <> comp")
+        pairs = pairs.select("doc_id", "meta", "spot", F.col("lead.doc_id").alias("lead"), F.col("lead.meta").alias("lead_meta"), F.col("lead.spot").alias("lead_spot"))
+        pairs = pairs.where(fits("meta", "lead_meta", "spot", "lead_spot")).groupBy("doc_id", "lead", "meta", "lead_meta").agg(F.count("*").alias("n"))
+        # a pair may share more shingles, led by others: what is left out here comes up again below
+        pairs = pairs.where(2 * F.col("n") >= matches("meta", "lead_meta"))
+        pairs = pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
         fresh = stage_table(verified(known, stage_table(pairs, "pairs"), k, percent), "links")
         links = fresh if links is None else links.unionByName(fresh)
         open_ = still_open(post, connected_components(links), token)
-    mine = open_.select("tok", F.col("doc_id").alias("a"), F.col("meta").alias("ma"), F.col("comp").alias("ca"))
-    other = open_.select("tok", F.col("doc_id").alias("b"), F.col("meta").alias("mb"), F.col("comp").alias("cb"))
-    pairs = mine.join(other, "tok").where("a < b and ca <> cb").where(fits("ma", "mb"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least(F.col("ma") % 32, F.col("mb") % 32)).alias("ell")).where("n >= ell")
+    mine = open_.select("tok", F.col("doc_id").alias("a"), F.col("meta").alias("ma"), F.col("spot").alias("sa"), F.col("comp").alias("ca"))
+    other = open_.select("tok", F.col("doc_id").alias("b"), F.col("meta").alias("mb"), F.col("spot").alias("sb"), F.col("comp").alias("cb"))
+    pairs = mine.join(other, "tok").where("a < b and ca <> cb").where(fits("ma", "mb", "sa", "sb"))
+    pairs = pairs.groupBy("a", "b", "ma", "mb").agg(F.count("*").alias("n")).where(F.col("n") >= matches("ma", "mb"))
     fresh = verified(known, stage_table(pairs.select("a", "b"), "pairs"), k, percent)
     comps = connected_components(links.unionByName(fresh)).select(F.col("node").alias("rep"), F.col("component"))
     out = every.select("doc_id", "n", "set_key").join(firsts, "set_key", "left").join(comps, "rep", "left")
@@ -204,9 +227,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
 def still_open(post: DataFrame, comps: DataFrame, token) -> DataFrame:
     """Postings of the tokens that stand in more than one component."""
     named = post.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.select("tok", "doc_id", "meta", F.coalesce("component", "doc_id").alias("comp"))
+    named = named.select("tok", "doc_id", "meta", "spot", F.coalesce("component", "doc_id").alias("comp"))
     spread = named.withColumn("lo", F.min("comp").over(token)).withColumn("hi", F.max("comp").over(token))
-    return stage_table(spread.where("lo < hi").select("tok", "doc_id", "meta", "comp"), "postings")
+    return stage_table(spread.where("lo < hi").select("tok", "doc_id", "meta", "spot", "comp"), "postings")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
