@@ -180,16 +180,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
     post = reps.select("doc_id", (F.col("n") * 32 + F.col("ell")).alias("meta"), "rarity", F.posexplode("prefix").alias("pos", "tok"))
     post = post.select("tok", "doc_id", "meta", (F.col("pos").cast("long") * 256 + F.col("rarity")).alias("spot"))
     token = Window.partitionBy("tok")
-    post = stage_table(post.withColumn("df", F.count("*").over(token)).where("df > 1").drop("df"), "postings")
+    post = stage_table(post.withColumn("df", F.count("*").over(token)).where("df > 1").drop("df"), "shared")
+    # Shingles before a posting that no other prefix has are in no partner that meets there: of the
+    # others there are ``room``, which with those from the posting on must reach what a partner needs.
+    before = Window.partitionBy("doc_id").orderBy("spot")
+    post = post.withColumn("room", F.row_number().over(before) - 1)
+    post = post.where(f"room + meta div 32 - spot div 256 >= ({percent} * (meta div 32) + 99) div 100")
+    post = stage_table(post, "postings")
 
     def overlap(a: str, b: str) -> str:
         """Shingles that a linked pair shares at least, as SQL: ceil(t (n + m) / (1 + t))."""
         return f"(({percent} * ({a} div 32 + {b} div 32) + {99 + percent}) div {100 + percent})"
 
-    def fits(a: str, b: str, i: str, j: str):
-        """Whether two sets that meet at places i and j of the global order can be alike at all."""
+    def fits(a: str, b: str, i: str, j: str, r: str, q: str):
+        """Whether two sets that meet at places i and j of the global order, with room r and q, can be alike at all."""
         n, m, i, j = f"({a} div 32)", f"({b} div 32)", f"({i} div 256)", f"({j} div 256)"
-        return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {overlap(a, b)}")
+        return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({r}, {q}) + least({n} - {i}, {m} - {j}) >= {overlap(a, b)}")
 
     def matches(a: str, b: str):
         """Prefix shingles that a pair shares at least.
@@ -202,20 +208,21 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
 
     links, open_ = None, post.withColumn("comp", F.col("doc_id"))
     for turn in range(rounds):
-        middle = F.col("spot") % 256 if turn == 0 else F.lit(0)
-        lead = F.min(F.struct(middle.alias("r"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "meta", "spot", "comp")).over(token)
+        # first the middle of each group leads, then a different document for each shingle
+        first = (F.col("spot") % 256, F.xxhash64("doc_id")) if turn == 0 else (F.lit(0), F.xxhash64("doc_id", "tok", F.lit(turn)))
+        lead = F.min(F.struct(first[0].alias("r"), first[1].alias("h"), "doc_id", "meta", "spot", "room", "comp")).over(token)
         pairs = open_.withColumn("lead", lead).where("lead.comp <> comp")
-        pairs = pairs.select("doc_id", "meta", "spot", F.col("lead.doc_id").alias("lead"), F.col("lead.meta").alias("lead_meta"), F.col("lead.spot").alias("lead_spot"))
-        pairs = pairs.where(fits("meta", "lead_meta", "spot", "lead_spot")).groupBy("doc_id", "lead", "meta", "lead_meta").agg(F.count("*").alias("n"))
+        pairs = pairs.select("doc_id", "meta", "spot", "room", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("doc_id", "meta", "spot", "room")])
+        pairs = pairs.where(fits("meta", "lead_meta", "spot", "lead_spot", "room", "lead_room")).groupBy("doc_id", "lead_doc_id", "meta", "lead_meta").agg(F.count("*").alias("n"))
         # a pair may share more shingles, led by others: what is left out here comes up again below
-        pairs = pairs.where(2 * F.col("n") >= matches("meta", "lead_meta"))
-        pairs = pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+        pairs = pairs.where(2 * F.col("n") >= matches("meta", "lead_meta")) if turn == 0 else pairs
+        pairs = pairs.select(F.least("doc_id", "lead_doc_id").alias("a"), F.greatest("doc_id", "lead_doc_id").alias("b")).distinct()
         fresh = stage_table(verified(known, stage_table(pairs, "pairs"), k, percent), "links")
         links = fresh if links is None else links.unionByName(fresh)
         open_ = still_open(post, connected_components(links), token)
-    mine = open_.select("tok", F.col("doc_id").alias("a"), F.col("meta").alias("ma"), F.col("spot").alias("sa"), F.col("comp").alias("ca"))
-    other = open_.select("tok", F.col("doc_id").alias("b"), F.col("meta").alias("mb"), F.col("spot").alias("sb"), F.col("comp").alias("cb"))
-    pairs = mine.join(other, "tok").where("a < b and ca <> cb").where(fits("ma", "mb", "sa", "sb"))
+    mine = open_.select("tok", F.col("doc_id").alias("a"), F.col("meta").alias("ma"), F.col("spot").alias("sa"), F.col("room").alias("ra"), F.col("comp").alias("ca"))
+    other = open_.select("tok", F.col("doc_id").alias("b"), F.col("meta").alias("mb"), F.col("spot").alias("sb"), F.col("room").alias("rb"), F.col("comp").alias("cb"))
+    pairs = mine.join(other, "tok").where("a < b and ca <> cb").where(fits("ma", "mb", "sa", "sb", "ra", "rb"))
     pairs = pairs.groupBy("a", "b", "ma", "mb").agg(F.count("*").alias("n")).where(F.col("n") >= matches("ma", "mb"))
     fresh = verified(known, stage_table(pairs.select("a", "b"), "pairs"), k, percent)
     comps = connected_components(links.unionByName(fresh)).select(F.col("node").alias("rep"), F.col("component"))
@@ -227,9 +234,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
 def still_open(post: DataFrame, comps: DataFrame, token) -> DataFrame:
     """Postings of the tokens that stand in more than one component."""
     named = post.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.select("tok", "doc_id", "meta", "spot", F.coalesce("component", "doc_id").alias("comp"))
+    named = named.select("tok", "doc_id", "meta", "spot", "room", F.coalesce("component", "doc_id").alias("comp"))
     spread = named.withColumn("lo", F.min("comp").over(token)).withColumn("hi", F.max("comp").over(token))
-    return stage_table(spread.where("lo < hi").select("tok", "doc_id", "meta", "spot", "comp"), "postings")
+    return stage_table(spread.where("lo < hi").select("tok", "doc_id", "meta", "spot", "room", "comp"), "postings")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
