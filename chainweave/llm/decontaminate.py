@@ -30,12 +30,11 @@ def word_count(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(len, hash, window, items) of distinct windows: items are the ids, as text, that have the window."""
+    """(len, window, items) of distinct windows: items are the ids, as text, that have the window."""
     w = items.select(F.col("item_id").cast("string").alias("item"), word_list(F.col("text")).alias("words")).where("size(words) > 0 and item is not null")
     w = w.withColumn("len", F.least(F.size("words"), F.lit(k)))
     w = w.select("item", "len", F.explode(F.expr("transform(sequence(1, size(words) - len + 1), i -> slice(words, i, len))")).alias("ws"))
-    w = w.select("item", "len", F.expr("xxhash64(transform(ws, x -> xxhash64(x)))").alias("hash"), F.array_join("ws", " ").alias("window"))
-    return w.groupBy("len", "hash", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return w.select("item", "len", F.array_join("ws", " ").alias("window")).groupBy("len", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -43,13 +42,15 @@ def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, max_broadcast: int
     windows = item_windows(items, k)
     sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # k rows at most
     few = sum(sizes.values()) <= max_broadcast
-    w = windows.select(F.col("len").alias("w_len"), F.col("hash").alias("w_hash"), "window", "items")
     out = None
     for n in sorted(sizes):
         rows = docs.select("doc_id", word_list(F.col("text")).alias("words")).where(f"size(words) >= {n}")
         rows = rows.withColumn("hashes", F.expr("transform(words, x -> xxhash64(x))"))
-        rows = rows.select("doc_id", "words", F.posexplode(F.expr(f"transform(sequence(1, size(hashes) - {n - 1}), i -> xxhash64(slice(hashes, i, {n})))")).alias("start", "hash"))
-        own = w.where(f"w_len = {n}")
+        # single items, not slice(): inside a lambda that copies the whole array for each window
+        parts = ", ".join(f"hashes[i + {j}]" for j in range(n))
+        rows = rows.select("doc_id", "words", F.posexplode(F.expr(f"transform(sequence(0, size(hashes) - {n}), i -> xxhash64({parts}))")).alias("start", "hash"))
+        own_words = F.split("window", " ")
+        own = windows.where(f"len = {n}").select(F.xxhash64(*[F.xxhash64(own_words[j]) for j in range(n)]).alias("w_hash"), "window", "items")
         found = rows.join(F.broadcast(own) if few else own, F.col("hash") == F.col("w_hash"))
         found = found.where(F.expr(f"array_join(slice(words, start + 1, {n}), ' ') = window")).select("doc_id", "start", F.lit(n).alias("len"), "items")
         out = found if out is None else out.unionByName(found)
