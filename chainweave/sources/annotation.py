@@ -22,11 +22,11 @@ def read_gtf(spark: SparkSession, path: str, sample: str) -> DataFrame:
         F.lit(sample).alias("dset"),
         F.col("c")[0].alias("seq"),
         F.col("c")[6].alias("strand"),
-        F.least(a, b).alias("s"),
+        F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)).alias("s"),
         F.greatest(a, b).alias("e"),
         F.lower(F.col("c")[2]).alias("kind"),
     )
-    return out.where("kind like '%exon' and s is not null and e is not null and tid <> ''").drop("kind")
+    return out.where("kind like '%exon' and s is not null and tid <> ''").drop("kind")
 
 
 def read_bed(spark: SparkSession, path: str, sample: str) -> DataFrame:
