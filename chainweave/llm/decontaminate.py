@@ -20,13 +20,25 @@ WINDOW = 10
 MAX_BROADCAST_WINDOWS = 500_000
 
 
+#: The ASCII characters that part words; none of them is special to trim.
+PARTING = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
+def _split(text: Column, parts: str) -> Column:
+    """Words of a text; trimmed first, so that no empty word needs to be filtered out."""
+    return F.when(F.trim(text, F.lit(PARTING)) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(text, F.lit(PARTING)), parts))
+
+
 def word_list(text: Column) -> Column:
     """Lower-cased (A to Z) words; null has none."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, PLAIN), NOT_WORD), "")
+    text = F.coalesce(text, F.lit(""))
+    # lower() is the faster, and the same for plain ASCII
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, PLAIN))
+    return _split(low, NOT_WORD)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD_ANY_CASE), "")).cast("long")
+    return F.size(_split(F.coalesce(text, F.lit("")), NOT_WORD_ANY_CASE)).cast("long")
 
 
 def item_windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -41,20 +53,31 @@ def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, max_broadcast: int
     """(doc_id, start, len, items) for every place where an item's window occurs; start counts words from 0."""
     windows = item_windows(items, k)
     sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # k rows at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, start int, len int, items array<string>")
+    lens = sorted(sizes)
+    rows = docs.select("doc_id", word_list(F.col("text")).alias("words"))
+    rows = rows.withColumn("hashes", F.expr(f"case when size(words) >= {lens[0]} then transform(words, x -> xxhash64(x)) end"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, lens))).alias("len"))
+    # coalesce: of a plain column, Spark would infer a filter that splits and hashes every text twice
+    rows = rows.select("doc_id", "words", "hashes", "len", F.posexplode(F.coalesce("hashes", F.array().cast("array<bigint>"))).alias("start", "first"))
+    rows = rows.where("start + len <= size(hashes)")
+
+    def combined(hash_at) -> Column:
+        """Hash of a window from those of its words."""
+        out = F.lit(None).cast("long")
+        for n in lens:
+            out = F.when(F.col("len") == n, F.xxhash64(*[hash_at(j) for j in range(n)])).otherwise(out)
+        return out
+
+    rows = rows.withColumn("hash", combined(lambda j: F.get("hashes", F.col("start") + j)))
+    own_words = F.split("window", " ")
+    own = windows.select(F.col("len").alias("w_len"), combined(lambda j: F.xxhash64(F.get(own_words, F.lit(j)))).alias("w_hash"), "window", "items")
     few = sum(sizes.values()) <= max_broadcast
-    out = None
-    for n in sorted(sizes):
-        rows = docs.select("doc_id", word_list(F.col("text")).alias("words")).where(f"size(words) >= {n}")
-        rows = rows.withColumn("hashes", F.expr("transform(words, x -> xxhash64(x))"))
-        # single items, not slice(): inside a lambda that copies the whole array for each window
-        parts = ", ".join(f"hashes[i + {j}]" for j in range(n))
-        rows = rows.select("doc_id", "words", F.posexplode(F.expr(f"transform(sequence(0, size(hashes) - {n}), i -> xxhash64({parts}))")).alias("start", "hash"))
-        own_words = F.split("window", " ")
-        own = windows.where(f"len = {n}").select(F.xxhash64(*[F.xxhash64(own_words[j]) for j in range(n)]).alias("w_hash"), "window", "items")
-        found = rows.join(F.broadcast(own) if few else own, F.col("hash") == F.col("w_hash"))
-        found = found.where(F.expr(f"array_join(slice(words, start + 1, {n}), ' ') = window")).select("doc_id", "start", F.lit(n).alias("len"), "items")
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], "doc_id long, start int, len int, items array<string>") if out is None else out
+    found = rows.join(F.broadcast(own) if few else own, (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len")))
+    # as many words on both sides: a prefix is the whole. An equality would become a join key, built for every window
+    same = F.startswith(F.concat(F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " "), F.lit(" ")), F.concat("window", F.lit(" ")))
+    return found.where(same).select("doc_id", "start", "len", "items")
 
 
 def hit_summary(found: DataFrame) -> DataFrame:
