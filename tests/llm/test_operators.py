@@ -2,6 +2,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import duckdb
@@ -70,6 +71,16 @@ def test_decontamination_of_odd_rows(spark, docs, empty):
     assert decontaminate.contamination(empty, items).count() == 0
 
 
+def test_decontamination_words_by_regex(spark):
+    texts = [None, "", " \t--", "One", "-One, TWO.", "ÉTÉ Été a_B\x00c", "İ x", "\u00a0A\u00a0 b", "7Up\n\n[^x]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows.select("text", decontaminate.word_list(rows.text).alias("w"), decontaminate.word_count(rows.text).alias("n")).collect()
+    for r in got:
+        low = "".join(c.lower() if c.isascii() else c for c in r.text or "")
+        want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        assert r.w == want and r.n == len(want)
+
+
 def test_language(spark, docs, empty):
     assert language.fit(empty) is None
     model = language.fit(docs)
