@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainweave.llm import bytewords as bw
@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
     # others there are ``room``, which with those from the posting on must reach what a partner needs.
     before = Window.partitionBy("doc_id").orderBy("spot")
     post = post.withColumn("room", F.row_number().over(before) - 1)
+    post = post.withColumn("after", F.count("*").over(Window.partitionBy("doc_id")) - 1 - F.col("room"))
     post = post.where(f"room + meta div 32 - spot div 256 >= ({percent} * (meta div 32) + 99) div 100")
     post = stage_table(post, "postings")
 
@@ -220,23 +221,33 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
         fresh = stage_table(verified(known, stage_table(pairs, "pairs"), k, percent), "links")
         links = fresh if links is None else links.unionByName(fresh)
         open_ = still_open(post, connected_components(links), token)
-    mine = open_.select("tok", F.col("doc_id").alias("a"), F.col("meta").alias("ma"), F.col("spot").alias("sa"), F.col("room").alias("ra"), F.col("comp").alias("ca"))
-    other = open_.select("tok", F.col("doc_id").alias("b"), F.col("meta").alias("mb"), F.col("spot").alias("sb"), F.col("room").alias("rb"), F.col("comp").alias("cb"))
+    # The first of the shingles that a pair must share has the others behind it in both prefixes, among
+    # those that some other prefix has: meeting at that one is enough, and the rest is counted after.
+    mine = open_.select("tok", F.col("doc_id").alias("a"), F.col("meta").alias("ma"), F.col("spot").alias("sa"), F.col("room").alias("ra"), F.col("after").alias("fa"), F.col("comp").alias("ca"))
+    other = open_.select("tok", F.col("doc_id").alias("b"), F.col("meta").alias("mb"), F.col("spot").alias("sb"), F.col("room").alias("rb"), F.col("after").alias("fb"), F.col("comp").alias("cb"))
     pairs = mine.join(other, "tok").where("a < b and ca <> cb").where(fits("ma", "mb", "sa", "sb", "ra", "rb"))
-    pairs = pairs.groupBy("a", "b", "ma", "mb").agg(F.count("*").alias("n")).where(F.col("n") >= matches("ma", "mb"))
-    fresh = verified(known, stage_table(pairs.select("a", "b"), "pairs"), k, percent)
+    pairs = pairs.where(F.least("fa", "fb") + 1 >= matches("ma", "mb")).select("a", "b", "ma", "mb").distinct()
+    pairs = sharing(stage_table(pairs, "pairs"), filled, matches("ma", "mb"))
+    fresh = verified(known, stage_table(pairs, "pairs"), k, percent)
     comps = connected_components(links.unionByName(fresh)).select(F.col("node").alias("rep"), F.col("component"))
     out = every.select("doc_id", "n", "set_key").join(firsts, "set_key", "left").join(comps, "rep", "left")
     group = F.when((F.col("n") == 0) | F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), group).alias("component_id"))
 
 
+def sharing(pairs: DataFrame, sets: DataFrame, least: Column) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many shingles as they must."""
+    held = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("prefix").alias("pa")), "a")
+    held = held.join(sets.select(F.col("doc_id").alias("b"), F.col("prefix").alias("pb")), "b")
+    return held.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b").distinct()
+
+
 def still_open(post: DataFrame, comps: DataFrame, token) -> DataFrame:
     """Postings of the tokens that stand in more than one component."""
     named = post.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.select("tok", "doc_id", "meta", "spot", "room", F.coalesce("component", "doc_id").alias("comp"))
+    named = named.select("tok", "doc_id", "meta", "spot", "room", "after", F.coalesce("component", "doc_id").alias("comp"))
     spread = named.withColumn("lo", F.min("comp").over(token)).withColumn("hi", F.max("comp").over(token))
-    return stage_table(spread.where("lo < hi").select("tok", "doc_id", "meta", "spot", "room", "comp"), "postings")
+    return stage_table(spread.where("lo < hi").select("tok", "doc_id", "meta", "spot", "room", "after", "comp"), "postings")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
