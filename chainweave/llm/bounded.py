@@ -41,10 +41,10 @@ def bloom(keys: DataFrame, bits: int = BITS) -> Broadcast:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([got.tobytes()], pa.binary())})
 
     kind = "part int, flags binary"
-    flags = np.zeros(size, dtype=bool).reshape(parts, -1)
+    flags = np.zeros((parts, size // parts // 8), dtype=np.uint8)
     for row in keys.mapInArrow(mark, kind).groupBy("part").applyInArrow(merge, kind).collect():  # at most 64 rows
-        flags[row["part"]] = np.unpackbits(np.frombuffer(bytes(row["flags"]), dtype=np.uint8)).astype(bool)
-    return keys.sparkSession.sparkContext.broadcast(np.packbits(flags.reshape(-1)))
+        flags[row["part"]] = np.frombuffer(bytes(row["flags"]), dtype=np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(flags.reshape(-1))
 
 
 def maybe_in(flags: np.ndarray, keys: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -82,9 +82,8 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     counts = np.zeros((PARTS, size // PARTS), dtype=np.uint32)
     for r in rows:
         counts[r["part"]] = np.frombuffer(bytes(r["n"]), dtype=np.uint32)
-    counts = counts.reshape(-1).astype(np.float64)
     mean = counts.mean()
-    return np.floor(np.log2(np.maximum(1.0, counts - mean - 4 * np.sqrt(mean)))).astype(np.uint8)
+    return np.concatenate([np.floor(np.log2(np.maximum(1.0, c - mean - 4 * np.sqrt(mean)))).astype(np.uint8) for c in counts])
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[int, int, np.ndarray]:
