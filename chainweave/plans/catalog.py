@@ -74,6 +74,26 @@ def intron_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _no_partner(spark, sf_dir, "qry", "ref")
 
 
+def unique_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct exons of a set; the first transcript by place and id tells whether one is terminal on a side."""
+    ex = exons(spark, sf_dir)
+    tx = Window.partitionBy("tid")
+    ex = ex.withColumn("ts", F.min("s").over(tx)).withColumn("te", F.max("e").over(tx))
+    flags = F.min_by(F.struct((F.col("s") == F.col("ts")).alias("l"), (F.col("e") == F.col("te")).alias("r")), F.struct("ts", "te", "tid")).alias("f")
+    return ex.groupBy("dset", *KEY, "s", "e").agg(flags).select("dset", *KEY, "s", "e", F.col("f.l").alias("is_left"), F.col("f.r").alias("is_right"))
+
+
+def exon_level(spark: SparkSession, sf_dir: str, reach: int = 100) -> DataFrame:
+    """Distinct exons of queries and references and those that match: equal ends, or near ones where both are terminal."""
+    u = unique_exons(spark, sf_dir)
+    q = u.where("dset = 'qry'").drop("dset")
+    r = u.where("dset = 'ref'").select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("is_left").alias("l2"), F.col("is_right").alias("r2"))
+    met = range_join(q, r, KEY, 500).where(f"(s = s2 or is_left and l2 and abs(s - s2) <= {reach}) and (e = e2 or is_right and r2 and abs(e - e2) <= {reach})")
+    found = met.groupBy(*KEY).agg(F.countDistinct("s", "e").alias("q_matched"), F.countDistinct("s2", "e2").alias("r_matched"))
+    sizes = u.groupBy(*KEY).agg(F.sum(F.expr("int(dset = 'qry')")).alias("q"), F.sum(F.expr("int(dset = 'ref')")).alias("r"))
+    return sizes.join(found, KEY, "left").select(*KEY, "q", "r", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("q_matched", "r_matched")])
+
+
 def chain_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-exon queries and references, and those whose intron chain the other side has."""
     c = chain_key(spark, sf_dir).groupBy(*KEY, "chain").agg(F.sum(F.expr("int(dset = 'qry')")).alias("q"), F.sum(F.expr("int(dset = 'ref')")).alias("r"))
@@ -136,10 +156,15 @@ def code_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_codes(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (tx_summary, chain_key, interval_union, base_level, intron_level, intron_missed, intron_novel, chain_level, equivalence_classes, dedupe_refs, overlap_pairs, refs_overlapping, sequential_ids, loci, class_codes, code_histogram)}
+QUERIES = {f.__name__: f for f in (tx_summary, chain_key, interval_union, base_level, intron_level, intron_missed, intron_novel, unique_exons, exon_level, chain_level, equivalence_classes, dedupe_refs, overlap_pairs, refs_overlapping, sequential_ids, loci, class_codes, code_histogram)}
 QUERIES["introns_from_exons"] = intron_rows
 
 _ALONE = "select distinct a.seq, a.strand, a.s, a.e from introns a where a.dset = '{0}' and not exists (select 1 from introns b where b.dset = '{1}' and b.seq = a.seq and b.strand = a.strand and b.s <= a.e and b.e >= a.s)"
+_UNIQUE = """, ranked as (select ex.*, ex.s = tx.s as is_left, ex.e = tx.e as is_right,
+      row_number() over (partition by ex.dset, ex.seq, ex.strand, ex.s, ex.e order by tx.s, tx.e, tx.tid) as k from ex join tx on tx.tid = ex.tid),
+ue as (select dset, seq, strand, s, e, is_left, is_right from ranked where k = 1)
+"""
+
 SQL = {
     "introns_from_exons": EX + "select * from introns",
     "tx_summary": EX + "select tid, dset, seq, strand, s, e, n, cast(len as bigint) as len from tx",
@@ -153,6 +178,12 @@ SQL = {
     select seq, strand, cast(sum(q * r) as bigint) as tp, cast(sum(q) as bigint) as q, cast(sum(r) as bigint) as r from i group by seq, strand""",
     "intron_missed": EX + _ALONE.format("ref", "qry"),
     "intron_novel": EX + _ALONE.format("qry", "ref"),
+    "unique_exons": EX + _UNIQUE + "select dset, seq, strand, s, e, is_left, is_right from ue",
+    "exon_level": EX + _UNIQUE + """, m as (select a.seq, a.strand, a.s, a.e, b.s as s2, b.e as e2 from ue a join ue b on a.seq = b.seq and a.strand = b.strand and a.dset = 'qry' and b.dset = 'ref' and a.s <= b.e and a.e >= b.s
+      and (a.s = b.s or a.is_left and b.is_left and abs(a.s - b.s) <= 100) and (a.e = b.e or a.is_right and b.is_right and abs(a.e - b.e) <= 100)),
+    f as (select seq, strand, count(distinct (s, e)) as q_matched, count(distinct (s2, e2)) as r_matched from m group by all)
+    select n.*, coalesce(q_matched, 0) as q_matched, coalesce(r_matched, 0) as r_matched
+    from (select seq, strand, count(*) filter (dset = 'qry') as q, count(*) filter (dset = 'ref') as r from ue group by all) n left join f on f.seq = n.seq and f.strand = n.strand""",
     "chain_level": EX + """, c as (select seq, strand, chain, count(*) filter (dset = 'qry') as q, count(*) filter (dset = 'ref') as r from chain group by all)
     select seq, strand, cast(sum(q) as bigint) as q, cast(sum(r) as bigint) as r, cast(sum(case when r > 0 then q else 0 end) as bigint) as q_matched, cast(sum(case when q > 0 then r else 0 end) as bigint) as r_matched from c group by seq, strand""",
     "equivalence_classes": EX + """, m as (select c.*, len, row_number() over (partition by c.seq, c.strand, chain order by len desc, c.tid) as k from chain c join tx on tx.tid = c.tid)
