@@ -59,19 +59,28 @@ def intron_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy(*KEY).agg(F.sum(F.col("q") * F.col("r")).alias("tp"), F.sum("q").alias("q"), F.sum("r").alias("r"))
 
 
-def _no_partner(spark: SparkSession, sf_dir: str, mine: str, other: str) -> DataFrame:
-    i = intron_rows(spark, sf_dir).select("dset", *KEY, "s", "e").distinct()
+def _no_partner(rows: DataFrame, mine: str, other: str) -> DataFrame:
+    """Distinct intervals of one set that none of the other set overlaps."""
+    i = rows.select("dset", *KEY, "s", "e").distinct()
     a, b = i.where(f"dset = '{mine}'").drop("dset"), i.where(f"dset = '{other}'").select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"))
     met = range_join(a, b, KEY, 500).select(*KEY, "s", "e").distinct()
     return a.join(met, [*KEY, "s", "e"], "left_anti")
 
 
 def intron_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_partner(spark, sf_dir, "ref", "qry")
+    return _no_partner(intron_rows(spark, sf_dir), "ref", "qry")
 
 
 def intron_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_partner(spark, sf_dir, "qry", "ref")
+    return _no_partner(intron_rows(spark, sf_dir), "qry", "ref")
+
+
+def exon_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _no_partner(exons(spark, sf_dir), "ref", "qry")
+
+
+def exon_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _no_partner(exons(spark, sf_dir), "qry", "ref")
 
 
 def unique_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +165,10 @@ def code_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_codes(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (tx_summary, chain_key, interval_union, base_level, intron_level, intron_missed, intron_novel, unique_exons, exon_level, chain_level, equivalence_classes, dedupe_refs, overlap_pairs, refs_overlapping, sequential_ids, loci, class_codes, code_histogram)}
+QUERIES = {f.__name__: f for f in (tx_summary, chain_key, interval_union, base_level, intron_level, intron_missed, intron_novel, unique_exons, exon_level, exon_missed, exon_novel, chain_level, equivalence_classes, dedupe_refs, overlap_pairs, refs_overlapping, sequential_ids, loci, class_codes, code_histogram)}
 QUERIES["introns_from_exons"] = intron_rows
 
-_ALONE = "select distinct a.seq, a.strand, a.s, a.e from introns a where a.dset = '{0}' and not exists (select 1 from introns b where b.dset = '{1}' and b.seq = a.seq and b.strand = a.strand and b.s <= a.e and b.e >= a.s)"
+_ALONE = "select distinct a.seq, a.strand, a.s, a.e from {2} a where a.dset = '{0}' and not exists (select 1 from {2} b where b.dset = '{1}' and b.seq = a.seq and b.strand = a.strand and b.s <= a.e and b.e >= a.s)"
 _UNIQUE = """, ranked as (select ex.*, ex.s = tx.s as is_left, ex.e = tx.e as is_right,
       row_number() over (partition by ex.dset, ex.seq, ex.strand, ex.s, ex.e order by tx.s, tx.e, tx.tid) as k from ex join tx on tx.tid = ex.tid),
 ue as (select dset, seq, strand, s, e, is_left, is_right from ranked where k = 1)
@@ -176,8 +185,10 @@ SQL = {
     select seq, cast(sum(tp) as bigint) as tp, cast(sum(q) as bigint) as q, cast(sum(r) as bigint) as r from u group by rollup (seq)""",
     "intron_level": EX + """, i as (select seq, strand, s, e, max(cast(dset = 'qry' as int)) as q, max(cast(dset = 'ref' as int)) as r from introns group by seq, strand, s, e)
     select seq, strand, cast(sum(q * r) as bigint) as tp, cast(sum(q) as bigint) as q, cast(sum(r) as bigint) as r from i group by seq, strand""",
-    "intron_missed": EX + _ALONE.format("ref", "qry"),
-    "intron_novel": EX + _ALONE.format("qry", "ref"),
+    "intron_missed": EX + _ALONE.format("ref", "qry", "introns"),
+    "intron_novel": EX + _ALONE.format("qry", "ref", "introns"),
+    "exon_missed": EX + _ALONE.format("ref", "qry", "ex"),
+    "exon_novel": EX + _ALONE.format("qry", "ref", "ex"),
     "unique_exons": EX + _UNIQUE + "select dset, seq, strand, s, e, is_left, is_right from ue",
     "exon_level": EX + _UNIQUE + """, m as (select a.seq, a.strand, a.s, a.e, b.s as s2, b.e as e2 from ue a join ue b on a.seq = b.seq and a.strand = b.strand and a.dset = 'qry' and b.dset = 'ref' and a.s <= b.e and a.e >= b.s
       and (a.s = b.s or a.is_left and b.is_left and abs(a.s - b.s) <= 100) and (a.e = b.e or a.is_right and b.is_right and abs(a.e - b.e) <= 100)),
