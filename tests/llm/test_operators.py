@@ -144,6 +144,47 @@ def test_passages(spark, docs, empty):
     assert collinear.passages(empty).count() == 0
 
 
+def test_fuzzy_passages(spark):
+    """Passages changed at even steps or at random places, by changed, added and dropped words; too different ones stay out."""
+    r = random.Random(5)
+    rows, expected = [], set()
+
+    def plant(passage, copy, holds):
+        i = len(rows)
+        rows.extend((i + k, " ".join([*words(1000 + i + k, 90, 10**6).split(), *p, *words(3000 + i + k, 90, 10**6).split()])) for k, p in ((0, passage), (1, copy)))
+        if holds:
+            expected.add(i + 1)
+
+    def passage(n):
+        return words(r.random(), n, 10**6).split()
+
+    for n, step in ((50, 5), (55, 40), (60, 25), (100, 10), (200, 8), (200, 5), (200, 50)):
+        p = passage(n)
+        plant(p, [f"c{r.random()}" if k % step == step // 2 else w for k, w in enumerate(p)], True)
+    for n, edits in ((50, 5), (50, 10), (80, 8), (120, 20), (200, 20), (200, 38)):
+        for _ in range(3):
+            p = passage(n)
+            q = list(p)
+            for k in sorted(r.sample(range(1, n - 1), edits), reverse=True):
+                q[k : k + 1] = r.choice(([f"c{r.random()}"], [q[k], f"c{r.random()}"], [])) if n > 50 else [f"c{r.random()}"]
+            plant(p, q, True)
+    for n, step in ((60, 3), (200, 2), (45, 50)):
+        p = passage(n)
+        plant(p, [f"c{r.random()}" if k % step == step - 1 else w for k, w in enumerate(p)], False)
+    got = collinear.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got} == expected
+    assert all(x.other_id == x.doc_id - 1 and x.n_words >= 50 and x.identity >= 0.8 for x in got)
+    texts = dict(rows)
+    for x in got:
+        a, b = texts[x.doc_id].split()[x.start : x.end], texts[x.other_id].split()[x.other_start : x.other_end]
+        d = list(range(len(b) + 1))
+        for i, w in enumerate(a):
+            last, d[0] = d[0], i + 1
+            for j, v in enumerate(b):
+                last, d[j + 1] = d[j + 1], min(last + (w != v), d[j] + 1, d[j + 1] + 1)
+        assert x.identity == pytest.approx(1 - d[-1] / max(len(a), len(b)))
+
+
 @pytest.mark.parametrize("first", [False, True])
 def test_suffix_dedup_by_brute_force(docs, empty, first):
     raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
