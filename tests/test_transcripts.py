@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from chainweave.operators.classify import class_code
+from chainweave.operators.classify import best_codes, class_code, shared_sites, with_codes
 from chainweave.operators.components import connected_components
 from chainweave.operators.intervals import islands, range_join
 from chainweave.plans import catalog
@@ -23,6 +23,32 @@ def chain(text):
     return [tuple(map(int, x.split("-"))) for x in text.split(", ")]
 
 
+TIES = [  # query, references, the better one
+    # both j: the first shares three sites and 303 bases, the second one site and 602 bases
+    ("1000-1200, 1500-1700, 2000-2200", ["1100-1200, 1500-1700, 2100-2200", "1000-1200, 1490-1710, 1990-2200"], 0),
+    # both e, equal bases: 2 exons are nearer to 1 than 3 are
+    ("1100-1300", ["900-1200, 1600-1700, 1900-2000", "900-1200, 1600-1700"], 1),
+    # both i, no bases: more exons
+    ("1250-1300", ["1000-1200, 1500-1700", "1000-1200, 1500-1700, 2000-2200"], 1),
+    # both o: the single-exon reference, though it shares fewer bases
+    ("1150-1400", ["1300-1500, 1600-1700", "1000-1200"], 1),
+]
+
+
+def test_common_splice_sites():
+    q = chain("1000-1200, 1500-1700, 2000-2200")
+    for ref, n in (("1000-1200, 1500-1700, 2000-2200", 4), ("1000-1200, 1490-1700, 2000-2200", 3), ("1000-1200, 1490-1710, 1990-2200", 1), ("1000-1200, 2000-2200", 2), ("1000-2200", 0)):
+        assert shared_sites(q, chain(ref)) == shared_sites(chain(ref), q) == n
+
+
+@pytest.mark.parametrize("query,refs,best", TIES)
+def test_best_reference(spark, query, refs, best):
+    shape = "qid long, rid long, qx array<struct<s:long,e:long>>, rx array<struct<s:long,e:long>>"
+    coded = with_codes(spark.createDataFrame([(1, i, chain(query), chain(r)) for i, r in enumerate(refs)], shape)).cache()
+    (got,) = best_codes(coded).collect()
+    assert (len({x["rank"] for x in coded.collect()}), got.rid) == (1, best)
+
+
 @pytest.mark.parametrize("query,ref,code", CODES)
 def test_codes(query, ref, code):
     assert class_code(chain(query), chain(ref)) == code
