@@ -185,24 +185,73 @@ def test_fuzzy_passages(spark):
         assert x.identity == pytest.approx(1 - d[-1] / max(len(a), len(b)))
 
 
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 1])
 @pytest.mark.parametrize("first", [False, True])
-def test_suffix_dedup_by_brute_force(docs, empty, first):
-    raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
-    seen = collections.Counter(t[i : i + 400] for t in raw.values() for i in range(len(t) - 399))
-    want, met = {}, set()
-    for d in sorted(raw):
-        t, gone = raw[d], [False] * len(raw[d])
-        for i in range(len(t) - 399):
-            s = t[i : i + 400]
-            if s in met if first else seen[s] > 1:
-                gone[i : i + 400] = [True] * 400
-            met.add(s)
-        want[d] = (len(t), sum(gone), bytes(b for b, g in zip(t, gone, strict=True) if not g))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, keep_first=first).collect()}
-    assert got == want
+def test_suffix_dedup_by_brute_force(spark, docs, empty, first, crowd):
+    """Also equal rows of one doc_id, different texts of one, null ids, texts of one letter, one letter of difference and ties."""
+    base = words(1, 300)
+    more = [(20, base[:900]), (20, base[:900]), (20, base[50:700] + "!"), (None, base[100:950]), (None, None), (21, "a" * 700), (22, "b" + "a" * 650), (23, base[:450] + "#" + base[451:]), (24, words(6, 150) * 2)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    raw = [(-1 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in rows.collect()]
+    seen = collections.Counter(t[i : i + 400] for _, t in raw for i in range(len(t) - 399))
+
+    def brute(order):
+        want, met = [], set()
+        for d, t in order:
+            gone = [False] * len(t)
+            for i in range(len(t) - 399):
+                s = t[i : i + 400]
+                if s in met if first else seen[s] > 1:
+                    gone[i : i + 400] = [True] * 400
+                met.add(s)
+            want.append((d, len(t), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+        return sorted(want)
+
+    got = suffix_dedup.remove_repeats(rows, keep_first=first, crowd=crowd).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+    # rows of one doc_id stand in any order
+    ways = [sorted(raw, key=lambda r: r[0]), sorted(raw[::-1], key=lambda r: r[0])]
+    same = [[i for i, r in enumerate(ways[0]) if r[0] == d] for d in (-1, 20)]
+    ways = [[ways[0][k] for k in [*p, *[i for i in range(len(raw)) if i not in same[0] and i not in same[1]], *q]] for p in itertools.permutations(same[0]) for q in itertools.permutations(same[1])] if first else ways[:1]
+    ways = [sorted(w, key=lambda r: r[0]) for w in ways]
+    assert got in [brute(w) for w in ways]
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_longest_factors_by_brute_force():
+    """Longest earlier matches of all suffixes of random texts, from their order and the matches of neighbours."""
+    np = pytest.importorskip("numpy")
+    r = random.Random(3)
+    for n, least in ((1, 1), (2, 1), (40, 1), (200, 3), (300, 8)):
+        t = "".join(r.choice("ab") for _ in range(n))
+        order = sorted(range(n), key=lambda i: t[i:])
+
+        def match(i, j, t=t):
+            k = 0
+            while max(i, j) + k < len(t) and t[i + k] == t[j + k]:
+                k += 1
+            return k
+
+        lcp = np.array([0] + [match(i, j) for i, j in itertools.pairwise(order)])
+        got = suffix_dedup.longest_factors(np.array(order), lcp, least)
+        want = [max([0] + [match(i, j) for j in range(i)]) for i in order]
+        assert got.tolist() == [w if w >= least else 0 for w in want]
+
+
+def test_runs_of_long_texts(monkeypatch):
+    """Segments of a long text have every window once, at its place."""
+    np = pytest.importorskip("numpy")
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    for n in (0, 399, 400, 1000, 1001, 3333):
+        buf = np.frombuffer(words(31, 1500, 10**6).encode()[:n], dtype=np.uint8)
+        got = []
+        for _, s, part, off in suffix_dedup.segments(buf, np.array([0, n]), 400):
+            _, lo, hi, place, _ = suffix_dedup.cut_runs(part, off, 400)
+            assert all(part[a : b + 400].tobytes() == buf[s + a : s + b + 400].tobytes() and b <= p <= a + 336 for a, b, p in zip(lo, hi, place, strict=True))
+            got += [s + w for a, b in zip(lo, hi, strict=True) for w in range(a, b + 1)]
+        assert got == list(range(max(0, n - 399)))
+
+
 def test_pfair_deviation(docs, empty):
     from fractions import Fraction
 
