@@ -51,6 +51,14 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def value_sums(h: np.ndarray) -> np.ndarray:
+    """The same sums over 64-bit values."""
+    up, _ = powers(len(h))
+    out = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * up[:-1], out=out[1:])
+    return out
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of buf[start:end], equal for equal bytes wherever they stand."""
     _, down = powers(len(sums) - 1)

@@ -144,6 +144,41 @@ def test_passages(spark, docs, empty):
     assert collinear.passages(empty).count() == 0
 
 
+def test_passages_among_fragments(spark):
+    """Documents that hold a whole passage meet, although many others hold parts of it only; so do rows without doc_id and equal texts."""
+    p = words(50, 60, 10**6).split()
+    own = lambda i: words(6000 + i, 40, 10**6).split()
+    rows = [(i, " ".join([*own(i), *(p[:30] if i % 2 else p[30:]), *own(100 + i)])) for i in range(60)]
+    rows += [(100 + i, " ".join([*own(200 + i), *p, *own(300 + i)])) for i in range(3)]
+    rows += [(None, " ".join([*own(400), *p])), (7, " ".join(own(500) * 2)), (7, " ".join(own(500) * 2)), (8, None), (9, "")]
+    got = collinear.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(x.doc_id, x.other_id) for x in got}
+    assert {(100, None), (101, None), (102, None), (7, 7)} <= pairs and {i for p in pairs for i in p} == {100, 101, 102, None, 7}
+    assert all((x.n_words, x.identity) == ((80, 1.0) if x.doc_id == 7 else (60, 1.0)) for x in got)
+
+
+def test_exact_passages_by_brute_force(spark):
+    """Every document that shares 50 words with another one has a passage, and no other, over random cuts of common texts."""
+    r = random.Random(8)
+    texts = [words(700 + i, 400, 10**6).split() for i in range(4)]
+    rows = []
+    for i in range(80):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            t, n = r.choice(texts), r.choice((20, 44, 49, 50, 51, 70, 120))
+            at = r.randrange(len(t) - n)
+            parts += [words(r.random(), r.randrange(0, 60), 10**6).split(), t[at : at + n]]
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    held = collections.defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            held[tuple(w[k : k + 50])].add(i)
+    want = {i for s in held.values() if len(s) > 1 for i in s}
+    got = {x for r in collinear.passages(spark.createDataFrame(rows, "doc_id long, text string"), least_identity=0.98).collect() for x in (r.doc_id, r.other_id)}
+    assert want <= got
+
+
 def test_fuzzy_passages(spark):
     """Passages changed at even steps or at random places, by changed, added and dropped words; too different ones stay out."""
     r = random.Random(5)
