@@ -2,28 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bases of a bin when unions are made piece by piece.
+PIECE = 1 << 16
+#: Widths of bins, from short intervals to long ones: an interval's own width is the least that is not below its length.
+WIDTHS = (1 << 10, 1 << 14, 1 << 18, 1 << 22, 1 << 26, 1 << 32)
 
-def islands(df: DataFrame, keys: list[str], reach: int = 0) -> DataFrame:
+
+def islands(df: DataFrame, keys: list[str], reach: int = 0, piece: int = PIECE) -> DataFrame:
     """Unions of intervals (s, e) that overlap, or are at most ``reach`` bases apart, within keys.
 
-    Distinct intervals have a unique order, so that a running maximum of ends finds every break.
+    Unions are made inside bins of ``piece`` bases by start first. What of them hangs together over bins follows
+    from one row a bin: the farthest end before it, and how many unions begin before it.
     """
-    w = Window.partitionBy(*keys).orderBy("s", "e")
-    d = df.select(*keys, "s", "e").distinct()
+    d = df.select(*keys, "s", "e").distinct().withColumn("bin", F.expr(f"s div {piece}"))
+    w = Window.partitionBy(*keys, "bin").orderBy("s", "e")
     d = d.withColumn("until", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.withColumn("n", F.sum(F.when(F.col("s") > F.col("until") + reach, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*keys, "n").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("n")
+    d = d.withColumn("k", F.sum(F.when(F.col("s") > F.col("until") + reach, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = d.groupBy(*keys, "bin", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row a bin
+    ends = parts.groupBy(*keys, "bin").agg(F.max("e").alias("end")).select(*keys, "bin", F.max("end").over(before).alias("carry"))
+    parts = parts.join(ends, [*keys, "bin"]).withColumn("fresh", F.expr(f"carry is null or s > carry + {reach}"))
+    starts = parts.groupBy(*keys, "bin").agg(F.sum(F.col("fresh").cast("long")).alias("n")).select(*keys, "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # of a bin's unions those that hang on to what came before are the first ones
+    own = Window.partitionBy(*keys, "bin").orderBy("s")
+    parts = parts.join(starts, [*keys, "bin"]).withColumn("n", F.col("base") + F.sum(F.col("fresh").cast("long")).over(own))
+    return parts.groupBy(*keys, "n").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("n")
+
 
+def _level(length: Column) -> Column:
+    out = F.lit(len(WIDTHS) - 1)
+    for i in range(len(WIDTHS) - 2, -1, -1):
+        out = F.when(length <= WIDTHS[i], i).otherwise(out)
+    return out
 
-def range_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = 2000) -> DataFrame:
+
+def range_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of rows whose intervals (a: s, e; b: s2, e2) overlap, equal in keys.
 
-    Each interval goes to the bins it touches; of the bins that a pair shares only the first counts,
-    so that no pair comes twice and nothing has to be made distinct.
+    A pair meets in the bins of the longer of the two intervals, at most two of which hold either; only the first
+    bin that both touch counts, so that no pair comes twice and nothing has to be made distinct. A crowded bin is
+    a skewed join key, which adaptive execution splits.
     """
-    ab = a.withColumn("bin", F.explode(F.expr(f"sequence(s div {width}, e div {width})")))
-    bb = b.withColumn("bin", F.explode(F.expr(f"sequence(s2 div {width}, e2 div {width})")))
-    return ab.join(bb, [*keys, "bin"]).where(f"s <= e2 and e >= s2 and bin = greatest(s, s2) div {width}").drop("bin")
+    width = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("_level") + 1)
+
+    def own(df: DataFrame, s: str, e: str) -> DataFrame:
+        return df.withColumn("_level", _level(F.expr(f"{e} - {s} + 1")))
+
+    def lifted(df: DataFrame, s: str, e: str, beyond: int) -> DataFrame:
+        df = own(df, s, e).withColumn("_level", F.explode(F.expr(f"slice(array({', '.join(map(str, range(len(WIDTHS))))}), _level + {beyond + 1}, {len(WIDTHS)})")))
+        return df
+
+    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
+        return df.withColumn("_w", width).withColumn("_bin", F.explode(F.expr(f"sequence({s} div _w, {e} div _w)"))).drop("_w")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        met = binned(x, "s", "e").join(binned(y, "s2", "e2"), [*keys, "_level", "_bin"])
+        return met.withColumn("_w", width).where("s <= e2 and e >= s2 and _bin = greatest(s, s2) div _w").drop("_level", "_bin", "_w")
+
+    return meet(own(a, "s", "e"), lifted(b, "s2", "e2", 0)).unionByName(meet(lifted(a, "s", "e", 1), own(b, "s2", "e2")))

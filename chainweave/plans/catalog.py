@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainweave.functions import intervals as fx
-from chainweave.operators.classify import best_codes, with_codes
-from chainweave.operators.components import connected_components
+from chainweave.operators import compare
 from chainweave.operators.intervals import islands, range_join
+from chainweave.plans import relations
 from chainweave.plans.testbed import EXONS_SQL, exons, transcripts
-from chainweave.streaming.mapper import span_pairs
 
 KEY = ["seq", "strand"]
 EX = "with recursive ex as (" + EXONS_SQL.format(lineitem="lineitem", orders="orders") + """),
@@ -46,11 +45,7 @@ def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True positive, query and reference bases, by sequence and in all."""
-    u = islands(exons(spark, sf_dir), ["dset", *KEY])
-    q, r = u.where("dset = 'qry'").drop("dset"), u.where("dset = 'ref'").select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"))
-    both = range_join(q, r, KEY, 500).select("seq", fx.overlap_len("s", "e", "s2", "e2").alias("tp"), F.lit(0).alias("q"), F.lit(0).alias("r"))
-    size = u.select("seq", F.lit(0).alias("tp"), F.expr("if(dset = 'qry', e - s + 1, 0)").alias("q"), F.expr("if(dset = 'ref', e - s + 1, 0)").alias("r"))
-    return both.unionByName(size).rollup("seq").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "q", "r")])
+    return compare.base_counts(exons(spark, sf_dir)).rollup("seq").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "q", "r")])
 
 
 def intron_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,46 +54,31 @@ def intron_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy(*KEY).agg(F.sum(F.col("q") * F.col("r")).alias("tp"), F.sum("q").alias("q"), F.sum("r").alias("r"))
 
 
-def _no_partner(rows: DataFrame, mine: str, other: str) -> DataFrame:
-    """Distinct intervals of one set that none of the other set overlaps."""
-    i = rows.select("dset", *KEY, "s", "e").distinct()
-    a, b = i.where(f"dset = '{mine}'").drop("dset"), i.where(f"dset = '{other}'").select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"))
-    met = range_join(a, b, KEY, 500).select(*KEY, "s", "e").distinct()
-    return a.join(met, [*KEY, "s", "e"], "left_anti")
-
-
 def intron_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_partner(intron_rows(spark, sf_dir), "ref", "qry")
+    return compare.without_partner(intron_rows(spark, sf_dir), "ref", "qry")
 
 
 def intron_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_partner(intron_rows(spark, sf_dir), "qry", "ref")
+    return compare.without_partner(intron_rows(spark, sf_dir), "qry", "ref")
 
 
 def exon_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_partner(exons(spark, sf_dir), "ref", "qry")
+    return compare.without_partner(exons(spark, sf_dir), "ref", "qry")
 
 
 def exon_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_partner(exons(spark, sf_dir), "qry", "ref")
+    return compare.without_partner(exons(spark, sf_dir), "qry", "ref")
 
 
 def unique_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct exons of a set; the first transcript by place and id tells whether one is terminal on a side."""
-    ex = exons(spark, sf_dir)
-    tx = Window.partitionBy("tid")
-    ex = ex.withColumn("ts", F.min("s").over(tx)).withColumn("te", F.max("e").over(tx))
-    flags = F.min_by(F.struct((F.col("s") == F.col("ts")).alias("l"), (F.col("e") == F.col("te")).alias("r")), F.struct("ts", "te", "tid")).alias("f")
-    return ex.groupBy("dset", *KEY, "s", "e").agg(flags).select("dset", *KEY, "s", "e", F.col("f.l").alias("is_left"), F.col("f.r").alias("is_right"))
+    return compare.unique_exons(exons(spark, sf_dir))
 
 
 def exon_level(spark: SparkSession, sf_dir: str, reach: int = 100) -> DataFrame:
     """Distinct exons of queries and references and those that match: equal ends, or near ones where both are terminal."""
     u = unique_exons(spark, sf_dir)
-    q = u.where("dset = 'qry'").drop("dset")
-    r = u.where("dset = 'ref'").select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("is_left").alias("l2"), F.col("is_right").alias("r2"))
-    met = range_join(q, r, KEY, 500).where(f"(s = s2 or is_left and l2 and abs(s - s2) <= {reach}) and (e = e2 or is_right and r2 and abs(e - e2) <= {reach})")
-    found = met.groupBy(*KEY).agg(F.countDistinct("s", "e").alias("q_matched"), F.countDistinct("s2", "e2").alias("r_matched"))
+    found = compare.exon_matches(u, reach).groupBy(*KEY).agg(F.countDistinct("s", "e").alias("q_matched"), F.countDistinct("s2", "e2").alias("r_matched"))
     sizes = u.groupBy(*KEY).agg(F.sum(F.expr("int(dset = 'qry')")).alias("q"), F.sum(F.expr("int(dset = 'ref')")).alias("r"))
     return sizes.join(found, KEY, "left").select(*KEY, "q", "r", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("q_matched", "r_matched")])
 
@@ -109,17 +89,23 @@ def chain_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(*KEY).agg(F.sum("q").alias("q"), F.sum("r").alias("r"), F.sum(F.expr("if(r > 0, q, 0)")).alias("q_matched"), F.sum(F.expr("if(q > 0, r, 0)")).alias("r_matched"))
 
 
+def chains_with_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-exon transcripts with their intron chain and bases, from one grouping of the exons."""
+    t = transcripts(exons(spark, sf_dir)).where("size(exons) > 1")
+    return t.select("tid", "dset", *KEY, fx.rendered(fx.introns(F.col("exons"))).alias("chain"), fx.covered(F.col("exons")).alias("len"))
+
+
 def equivalence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of one intron chain over three samples: members, samples and the longest, first by id."""
-    t = chain_key(spark, sf_dir).join(tx_summary(spark, sf_dir).select("tid", "len"), "tid")
+    t = chains_with_length(spark, sf_dir)
     return t.groupBy(*KEY, "chain").agg(F.count("*").alias("n"), F.countDistinct(F.expr("tid % 3")).alias("samples"), F.max_by("tid", F.struct("len", -F.col("tid"))).alias("rep"))
 
 
 def dedupe_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of multi-exon references with one chain: the longest, then the first."""
-    t = chain_key(spark, sf_dir).where("dset = 'ref'").join(tx_summary(spark, sf_dir).select("tid", "len"), "tid")
-    w = Window.partitionBy(*KEY, "chain").orderBy(F.desc("len"), "tid")
-    return t.withColumn("n", F.row_number().over(w)).where("n = 1").select("tid", *KEY, "chain", "len")
+    t = chains_with_length(spark, sf_dir).where("dset = 'ref'")
+    first = t.groupBy(*KEY, "chain").agg(F.min_by(F.struct("tid", "len"), F.struct(-F.col("len"), F.col("tid"))).alias("t"))
+    return first.select("t.tid", *KEY, "chain", "t.len")
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,28 +131,9 @@ def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.withColumn("k", rank).join(counts, KEY).select(*KEY, "s", "e", (F.col("n") + F.col("k")).alias("id"))
 
 
-def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts linked by exon overlap on a strand: each meets its exons' islands, islands meet through it."""
-    ex = exons(spark, sf_dir)
-    u = islands(ex, KEY).withColumn("island", F.xxhash64(*KEY, "s")).select(*KEY, "island", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    met = range_join(ex, u, KEY, 500).select("tid", "island").distinct()
-    first = met.groupBy("island").agg(F.min("tid").alias("first"))
-    comps = connected_components(met.join(first, "island").select("tid", "first"))
-    return ex.select("tid").distinct().join(comps.withColumnRenamed("node", "tid"), "tid", "left").select("tid", F.coalesce("component", "tid").alias("locus"))
-
-
-def class_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best reference of each query and its code."""
-    t = transcripts(exons(spark, sf_dir)).withColumn("exons", fx.merge_close(F.col("exons")))
-    return best_codes(with_codes(span_pairs(t.where("dset = 'qry'"), t.where("dset = 'ref'"))))
-
-
-def code_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_codes(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
-
-
-QUERIES = {f.__name__: f for f in (tx_summary, chain_key, interval_union, base_level, intron_level, intron_missed, intron_novel, unique_exons, exon_level, exon_missed, exon_novel, chain_level, equivalence_classes, dedupe_refs, overlap_pairs, refs_overlapping, sequential_ids, loci, class_codes, code_histogram)}
+QUERIES = {f.__name__: f for f in (tx_summary, chain_key, interval_union, base_level, intron_level, intron_missed, intron_novel, unique_exons, exon_level, exon_missed, exon_novel, chain_level, equivalence_classes, dedupe_refs, overlap_pairs, refs_overlapping, sequential_ids)}
 QUERIES["introns_from_exons"] = intron_rows
+QUERIES |= relations.QUERIES
 
 _ALONE = "select distinct a.seq, a.strand, a.s, a.e from {2} a where a.dset = '{0}' and not exists (select 1 from {2} b where b.dset = '{1}' and b.seq = a.seq and b.strand = a.strand and b.s <= a.e and b.e >= a.s)"
 _UNIQUE = """, ranked as (select ex.*, ex.s = tx.s as is_left, ex.e = tx.e as is_right,
@@ -210,3 +177,4 @@ SQL = {
     i2 as (select seq, strand, min(s) as s, max(e) as e from g2 group by seq, strand, k)
     select seq, strand, s, e, row_number() over (order by seq, strand, s) as id from i2""",
 }
+SQL |= relations.SQL

@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from chainweave.operators.classify import best_codes, with_codes
-from chainweave.operators.intervals import range_join
-
-
-def span_pairs(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(qid, rid, qx, rx) of transcripts whose spans overlap on one strand."""
-    q = queries.select(F.col("tid").alias("qid"), "seq", "strand", F.col("exons").alias("qx"), "s", "e")
-    r = refs.select(F.col("tid").alias("rid"), "seq", "strand", F.col("exons").alias("rx"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return range_join(q, r, ["seq", "strand"])
+from chainweave.operators.classify import best_codes
+from chainweave.operators.context import candidates
 
 
 def map_batch(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    return best_codes(with_codes(span_pairs(queries, refs)))
+    """The best code of each query that overlaps a reference on its strand."""
+    return best_codes(candidates(queries, refs))
 
 
 def map_stream(stream: DataFrame, refs: DataFrame, out: str, checkpoint: str):
-    """Starts a query that appends the best code of each new transcript to Parquet files."""
-    write = lambda batch, _: map_batch(batch, refs).write.mode("append").parquet(out)
+    """Starts a query that appends the best code of each new transcript to Parquet files.
+
+    Each micro-batch is a join of its transcripts with the references; a batch that runs again after a failure
+    writes to its own folder again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        map_batch(batch, refs).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,10 @@
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from chainweave.operators.classify import best_codes, class_code, shared_sites, with_codes
+from chainweave.operators import classify
 from chainweave.operators.components import connected_components
 from chainweave.operators.intervals import islands, range_join
 from chainweave.plans import catalog
@@ -35,27 +38,64 @@ TIES = [  # query, references, the better one
 ]
 
 
-def test_common_splice_sites():
-    q = chain("1000-1200, 1500-1700, 2000-2200")
-    for ref, n in (("1000-1200, 1500-1700, 2000-2200", 4), ("1000-1200, 1490-1700, 2000-2200", 3), ("1000-1200, 1490-1710, 1990-2200", 1), ("1000-1200, 2000-2200", 2), ("1000-2200", 0)):
-        assert shared_sites(q, chain(ref)) == shared_sites(chain(ref), q) == n
+def structs(spark, rows):
+    """Transcripts of (id, exons as text, strand) on one sequence, in the struct form."""
+    t = spark.createDataFrame([(i, "a", st, chain(x)) for i, x, st in rows], "tid long, seq string, strand string, exons array<struct<s:long,e:long>>")
+    return classify.prepared(t).select("t.id", "t")
 
 
-@pytest.mark.parametrize("query,refs,best", TIES)
-def test_best_reference(spark, query, refs, best):
-    shape = "qid long, rid long, qx array<struct<s:long,e:long>>, rx array<struct<s:long,e:long>>"
-    coded = with_codes(spark.createDataFrame([(1, i, chain(query), chain(r)) for i, r in enumerate(refs)], shape)).cache()
-    (got,) = best_codes(coded).collect()
-    assert (len({x["rank"] for x in coded.collect()}), got.rid) == (1, best)
+def coded(spark, pairs, **how):
+    """Codes, shared bases and junctions of (query, reference) chains."""
+    q = structs(spark, [(i, p[0], "+") for i, p in enumerate(pairs)]).withColumnRenamed("t", "q")
+    r = structs(spark, [(i, p[1], "+") for i, p in enumerate(pairs)]).withColumnRenamed("t", "r")
+    return [(x.code, x.ovlen, x.njm) for x in classify.pair_codes(q.join(r, "id"), **how).orderBy("id").collect()]
 
 
-@pytest.mark.parametrize("query,ref,code", CODES)
-def test_codes(query, ref, code):
-    assert class_code(chain(query), chain(ref)) == code
+def test_common_splice_sites(spark):
+    q = "1000-1200, 1500-1700, 2000-2200"
+    refs = [("1000-1200, 1500-1700, 2000-2200", 4), ("1000-1200, 1490-1700, 2000-2200", 3), ("1000-1200, 1490-1710, 1990-2200", 1), ("1000-1200, 2000-2200", 2), ("1000-2200", 0)]
+    assert [x[2] for x in coded(spark, [(q, r) for r, _ in refs])] == [n for _, n in refs]
+    assert [x[2] for x in coded(spark, [(r, q) for r, _ in refs])] == [n for _, n in refs]
 
 
-def test_codes_of_spans_apart():
-    assert class_code([(1, 5)], [(6, 9)]) is None
+@pytest.mark.parametrize("query,refs,best", TIES)
+def test_best_reference(spark, query, refs, best):
+    q = structs(spark, [(1, query, "+")]).select(F.col("t").alias("q"))
+    r = structs(spark, [(i, x, "+") for i, x in enumerate(refs)]).select(F.col("t").alias("r"))
+    rows = classify.with_codes(q.crossJoin(r)).cache()
+    (got,) = classify.best_codes(rows).collect()
+    assert (len({x["rank"] for x in rows.collect()}), got.rid) == (1, best)
+
+
+def test_codes(spark):
+    assert [x[0] for x in coded(spark, [(q, r) for q, r, _ in CODES])] == [c for _, _, c in CODES]
+    assert coded(spark, [("1-5", "6-9")])[0][0] is None
+
+
+def test_strict_and_coding_codes(spark):
+    pairs = [(A, A), ("1001-1200, 1500-1700, 2000-2201", A), ("1002-1200, 1500-1700, 2000-2200", A), ("1000-1201", S), ("1000-1205", S)]
+    assert [x[0] for x in coded(spark, pairs, strict=True)] == ["=", "=", "~", "=", "~"]
+    q = structs(spark, [(0, A, "+"), (1, "1010-1200, 1500-1700, 2000-2200", "+")]).withColumn("q", F.col("t").withField("cs", F.lit(1100).cast("long"))).drop("t")
+    r = structs(spark, [(0, A, "+"), (1, A, "+")]).withColumnRenamed("t", "r")
+    assert [x.code for x in classify.pair_codes(q.join(r, "id"), strict=True, cds=True).orderBy("id").collect()] == [":", "_"]
+
+
+def test_codes_of_random_chains(spark):
+    """Swapping both sides swaps c and k of chains; a chain is equal to itself; and SQL over exploded introns agrees on the tables."""
+    r = random.Random(2)
+    pairs = []
+    for _ in range(400):
+        at, x = 1000, []
+        for _ in range(r.randrange(2, 6)):
+            x.append((at, at + r.randrange(20, 90)))
+            at = x[-1][1] + r.randrange(10, 90)
+        cut = x[r.randrange(len(x) - 1) :] if r.random() < 0.5 else x[: r.randrange(2, len(x) + 1)]
+        pairs.append((x, cut if len(cut) > 1 else x))
+    text = lambda c: ", ".join(f"{s}-{e}" for s, e in c)
+    there = coded(spark, [(text(a), text(b)) for a, b in pairs])
+    back = coded(spark, [(text(b), text(a)) for a, b in pairs])
+    assert [{"c": "k", "k": "c"}.get(x[0], x[0]) for x in there] == [x[0] for x in back] and [x[1:] for x in there] == [x[1:] for x in back]
+    assert {x[0] for x in there} == {"k", "="} and all((x[0] == "=") == (a == b) for x, (a, b) in zip(there, pairs, strict=True))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
@@ -73,7 +113,7 @@ def test_islands_and_pairs_by_brute_force(spark):
     rows = [("a", s, s + n) for s, n in [(1, 5), (3, 9), (13, 2), (100, 3000), (2500, 10), (5000, 1)]]
     df = spark.createDataFrame(rows, "seq string, s long, e long")
     assert sorted(tuple(r) for r in islands(df, ["seq"]).select("s", "e").collect()) == [(1, 12), (13, 15), (100, 3100), (5000, 5001)]
-    pairs = range_join(df, df.withColumnsRenamed({"s": "s2", "e": "e2"}), ["seq"], 50)
+    pairs = range_join(df, df.withColumnsRenamed({"s": "s2", "e": "e2"}), ["seq"])
     want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] <= b[2] and a[2] >= b[1])
     assert sorted((r.s, r.s2) for r in pairs.collect()) == want
 
