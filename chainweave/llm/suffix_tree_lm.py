@@ -1,391 +1,373 @@
 """A probabilistic suffix tree over words, learned and applied as Spark jobs.
 
-Symbols are the words of a share of ``SYMBOL_SHARE`` or more of all training tokens, the end of a text,
-and for every other word a class, its last two bytes. A word of a class has the probability of the
-class times its own smoothed share in it. States are contexts of up to two symbols: candidates occur
-at a share of ``CONTEXT_SHARE`` or more, and stay if the divergence of their next-symbol distribution
-from their parent's pays for its size. A state keeps next symbols of a share of ``ENTRY_SHARE``;
-they are smoothed with the parent's distribution, and what they leave goes to the other symbols as the
-parent has them. The longest state that ends a text's prefix gives the next symbol's probability.
-
-Shares bound the tree at any size of input (1 / share symbols, contexts and entries a level), so it is
-broadcast. Word counts aren't bounded: they stay in a table of hash ranges, texts' rare words
-are sent there, and sums by text come back. Counting covers every training text.
+Symbols are words, the end of a text, and one unknown word. The root has the smoothed share of every word in
+the training texts. A context of d words is a state if it occurs LEAST_CONTEXT times, its shorter suffix
+is a state, and the divergence of its next-symbol distribution from that of the suffix pays for
+its size. Next symbols that occur once after a context are left to the suffix; the others are smoothed with it:
+
+    P(w | context) = (count + left * P(w | suffix)) / (count of the context + SMOOTH),  left = SMOOTH + those that occur once
+
+which sums to 1 over all words and the unknown one. The longest state that ends the words before a place
+gives the probability there. Its logarithm is a sum: a weight of the word, one for each suffix of the
+longest state (how much is left to shorter ones), and one for each entry (suffix, word) that there is. So
+the tree is one table of weights by hash of word sequences, and it grows with the corpus: nothing of it
+is kept by share or collected. Weights of a share of LOCAL_SHARE are also sent to all tasks (1 / share of each
+kind at most); texts ask the table for the others, and sums by text come back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainweave.llm import bytewords as bw
+from chainweave.llm.bounded import bloom, maybe_in
 from chainweave.llm.language import held_out
 from chainweave.session import read_table, stage_table
 
-SYMBOL_SHARE, LOCAL_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 1e-5, 2e-6, 1e-3, 1e-6
-BITS, CLASSES, SMOOTH, DEPTH = bw.U(20), 1 << 16, 20.0, 2
-FLUSH, PART_DOCS = 4_000_000, 60_000
-END = np.uint64(0)
+DEPTH, LEAST_CONTEXT, LEAST_ENTRY, SMOOTH = 2, 16, 2, 20.0
+LOCAL_SHARE = 4e-6
+#: Hash ranges of counts and weights; tokens counted, and answers added up, at once; documents asked for at once.
+BUCKET_BITS, FLUSH, PART_DOCS = 12, 4_000_000, 60_000
+END = bw.mix(np.array([0x656E64], dtype=np.uint64))[0]
+FOLD = bw.U(0xD6E8FEB86659FD93)
+LEFT = bw.U(0x5851F42D4C957F2D)
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, class) of every word; the class is the word's last two bytes."""
-    low = bw.LOWER[buf]
-    start, end, first = bw.words(low, off, bw.NOT_SPACE)
-    h = bw.span_hash(bw.prefix_sums(low), start, end)
-    last = low[end - 1].astype(np.int64)
-    before = np.where(end - 2 >= start, low[np.maximum(end - 2, 0)], 0).astype(np.int64)
-    return np.repeat(np.arange(len(off) - 1), np.diff(first)), h, before * 256 + last
+def longer(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of sequences of d + 1 words from those of d words that end one word before, and with, the last word."""
+    return bw.mix(before * FOLD + last)
 
 
-def n_buckets(spark: SparkSession) -> int:
-    n = 64
-    while n < int(spark.conf.get("spark.sql.shuffle.partitions")):
-        n *= 2
-    return n
+def rest_key(context: np.ndarray) -> np.ndarray:
+    """Keys of a context's weight for what it leaves to its suffix."""
+    return bw.mix(context ^ LEFT)
 
 
-def counted(keys: list[np.ndarray], n: int) -> pa.RecordBatch | None:
-    """(bucket, keys, counts) rows, one for each of n ranges of the hash of the distinct keys."""
-    if not keys:
-        return None
-    k, c = np.unique(np.concatenate(keys), return_counts=True)
-    b = (bw.mix(k) >> bw.U(64 - n.bit_length() + 1)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    k, c, cut = k[order], c[order].astype(np.int64), np.searchsorted(b[order], np.arange(n + 1))
-    rows = [(i, k[cut[i] : cut[i + 1]].tobytes(), c[cut[i] : cut[i + 1]].tobytes()) for i in range(n) if cut[i] < cut[i + 1]]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "keys", "counts"])
+def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every token of the texts: lower-cased words and an end each."""
+    h, first = bw.word_hashes(buf, off, bw.NOT_SPACE)
+    n = len(off) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    out = np.full(len(h) + n, END, dtype=np.uint64)
+    out[np.arange(len(h)) + row] = h
+    return np.repeat(np.arange(n), np.diff(first) + 1), out
 
 
-COUNTED = "bucket int, keys binary, counts binary"
+def bucket_of(key: np.ndarray) -> np.ndarray:
+    return (bw.mix(key) >> bw.U(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def merged(key: tuple, table: pa.Table) -> pa.Table:
-    """Counts of equal keys added up, keys sorted."""
-    k = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("keys")])
-    c = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("counts")])
-    u, at = np.unique(k, return_inverse=True)
-    total = np.zeros(len(u), dtype=np.int64)
-    np.add.at(total, at, c)
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([u.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+COUNTED = "bucket int, a binary, b binary, n binary"
 
 
-def above(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a count of least or more, sorted, and the counts. Callers pass a share of all tokens, which bounds them."""
+def packed(bucket: np.ndarray, cols: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """One row for each bucket that occurs, with its values of every column as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    at = bucket[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, dtype=np.int64)
+    ends = np.append(first, len(at))
+    out = [pa.array(at[first].astype(np.int32))]
+    for c in cols:
+        raw = np.ascontiguousarray(c[order])
+        out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)]))
+    return pa.RecordBatch.from_arrays(out, names=["bucket", *names])
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column(1), batch.column(2), strict=True):
-                k, c = np.frombuffer(k.as_py(), dtype=np.uint64), np.frombuffer(c.as_py(), dtype=np.int64)
-                m = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([k[m].tobytes()], pa.binary()), pa.array([c[m].tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
 
-    rows = table.mapInArrow(pick, COUNTED).collect()
-    k = np.concatenate([np.zeros(0, dtype=np.uint64), *[np.frombuffer(bytes(r["keys"]), dtype=np.uint64) for r in rows]])
-    c = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in rows]])
-    order = np.argsort(k)
-    return k[order], c[order]
+def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (a, b), in order, with their n added up."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, dtype=np.int64)
+    return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
 
 
-@dataclass
-class Level:
-    """States of one depth: their contexts, the parent's share for symbols without entry, and the entries (log10)."""
+def pair_counts(train: DataFrame, pairs) -> DataFrame:
+    """(a, b, n) of the distinct pairs of keys that ``pairs(row, key)`` gives of each piece of train (text), counted."""
 
-    contexts: np.ndarray
-    rest: np.ndarray
-    keys: np.ndarray
-    logs: np.ndarray
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            a, b, n = summed(a, b, np.ones(len(a), dtype=np.int64))
+            return packed(bucket_of(a), [a, b, n.astype(np.uint32)], ["a", "b", "n"])
 
-@dataclass
-class Tree:
-    n: int = 0
-    v: int = 0
-    docs: int = 0
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    class_tokens: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
-    class_words: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
-    root: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    levels: list[Level] = field(default_factory=list)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Places of hashes among the local words, -1 for others."""
-        if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
-
-    def stream(self, off: np.ndarray, row: np.ndarray, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows and symbols of all texts, an end before and after each; and places of the words in them."""
-        n = len(off) - 1
-        at = self.find(h)
-        sym = np.where(at >= 0, self.symbols[at], -1) if len(self.words) else np.full(len(h), -1)
-        sym = np.where(sym >= 0, sym, 1 + len(self.words) + cls)
-        where = np.arange(len(h)) + 2 * row + 1
-        out = np.zeros(len(h) + 2 * n, dtype=np.uint64)
-        out[where] = sym.astype(np.uint64)
-        rows = np.repeat(np.arange(n), np.bincount(row, minlength=n) + 2)
-        return rows, out, where
-
-    def log_symbols(self, rows: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after what stands before it in its row."""
-        out = self.root[sym.astype(np.int64)]
-        for d, level in enumerate(self.levels, 1):
-            if len(sym) <= d or not len(level.contexts):
-                continue
-            context = np.zeros(len(sym) - d, dtype=np.uint64)
-            for i in range(d):
-                context = (context << BITS) | sym[i : i + len(context)]
-            at = np.minimum(np.searchsorted(level.contexts, context), len(level.contexts) - 1)
-            hit = np.flatnonzero((level.contexts[at] == context) & (rows[d:] == rows[: len(context)]))
-            key = (context[hit] << BITS) | sym[d:][hit]
-            value = out[d:][hit] + level.rest[at[hit]]
-            if len(level.keys):
-                e = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-                value = np.where(level.keys[e] == key, level.logs[e], value)
-            out[hit + d] = value
-        return out
-
-
-def grow(tree: Tree, depth: int, keys: np.ndarray, counts: np.ndarray, totals: dict[int, int]) -> Level:
-    """The states of a depth that pass the divergence test, from the entries (context, symbol) of its candidates."""
-    none = np.zeros(0, dtype=np.uint64)
-    if not len(keys):
-        return Level(none, np.zeros(0), none, np.zeros(0))
-    context, sym = keys >> BITS, (keys & ((bw.U(1) << BITS) - bw.U(1))).astype(np.int64)
-    parent = tree.root[sym]
-    if depth > 1:
-        up = tree.levels[-1]
-        short = context & ((bw.U(1) << BITS) - bw.U(1))
-        at = np.minimum(np.searchsorted(up.contexts, short), max(0, len(up.contexts) - 1))
-        known = (up.contexts[at] == short) if len(up.contexts) else np.zeros(len(short), dtype=bool)
-        key = (short << BITS) | sym.astype(np.uint64)
-        e = np.minimum(np.searchsorted(up.keys, key), max(0, len(up.keys) - 1))
-        has = (up.keys[e] == key) if len(up.keys) else np.zeros(len(key), dtype=bool)
-        parent = np.where(has, up.logs[e] if len(up.keys) else 0, parent + (up.rest[at] if len(up.contexts) else 0))
-    else:
-        known = np.ones(len(context), dtype=bool)
-    states, rest, kept, logs = [], [], [], []
-    cut = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-    for lo, hi in zip(cut, np.append(cut[1:], len(context)), strict=True):
-        total = totals.get(int(context[lo]), 0)
-        if not known[lo] or total <= 0:
-            continue
-        c, p = counts[lo:hi].astype(float), 10.0 ** parent[lo:hi]
-        divergence = float((c / total * np.log(c / total / p)).sum())
-        if total * divergence < 0.5 * len(c) * np.log(max(2, tree.n)):
-            continue
-        own = (c + SMOOTH * p) / (total + SMOOTH)
-        left, theirs = 1 - own.sum(), 1 - p.sum()
-        states.append(context[lo])
-        rest.append(np.log10(max(left, 1e-12) / max(theirs, 1e-12)))
-        kept.append(keys[lo:hi])
-        logs.append(np.log10(own))
-    return Level(np.array(states, dtype=np.uint64), np.array(rest), np.concatenate([none, *kept]), np.concatenate([np.zeros(0), *logs]))
-
-
-def learn(train: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of word counts by hash range, from train (text)."""
-    spark = train.sparkSession
-    n = n_buckets(spark)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
         for batch in batches:
             for _, _, buf, off in bw.pieces(batch):
-                _, h, _ = tokens(buf, off)
-                held.append(h)
-                size += len(h)
+                held.append(pairs(*tokens(buf, off)))
+                size += len(held[-1][0])
                 if size > FLUSH:
-                    yield counted(held, n)
+                    yield flush()
                     held, size = [], 0
         if size:
-            yield counted(held, n)
+            yield flush()
 
-    words = stage_table(train.select("text").mapInArrow(count_words, COUNTED).groupBy("bucket").applyInArrow(merged, COUNTED), "words")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        now, size, least = None, 0, FLUSH
+
+        def settle() -> tuple[np.ndarray, ...]:
+            a, b, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            return summed(a, b, n.astype(np.int64))
+
+        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in c], pa.int64()), pa.array([len(x) for x in c], pa.int64())], names=["n", "v"])
-
-    tree = Tree(docs=train.count())
-    if not tree.docs:
-        return tree, words
-    got = words.mapInArrow(totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    tree.n, tree.v = (got["n"] or 0) + tree.docs, (got["v"] or 0) + 1
-    tree.words, tree.counts = above(words, max(1, LOCAL_SHARE * tree.n))
-    tree.symbols = np.where(tree.counts >= SYMBOL_SHARE * tree.n, np.arange(1, len(tree.words) + 1), -1)
-    held = spark.sparkContext.broadcast(tree)
-
-    def count_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens of each class, without words that are symbols."""
-        total = np.zeros(CLASSES, dtype=np.int64)
-        t = held.value
         for batch in batches:
-            for _, _, buf, off in bw.pieces(batch):
-                _, h, cls = tokens(buf, off)
-                at = t.find(h)
-                rare = (at < 0) | (t.symbols[at] < 0) if len(t.words) else np.ones(len(h), dtype=bool)
-                total += np.bincount(cls[rare], minlength=CLASSES)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cls", "n"])
-
-    for r in train.select("text").mapInArrow(count_classes, "cls int, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect():  # CLASSES rows
-        tree.class_tokens[r["cls"]] = r["n"]
-    # distinct words are known for all classes together; each class gets its share of them by its tokens
-    rare_words = tree.v - 1 - int((tree.symbols >= 0).sum())
-    tree.class_words = tree.class_tokens * (rare_words / max(1.0, tree.class_tokens.sum()))
-    mass = np.zeros(1 + len(tree.words) + CLASSES)
-    mass[0] = tree.docs + 0.5
-    own = np.flatnonzero(tree.symbols >= 0)
-    mass[tree.symbols[own]] = tree.counts[own] + 0.5
-    mass[1 + len(tree.words) :] = tree.class_tokens + 0.5 * (tree.class_words + 1)
-    with np.errstate(divide="ignore"):
-        tree.root = np.log10(mass / mass.sum())
-    symbol_counts = np.zeros(len(mass), dtype=np.int64)
-    symbol_counts[0], symbol_counts[tree.symbols[own]] = tree.docs, tree.counts[own]
-    symbol_counts[1 + len(tree.words) :] = tree.class_tokens
-    candidates = np.flatnonzero(symbol_counts >= CONTEXT_SHARE * tree.n).astype(np.uint64)
-    totals_ = {int(c): int(symbol_counts[int(c)]) for c in candidates}
-    for d in range(1, depth + 1):
-        table = stage_table(count_entries(train, spark.sparkContext.broadcast(tree), candidates, d, n), "entries")
-        keys, counts = above(table, max(2, ENTRY_SHARE * tree.n))
-        tree.levels.append(grow(tree, d, keys, counts, totals_))
-        often = (counts >= CONTEXT_SHARE * tree.n) & ((keys & ((bw.U(1) << BITS) - bw.U(1))) != END)
-        candidates = keys[often]
-        totals_ = dict(zip(map(int, candidates), map(int, counts[often]), strict=True))
-    return tree, words
+            for r, bucket in enumerate(batch.column(0).to_pylist()):
+                if held and bucket != now:
+                    yield rows(*settle())
+                    held, size, least = [], 0, FLUSH
+                now = bucket
+                held.append(tuple(np.frombuffer(batch.column(c)[r].as_buffer(), dtype=k) for c, k in ((1, np.uint64), (2, np.uint64), (3, np.uint32))))
+                size += len(held[-1][0])
+                if size > least:  # equal pairs are folded as they come
+                    held = [settle()]
+                    size = len(held[0][0])
+                    least = max(FLUSH, 2 * size)
+        if held:
+            yield rows(*settle())
+
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = train.select("text").mapInArrow(count, COUNTED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return laid.mapInArrow(add, "a long, b long, n long")
+
 
+@dataclass
+class Tree:
+    """Size of the training texts, the number of states of each depth, and the table of weights (key, word, n, value)."""
 
-def count_entries(train: DataFrame, held: Broadcast, candidates: np.ndarray, depth: int, n: int) -> DataFrame:
-    """Counts of (context, next symbol) for candidate contexts of a depth, over all of train."""
+    n: int
+    v: int
+    weights: DataFrame
+    states: list[int]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        size = 0
+
+def sequences(row: np.ndarray, key: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For d of 0 to depth: places and keys of the sequences of d + 1 tokens that end there, within a row."""
+    at, k = np.arange(len(key)), key
+    out = [(at, k)]
+    for d in range(1, depth + 1):
+        inside = row[d:] == row[:-d] if d < len(row) else np.zeros(0, dtype=bool)
+        full = np.zeros(len(key), dtype=np.uint64)
+        full[out[-1][0]] = out[-1][1]
+        at = d + np.flatnonzero(inside)
+        out.append((at, longer(full[at - 1], full[at])))
+    return out
+
+
+def learn(train: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT) -> Tree:
+    """The tree of train (text), of contexts of up to ``depth`` words."""
+
+    def single(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return key, np.zeros(len(key), dtype=np.uint64)
+
+    words = stage_table(pair_counts(train, single).select(F.col("a").alias("key"), "n"), "words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    size = total["n"] + 0.5 * (total["v"] + 1)
+    # a weight is log10 of the probability over that of the unknown word
+    weights = words.select("key", F.lit(True).alias("word"), "n", F.log10((F.col("n") + 0.5) / 0.5).alias("value"))
+    parents = words.select("key", ((F.col("n") + 0.5) / size).alias("p"))
+    contexts = words.where((F.col("n") >= least_context) & (F.col("key") != int(np.int64(END.astype(np.int64))))).select(F.col("key").alias("context"), F.col("n").alias("total"))
+    states = []
+    for d in range(1, depth + 1):
+        wanted = bloom(contexts.select("context"))
+
+        def pairs(row: np.ndarray, key: np.ndarray, d=d, wanted=wanted) -> tuple[np.ndarray, np.ndarray]:
+            at, k = sequences(row, key, d - 1)[-1]
+            full = np.zeros(len(key), dtype=np.uint64)
+            full[at] = k
+            at = at[1:][(row[at[1:]] == row[at[1:] - 1]) & (at[1:] == at[:-1] + 1)] if len(at) else at
+            some = maybe_in(wanted.value, full[at - 1].view(np.int64)) if len(at) else np.zeros(0, dtype=bool)
+            return full[at[some] - 1], full[at[some]]
+
+        counted = pair_counts(train, pairs).where(F.col("n") >= LEAST_ENTRY).select(F.col("a").alias("context"), F.col("b").alias("key"), "n")
+        entries = counted.join(contexts, "context").join(parents, "key")  # a third of one word's followers is still one row each
+        entries = stage_table(entries.select("context", F.col("key").alias("last"), "n", "p", "total"), "entries")
+        sums = entries.groupBy("context", "total").agg(F.sum("n").alias("t"), F.count("*").alias("k"), F.sum("p").alias("s"), F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p"))).alias("g"))
+        rest = "if(total > t, (total - t) * ln((total - t) / total / greatest(1 - s, 1e-12)), 0)"
+        kept = sums.where(F.expr(f"g + {rest} >= 0.5 * k * {np.log(max(2, total['n']))}"))
+        kept = kept.select("context", F.expr(f"total - t + {SMOOTH}").alias("left"), F.expr(f"total + {SMOOTH}").alias("t"), "total")
+        kept = stage_table(kept, "states")
+        states.append(kept.count())
+        if not states[-1]:
+            break
+        got = entries.drop("total").join(kept.drop("total"), "context")
+        got = stage_table(with_key(got).select("key", "n", "p", "left", "t"), "entries")
+        weights = weights.unionByName(got.select("key", F.lit(False).alias("word"), "n", F.log10(1 + F.col("n") / (F.col("left") * F.col("p"))).alias("value")))
+        weights = weights.unionByName(with_key(kept, rest=True).select("key", F.lit(False).alias("word"), F.col("total").alias("n"), F.log10(F.col("left") / F.col("t")).alias("value")))
+        parents = got.select("key", ((F.col("n") + F.col("left") * F.col("p")) / F.col("t")).alias("p"))
+        contexts = got.where(F.col("n") >= least_context).select(F.col("key").alias("context"), F.col("n").alias("total"))
+    return Tree(total["n"], total["v"], stage_table(weights, "weights"), states)
+
+
+def with_key(rows: DataFrame, rest: bool = False) -> DataFrame:
+    """rows (context, last, n, p, t; or context, t) with the key of the longer sequence, or of the context's rest."""
+    names = [c for c in rows.columns if c not in ("context", "last")]
+    kinds = dict(rows.dtypes)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, off in bw.pieces(batch):
-                rows, sym, _ = held.value.stream(off, *tokens(buf, off))
-                if len(sym) <= depth or not len(candidates):
-                    continue
-                context = np.zeros(len(sym) - depth, dtype=np.uint64)
-                for i in range(depth):
-                    context = (context << BITS) | sym[i : i + len(context)]
-                at = np.minimum(np.searchsorted(candidates, context), len(candidates) - 1)
-                hit = (candidates[at] == context) & (rows[depth:] == rows[: len(context)])
-                kept.append((context[hit] << BITS) | sym[depth:][hit])
-                size += int(hit.sum())
-                if size > FLUSH:
-                    yield counted(kept, n)
-                    kept, size = [], 0
-        if size:
-            yield counted(kept, n)
+            context = batch.column(0).to_numpy().view(np.uint64)
+            key = rest_key(context) if rest else longer(context, batch.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[1 if rest else 2 :]], names=["key", *names])
 
-    return train.select("text").mapInArrow(count, COUNTED).groupBy("bucket").applyInArrow(merged, COUNTED)
+    return rows.select("context", *([] if rest else ["last"]), *names).mapInArrow(keys, ", ".join(["key long", *[f"{c} {kinds[c]}" for c in names]]))
 
 
-ASKED = "part long, bucket int, ids array<long>, held array<boolean>, a binary, b binary"
+ASKED = "bucket int, side int, part long, a binary, b binary, c binary"
+ANSWER = "part long, ids array<long>, held array<boolean>, rows binary, sums binary"
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, tree: Tree) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text, held_out).
 
-    Null texts are empty: one end token. Without training texts every count is 0.
+    Null texts are empty: one end. Every row is scored by itself, whatever its doc_id. Without training texts
+    every count is 0.
     """
-    spark = docs.sparkSession
-    n, model = n_buckets(spark), spark.sparkContext.broadcast(tree)
+    spark, depth = docs.sparkSession, len(tree.states)
+    local = tree.weights.where(F.col("n") >= max(1.0, LOCAL_SHARE * tree.n)).select("key", "word", "value").toPandas()  # 1 / LOCAL_SHARE of each kind at most
+    order = np.argsort(local["key"].to_numpy().view(np.uint64))
+    near = spark.sparkContext.broadcast((local["key"].to_numpy().view(np.uint64)[order], local["word"].to_numpy()[order], local["value"].to_numpy()[order]))
+    far = tree.weights.where(F.col("n") < max(1.0, LOCAL_SHARE * tree.n)).select("key", "word", "value")
+    known = bloom(far.select("key"))
+
+    def asked_keys(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and keys of every weight that the texts may have."""
+        rows, keys = [row], [key]
+        for d, (at, k) in enumerate(sequences(row, key, depth)):
+            if d:
+                rows.append(row[at])
+                keys.append(k)
+            if d < depth and len(at):  # as a context of the next word
+                full = np.zeros(len(key), dtype=np.uint64)
+                full[at] = k
+                after = at[(at + 1 < len(key))]
+                after = after[row[after + 1] == row[after]] + 1
+                rows.append(row[after])
+                keys.append(rest_key(full[after - 1]))
+        return np.concatenate(rows), np.concatenate(keys)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For a part of some rows: what is known of them here (bucket -1), and their rare words by hash range."""
-        t, done = model.value, 0
-        floor = np.log10(t.class_tokens + 0.5 * (t.class_words + 1))
+        """For a part of some rows: what is known of them here (bucket -1), and what isn't by hash range."""
+        words, is_word, value = near.value
+        done = 0
         for batch in batches:
             for i, j, buf, off in bw.pieces(batch, limit=4 << 20):
                 for lo in range(0, j - i, PART_DOCS):
-                    key = (TaskContext.get().partitionId() << 32) + done
-                    yield part(t, floor, key, batch, i + lo, buf, off[lo : lo + PART_DOCS + 1])
+                    cut = off[lo : lo + PART_DOCS + 1]
+                    m = len(cut) - 1
+                    row, key = tokens(buf[cut[0] : cut[-1]], cut - cut[0])
+                    rows, keys = asked_keys(row, key)
+                    at = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
+                    here = words[at] == keys if len(words) else np.zeros(len(keys), dtype=bool)
+                    w, x = is_word[at[here]], value[at[here]]
+                    sums = np.stack([np.bincount(row, minlength=m), np.bincount(rows[here], w, minlength=m), np.bincount(rows[here], x * w, minlength=m), np.bincount(rows[here], x * ~w, minlength=m)]).astype(np.float64)
+                    part = (TaskContext.get().partitionId() << 32) + done
                     done += 1
+                    ids, flags = (batch.column(c).slice(i + lo, m) for c in (0, 2))
+                    null = pa.nulls(1, pa.binary())
+                    head = [pa.array([-1], pa.int32()), pa.array([1], pa.int32()), pa.array([part], pa.int64()), pa.array([sums.tobytes()], pa.binary()), null, null, pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), flags)]
+                    yield pa.RecordBatch.from_arrays(head, names=["bucket", "side", "part", "a", "b", "c", "ids", "held"])
+                    rows, keys = rows[~here], keys[~here]
+                    some = maybe_in(known.value, keys.view(np.int64))
+                    p = packed(bucket_of(keys[some]), [keys[some], rows[some].astype(np.uint16)], ["a", "b"])
+                    n = p.num_rows
+                    cols = [p.column(0), pa.array(np.ones(n, dtype=np.int32)), pa.array(np.full(n, part)), p.column(1), p.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "side", "part", "a", "b", "c", "ids", "held"])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            p = packed(bucket_of(key), [key, batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)], ["a", "b", "c"])
+            n = p.num_rows
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=np.int64)), *p.columns[1:]], names=["bucket", "side", "part", "a", "b", "c"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by part and row of the weights asked for; a bucket's weights come before its questions."""
+        now, have, found = None, [], None
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
-    def part(t: Tree, floor: np.ndarray, key: int, batch: pa.RecordBatch, i: int, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
-        buf, off = buf[off[0] : off[-1]], off - off[0]
-        m = len(off) - 1
-        row, h, cls = tokens(buf, off)
-        rows, sym, where = t.stream(off, row, h, cls)
-        logs = t.log_symbols(rows, sym) if len(t.root) else np.zeros(len(sym))
-        first = np.append(True, rows[1:] != rows[:-1])
-        logs[first] = 0  # the end before a text is no token
-        at = t.find(h)
-        here = at >= 0
-        plain = np.where(here, np.log10(t.counts[at] + 0.5) if len(t.words) else 0, 0)
-        in_class = ~here | (t.symbols[at] < 0) if len(t.words) else ~here
-        model_logs = np.bincount(rows, logs, minlength=m) + np.bincount(row, np.where(in_class, plain - floor[cls], 0), minlength=m)
-        size = np.bincount(row, minlength=m) + 1
-        local = np.stack([size, np.bincount(row, here, minlength=m) + (t.docs > 0), np.bincount(row, plain, minlength=m) + np.log10(t.docs + 0.5) - size * np.log10(t.n + 0.5 * (t.v + 1)), model_logs])
-        ids, flags = batch.column(0).slice(i, m).to_pylist(), batch.column(2).slice(i, m).to_pylist()
-        out = [(key, -1, ids, flags, local.tobytes(), b"")]
-        ask_h, ask_row = h[~here], row[~here].astype(np.uint16)
-        b = (bw.mix(ask_h) >> bw.U(64 - n.bit_length() + 1)).astype(np.int64)
-        order = np.lexsort((ask_h, b))
-        ask_h, ask_row, cut = ask_h[order], ask_row[order], np.searchsorted(b[order], np.arange(n + 1))
-        out += [(key, k, None, None, ask_h[cut[k] : cut[k + 1]].tobytes(), ask_row[cut[k] : cut[k + 1]].tobytes()) for k in range(n) if cut[k] < cut[k + 1]]
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "bucket", "ids", "held", "a", "b"])
-
-    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        """Sums by row of the logs of the asked words' counts, and how many of them are known."""
-        k = np.concatenate([np.zeros(0, dtype=np.uint64), *[np.frombuffer(x.as_py(), dtype=np.uint64) for x in known.column("keys")]])
-        c = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x.as_py(), dtype=np.int64) for x in known.column("counts")]])
-        out = []
-        for p, a, b in zip(asked.column("part"), asked.column("a"), asked.column("b"), strict=True):
-            h, row = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint16)
-            got = np.zeros(len(h), dtype=np.int64)
-            if len(k):
-                at = np.minimum(np.searchsorted(k, h), len(k) - 1)
-                got = np.where(k[at] == h, c[at], 0)
-            rows, at = np.unique(row, return_inverse=True)
-            sums = np.stack([np.bincount(at, np.log10(got + 0.5)), np.bincount(at, got > 0)])
-            out.append((p.as_py(), key[0].as_py(), None, None, sums.tobytes(), rows.tobytes()))
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-        cols = zip(*out, strict=True) if out else [[]] * 6
-        return pa.table([pa.array(col, kind) for col, kind in zip(cols, kinds, strict=True)], names=["part", "bucket", "ids", "held", "a", "b"])
+        def flush() -> pa.RecordBatch:
+            part, row, known_, base, more = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((row, part))
+            part, row = part[order], row[order]
+            first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])))
+            sums = np.stack([np.add.reduceat(x[order], first) for x in (known_, base, more)], axis=1)
+            part, row = part[first], row[first].astype(np.uint16)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = np.append(cut, len(part))
+            out = [(int(part[lo]), row[lo:hi].tobytes(), sums[lo:hi].tobytes()) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            cols = list(zip(*out, strict=True))
+            n = len(out)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_())), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["part", "ids", "held", "rows", "sums"])
 
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bucket, side = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                if bucket != now:
+                    now, have, found = bucket, [], None
+                if side == 0:
+                    have.append(tuple(np.frombuffer(batch.column(c)[r].as_buffer(), dtype=k) for c, k in ((3, np.uint64), (4, np.float64), (5, np.bool_))))
+                    continue
+                if not have:
+                    continue
+                if found is None:
+                    key, value, word = (np.concatenate(c) for c in zip(*have, strict=True))
+                    order = np.argsort(key)
+                    found = key[order], value[order], word[order]
+                key, value, word = found
+                keys, rows = np.frombuffer(batch.column(3)[r].as_buffer(), dtype=np.uint64), np.frombuffer(batch.column(4)[r].as_buffer(), dtype=np.uint16)
+                at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+                hit = key[at] == keys
+                w, x = word[at[hit]], value[at[hit]]
+                held.append((np.full(int(hit.sum()), batch.column(2)[r].as_py()), rows[hit].astype(np.int64), w.astype(np.float64), x * w, x * ~w))
+                size += len(x)
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        ids, flags, local, more = [], [], None, []
-        for b, i, f, x, y in zip(*[table.column(c).to_pylist() for c in ("bucket", "ids", "held", "a", "b")], strict=True):
-            if b < 0:
-                ids, flags, local = i, f, np.frombuffer(x, dtype=np.float64).reshape(4, -1).copy()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    size = tree.n + 0.5 * (tree.v + 1)
+
+    def total(key: tuple, got: pa.Table) -> pa.Table:
+        """All rows of one part, whose number is bounded."""
+        ids = flags = sums = None
+        more = []
+        for i, f, rows, x in zip(*[got.column(c).to_pylist() for c in ("ids", "held", "rows", "sums")], strict=True):
+            if i is not None:
+                ids, flags, sums = i, f, np.frombuffer(x, dtype=np.float64).reshape(4, -1).copy()
             else:
-                more.append((x, y))
-        for x, y in more:
-            rows = np.frombuffer(y, dtype=np.uint16).astype(np.int64)
-            sums = np.frombuffer(x, dtype=np.float64).reshape(2, -1)
-            for to, what in ((1, 1), (2, 0), (3, 0)):
-                local[to][rows] += sums[what]
+                more.append((np.frombuffer(rows, dtype=np.uint16).astype(np.int64), np.frombuffer(x, dtype=np.float64).reshape(-1, 3)))
+        for rows, x in more:
+            for c in range(3):
+                np.add.at(sums[c + 1], rows, x[:, c])
+        base = sums[0] * np.log10(0.5 / size) + sums[2]
+        cols = [ids, flags, sums[0].round().astype(np.int64), sums[1].round().astype(np.int64), base, base + sums[3]]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        cols = [ids, flags, local[0].round().astype(np.int64), local[1].round().astype(np.int64), local[2], local[3]]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    asked = stage_table(docs.select("doc_id", "text", "held_out").mapInArrow(ask, ASKED), "asked")
-    got = asked.where("bucket >= 0").groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, ASKED)
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = asked.where("bucket < 0").unionByName(got).groupBy("part").applyInArrow(total, kind)
+    asked = stage_table(docs.select("doc_id", "text", "held_out").mapInArrow(ask, ASKED + ", ids array<long>, held array<boolean>"), "asked")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = asked.where("bucket >= 0").drop("ids", "held").unionByName(far.mapInArrow(table, ASKED))
+    got = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "side").mapInArrow(answer, ANSWER)
+    own = asked.where("bucket < 0").select("part", "ids", "held", F.lit(None).cast("binary").alias("rows"), F.col("a").alias("sums"))
+    out = own.unionByName(got).groupBy("part").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under a tree learned from four of five."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(5, 1), F.lit(False)).alias("held_out"))
-    tree, words = learn(docs.where("not held_out"))
-    return score(docs, tree, words)
+    return score(docs, learn(docs.where("not held_out")))
