@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from chainweave.llm import chat, collinear, decontaminate, language, mixing, ngram_join, queries, sharding, spotsigs, suffix_dedup, suffix_tree_lm
 
@@ -94,21 +95,97 @@ def test_language(spark, docs, empty):
     assert len(rows) == 1000 and sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
-def test_suffix_tree_base_by_brute_force(docs, empty):
-    rows = docs.collect()
-    train = docs.where("doc_id <> 3")
-    tree, table = suffix_tree_lm.learn(train)
-    toks = {r.doc_id: [*(r.text or "").split(), None] for r in rows}
-    count = collections.Counter(w for i, t in toks.items() if i != 3 for w in t)
-    n, v = sum(count.values()), len(count)
+def test_rejection(spark):
+    """Texts of other languages, random letters, encoded bytes and numbers go; texts of the learned languages stay, short ones too."""
+    import base64
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(6)
+    finnish = "tämä on suomenkielinen teksti joka kertoo pitkän tarinan metsästä ja järvestä sekä ihmisistä jotka asuvat siellä kaukana pohjoisessa ja kalastavat talvella jäällä "
+    odd = [finnish * 2, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900)), base64.b64encode(r.randbytes(600)).decode(), r.randbytes(500).hex(), "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 3, "12 345 ½ ²³", None, ""]
+    rows = spark.createDataFrame([(10**6 + i, t, None, "odd", len(t or "")) for i, t in enumerate(odd)], docs.schema)
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, docs.unionByName(rows), "").select("doc_id").collect()}
+    every = {x.doc_id for x in docs.select("doc_id").collect()}
+    assert kept == every
+    model = language.fit(docs)
+    got = {x.row.doc_id: x for x in language.identify(rows, model).collect()}
+    assert got[10**6 + 5].lang_pred == "und" and got[10**6 + 5].score == 0  # no letter: a fraction and powers are none
+
+
+def tree_by_hand(texts, depth, least):
+    """Log10 probability of the next token after some others, from plain counts; and the words known."""
+    import math
+
+    toks = [[*(t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split(), None] for t in texts]
+    words = collections.Counter(w for t in toks for w in t)
+    n, v = sum(words.values()), len(words)
+    nexts = collections.defaultdict(collections.Counter)
+    for t in toks:
+        for d in range(1, depth + 1):
+            for i in range(d, len(t)):
+                nexts[tuple(t[i - d : i])][t[i]] += 1
+    seen = lambda c: sum(nexts[c[:-1]][c[-1]] for _ in (0,)) if len(c) > 1 else words[c[0]]
+    states = {}
+
+    def p(w, context):
+        if not context:
+            return (words[w] + 0.5) / (n + 0.5 * (v + 1))
+        if context not in states:
+            return p(w, context[1:])
+        c, total = states[context]
+        return (c.get(w, 0) + (total - sum(c.values()) + 20) * p(w, context[1:])) / (total + 20)
+
+    for d in range(1, depth + 1):
+        for c in sorted((c for c in nexts if len(c) == d), key=repr):
+            kept = {w: k for w, k in nexts[c].items() if k >= 2}
+            if seen(c) >= least and kept and (d == 1 or c[1:] in states and nexts[c[:-1]][c[-1]] >= 2 and c[:-1] in states):
+                t, total = sum(kept.values()), seen(c)
+                gain = sum(k * math.log(k / total / p(w, c[1:])) for w, k in kept.items())
+                gain += (total - t) * math.log((total - t) / total / max(1e-12, 1 - sum(p(w, c[1:]) for w in kept))) if total > t else 0
+                if gain >= 0.5 * len(kept) * math.log(n):
+                    states[c] = (kept, total)
+    return toks, words, n, v, states, p
+
+
+def test_suffix_tree_by_brute_force(spark, docs, empty):
     import math
 
-    got = {r.doc_id: r for r in suffix_tree_lm.score(docs.selectExpr("doc_id", "text", "doc_id = 3 as held_out"), tree, table).collect()}
-    for i, t in toks.items():
-        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(count[w] > 0 for w in t), n)
-        assert abs(got[i].base_score - base) < 1e-6 and got[i].score < 0
-    assert sum(10 ** x for x in tree.root.tolist() if x > -300) == pytest.approx(1)
+    r = random.Random(12)
+    heads = ["the old", "a very", "on the", "in a"]
+    odd = [" ".join(f"{r.choice(heads)} w{r.randrange(6)} and {r.choice(('x', 'Y', 'z'))}{r.randrange(3)}" for _ in range(r.randrange(1, 30))) for _ in range(60)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(100 + i, t) for i, t in enumerate(odd)] + [(100, odd[1]), (None, odd[2]), (None, None)]
+    every = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.expr("coalesce(doc_id % 5 = 1, false)"))
+    _, words_, n, v, states, p = tree_by_hand([t for i, t in rows if i is None or i % 5 != 1], 2, 8)
+    tree = suffix_tree_lm.learn(every.where("not held_out"), 2, 8)
+    assert (tree.n, tree.v, tree.states) == (n, v, [sum(len(c) == d for c in states) for d in (1, 2)]) and all(tree.states)
+    want = []
+    for i, text in rows:
+        t = [*(text or "").lower().split(), None]
+        base = sum(math.log10((words_[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        model = sum(math.log10(p(w, tuple(t[max(0, k - 2) : k]))) for k, w in enumerate(t))
+        want.append((-1 if i is None else i, len(t), sum(words_[w] > 0 for w in t), n, round(base, 6), round(model, 6)))
+    got = suffix_tree_lm.score(every, tree).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 6)) for x in got) == sorted(want)
+    # every state's distribution sums to 1 over all words and the unknown one
+    for c in [(), *states]:
+        assert sum(p(w, c) for w in words_) + p("unknown!", c) == pytest.approx(1)
+    none = suffix_tree_lm.score(every.limit(3), suffix_tree_lm.learn(empty)).collect()
+    assert {x.train_tokens for x in none} == {0} and suffix_tree_lm.score(empty.selectExpr("doc_id", "text", "true as held_out"), tree).count() == 0
+
+
+def test_suffix_tree_gain(spark):
+    """On held-out documents the tree is better than single words, and it has more states where there is more text."""
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", F.expr("crc32(cast(doc_id as string)) % 5 = 1").alias("held_out"))
+        tree = suffix_tree_lm.learn(d.where("not held_out"))
+        sizes.append(tree.states)
+        x = suffix_tree_lm.score(d, tree).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        print(tree.states, x.s / x.n, x.b / x.n)
+        assert x.s > x.b
+    assert all(b > 2 * a for a, b in zip(*sizes, strict=True))
 
 
 def test_chat_parts(spark):
