@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chainweave.llm.rows import fresh_name, identified
 from chainweave.session import read_table
 
 UPPER, PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows up to which the test side is broadcast, about 100 MB; beyond it the join is shuffled.
-MAX_BROADCAST_WINDOWS = 500_000
+#: Bytes of windows and item lists up to which the test side is broadcast; beyond it the join is shuffled.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 #: The ASCII characters that part words; none of them is special to trim.
@@ -49,18 +50,23 @@ def item_windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
     return w.select("item", "len", F.array_join("ws", " ").alias("window")).groupBy("len", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, start, len, items) for every place where an item's window occurs; start counts words from 0."""
+def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """(uid, start, len, items) for every place of docs (uid, text) where an item's window occurs; start counts words from 0.
+
+    A large test side is met by a shuffle of (uid, place, hash) only; what meets is held against the words of its
+    documents afterwards.
+    """
     windows = item_windows(items, k)
-    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # k rows at most
+    size = F.octet_length("window") + 40 + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.sum(size).alias("n")).collect()}  # k rows at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, start int, len int, items array<string>")
+        return docs.sparkSession.createDataFrame([], "uid long, start int, len int, items array<string>")
     lens = sorted(sizes)
-    rows = docs.select("doc_id", word_list(F.col("text")).alias("words"))
+    rows = docs.select("uid", word_list(F.col("text")).alias("words"))
     rows = rows.withColumn("hashes", F.expr(f"case when size(words) >= {lens[0]} then transform(words, x -> xxhash64(x)) end"))
     rows = rows.select("*", F.explode(F.array(*map(F.lit, lens))).alias("len"))
     # coalesce: of a plain column, Spark would infer a filter that splits and hashes every text twice
-    rows = rows.select("doc_id", "words", "hashes", "len", F.posexplode(F.coalesce("hashes", F.array().cast("array<bigint>"))).alias("start", "first"))
+    rows = rows.select("uid", "words", "hashes", "len", F.posexplode(F.coalesce("hashes", F.array().cast("array<bigint>"))).alias("start", "first"))
     rows = rows.where("start + len <= size(hashes)")
 
     def combined(hash_at) -> Column:
@@ -73,38 +79,46 @@ def hits(docs: DataFrame, items: DataFrame, k: int = WINDOW, max_broadcast: int
     rows = rows.withColumn("hash", combined(lambda j: F.get("hashes", F.col("start") + j)))
     own_words = F.split("window", " ")
     own = windows.select(F.col("len").alias("w_len"), combined(lambda j: F.xxhash64(F.get(own_words, F.lit(j)))).alias("w_hash"), "window", "items")
-    few = sum(sizes.values()) <= max_broadcast
-    found = rows.join(F.broadcast(own) if few else own, (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len")))
+    meet = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len"))
     # as many words on both sides: a prefix is the whole. An equality would become a join key, built for every window
     same = F.startswith(F.concat(F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " "), F.lit(" ")), F.concat("window", F.lit(" ")))
-    return found.where(same).select("doc_id", "start", "len", "items")
+    if sum(sizes.values()) <= max_broadcast:
+        return rows.join(F.broadcast(own), meet).where(same).select("uid", "start", "len", "items")
+    found = rows.select("uid", "start", "len", "hash").join(own, meet)
+    found = found.groupBy("uid").agg(F.collect_list(F.struct("start", "len", "window", "items")).alias("found"))  # bounded by the text
+    found = docs.select("uid", word_list(F.col("text")).alias("words")).join(found, "uid").select("uid", "words", F.explode("found").alias("f"))
+    return found.select("uid", "words", "f.*").where(same).select("uid", "start", "len", "items")
 
 
 def hit_summary(found: DataFrame) -> DataFrame:
-    """(doc_id, n_hit, items): words inside any hit, and the sorted distinct items."""
-    before = Window.partitionBy("doc_id").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
+    """(uid, n_hit, items): words inside any hit, and the sorted distinct items."""
+    before = Window.partitionBy("uid").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
     rows = found.withColumn("until", F.coalesce(F.max(end).over(before), F.lit(0)))
     rows = rows.withColumn("fresh", F.greatest(F.lit(0), end - F.greatest("start", "until")))
-    return rows.groupBy("doc_id").agg(F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return rows.groupBy("uid").agg(F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items, contaminated.
 
-    Null or empty texts have no words and no hits; an empty benchmark leaves everything clean.
-    Rows of one doc_id are taken as one document for hits.
+    Null or empty texts have no words and no hits; an empty benchmark leaves everything clean, and so do items
+    without id or words. Every row is judged by its own text, also rows of one doc_id or of none.
     """
-    found = hit_summary(hits(docs, items))
-    rows = docs.select("doc_id", word_count(F.col("text")).alias("n_words"))
+    docs = identified(docs.select("doc_id", "text"))
+    found = hit_summary(hits(docs, items, max_broadcast=max_broadcast))
+    rows = docs.select("uid", "doc_id", word_count(F.col("text")).alias("n_words"))
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     got = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(found, "doc_id", "left").select("doc_id", "n_words", n.alias("n_hit"), F.size(got).cast("long").alias("n_items"), got.alias("items"), (n > 0).alias("contaminated"))
+    return rows.join(found, "uid", "left").select("doc_id", "n_words", n.alias("n_hit"), F.size(got).cast("long").alias("n_items"), got.alias("items"), (n > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents in which a benchmark window occurs; rows without doc_id stay."""
-    return docs.join(hits(docs.where("doc_id is not null"), items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """docs without the rows in whose text a benchmark window occurs; other columns are kept as they are."""
+    name = fresh_name(docs, "uid")
+    rows = identified(docs, name)
+    found = hits(rows.select(F.col(name).alias("uid"), "text"), items, max_broadcast=max_broadcast)
+    return rows.join(found.select(F.col("uid").alias(name)).distinct(), name, "left_anti").drop(name)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ HOT_SHARE = 1e-3
 
 
 def identified(docs: DataFrame, name: str = "uid") -> DataFrame:
-    """docs with a long column ``name`` that differs in every row and rises with doc_id, null first.
+    """docs with a long column ``name`` that differs in every row and rises with doc_id, null last.
 
     Where doc_id is unique and never null it is the doc_id itself. Else rows are numbered along
     doc_id and written, so that later reads see the same numbers; rows of one doc_id keep the order of
@@ -24,10 +24,18 @@ def identified(docs: DataFrame, name: str = "uid") -> DataFrame:
         return docs.withColumn(name, ids)
     # the row's place is a sort key too, so that a third of all rows under one doc_id is cut into many ranges
     laid = docs.withColumn(name, F.monotonically_increasing_id())
-    laid = laid.orderBy(ids, F.xxhash64(name), name).withColumn(name, F.monotonically_increasing_id())
+    laid = laid.orderBy(ids.asc_nulls_last(), F.xxhash64(name), name).withColumn(name, F.monotonically_increasing_id())
     return stage_table(laid, "rows")
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until docs has no such column, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, share: float = HOT_SHARE) -> DataFrame:
     """Inner join of rows with table (one row a key) where ``count`` tells how many of the ``total`` rows a key has.
 

@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
 
     Null texts are empty and texts shorter than ``length`` keep all. Every row is a document of its own, whatever
     its doc_id: equal rows are copies of each other, and with keep_first the first of them in order of reading stays.
-    Null doc_ids come first.
+    Null doc_ids come last.
     """
     docs = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     spans = stage_table(repeated(docs, length, keep_first, crowd), "spans")
