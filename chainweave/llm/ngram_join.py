@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from chainweave.llm import bytewords as bw
 from chainweave.llm.bounded import bloom, maybe_in
+from chainweave.llm.rows import fresh_name, identified, keyed_join
 from chainweave.operators.components import connected_components
 from chainweave.session import read_table, stage_table
 
@@ -161,21 +162,18 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return rows.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string).
+def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string), whose doc_ids are unique and not null.
 
     Null and empty texts have no shingles and stay alone, as every document without a link does: its
-    component is its own doc_id. Equal sets are linked. Rows of one doc_id keep one row each and
-    share a component with each other if their sets are linked. Rows without doc_id come back with
-    null as component.
+    component is its own doc_id. Equal sets are linked.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.where("doc_id is not null")
+    known = docs
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(known, k))
     every = stage_table(sketch_sets(docs, levels, k, percent), "prefixes")
-    filled = every.where("n > 0 and doc_id is not null")
-    firsts = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = filled.join(firsts, (filled.set_key == firsts.set_key) & (filled.doc_id == firsts.rep), "left_semi").dropDuplicates(["doc_id"])
+    filled = every.where("n > 0")
+    firsts = stage_table(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "firsts")
+    reps = filled.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     post = reps.select("doc_id", (F.col("n") * 32 + F.col("ell")).alias("meta"), "rarity", F.posexplode("prefix").alias("pos", "tok"))
     post = post.select("tok", "doc_id", "meta", (F.col("pos").cast("long") * 256 + F.col("rarity")).alias("spot"))
     token = Window.partitionBy("tok")
@@ -229,9 +227,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rou
     pairs = sharing(stage_table(pairs, "pairs"), filled, matches("ma", "mb"))
     fresh = verified(known, stage_table(pairs, "pairs"), k, percent)
     comps = connected_components(links.unionByName(fresh)).select(F.col("node").alias("rep"), F.col("component"))
-    out = every.select("doc_id", "n", "set_key").join(firsts, "set_key", "left").join(comps, "rep", "left")
-    group = F.when((F.col("n") == 0) | F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), group).alias("component_id"))
+    lone = every.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = keyed_join(filled.select("doc_id", "n", "set_key"), firsts, ["set_key"], "rows", filled.count())
+    out = out.join(comps, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return out.unionByName(lone)
 
 
 def sharing(pairs: DataFrame, sets: DataFrame, least: Column) -> DataFrame:
@@ -249,10 +248,25 @@ def still_open(post: DataFrame, comps: DataFrame, token) -> DataFrame:
     return stage_table(spread.where("lo < hi").select("tok", "doc_id", "meta", "spot", "room", "after", "comp"), "postings")
 
 
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text), see ``groups``.
+
+    Every row is a document of its own, whatever its doc_id: rows of one doc_id are linked only if their sets are alike.
+    The component is the smallest doc_id in it, null where no row of it has one.
+    """
+    rows = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    ids = rows.select("uid", "doc_id")
+    out = groups(rows.select(F.col("uid").alias("doc_id"), "text"), k, percent, rounds).withColumnRenamed("doc_id", "uid")
+    named = out.join(ids, "uid").join(ids.select(F.col("uid").alias("component_id"), F.col("doc_id").alias("first")), "component_id")
+    return named.select("doc_id", "n_shingles", F.col("first").alias("component_id"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one of the smallest doc_id. Rows without doc_id stay."""
-    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group: the one of the smallest doc_id, or one of them. All columns are kept as they are."""
+    name = fresh_name(docs, "uid")
+    rows = identified(docs, name)
+    dropped = groups(rows.select(F.col(name).alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return rows.join(dropped, name, "left_anti").drop(name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

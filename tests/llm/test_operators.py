@@ -72,6 +72,32 @@ def test_decontamination_of_odd_rows(spark, docs, empty):
     assert decontaminate.contamination(empty, items).count() == 0
 
 
+@pytest.mark.parametrize("max_broadcast", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_decontamination_of_repeated_rows(spark, docs, max_broadcast):
+    """Rows of one doc_id and rows without one are judged each by itself, whichever way the sides meet; clashing names stay."""
+    items = spark.createDataFrame([(1, words(70, 14)), (2, "tiny ITEM"), (None, "null item")], "item_id long, text string")
+    clean = words(71, 40)
+    texts = [(None, words(70, 14)), (None, clean), (5, "!" + " ".join(words(70, 14).split()[1:])), (5, clean + " tiny item"), (5, clean + " null item"), (5, None)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(rows, items, max_broadcast).collect())
+    assert got == sorted([(-1, 14, 14, 1), (-1, 40, 0, 0), (5, 13, 13, 1), (5, 42, 2, 1), (5, 42, 0, 0), (5, 0, 0, 0)])
+    odd = rows.withColumn("UID", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("len", F.lit(3))
+    kept = decontaminate.remove_contaminated(odd, items, max_broadcast)
+    assert kept.columns == odd.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, clean, 1, 2, 3), (5, clean + " null item", 1, 2, 3), (5, None, 1, 2, 3)], key=repr)
+
+
+def test_join_of_repeated_rows(spark):
+    """Rows of one doc_id or of none are documents of their own; one row of each group stays."""
+    a, b = words(80, 60), words(81, 60)
+    rows = spark.createDataFrame([(1, a), (1, b), (3, b + " z"), (2, a), (2, a), (None, b), (None, words(82, 60)), (4, None), (4, "")], "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(rows).collect() if r.n_shingles)
+    assert [(g[0], g[2]) for g in got] == [(-1, None), (-1, 1), (1, 1), (1, 1), (2, 1), (2, 1), (3, 1)] or [(g[0], g[2]) for g in got] == [(-1, 1), (-1, None), (1, 1), (1, 1), (2, 1), (2, 1), (3, 1)]
+    odd = rows.withColumn("uid", F.lit(1)).withColumn("a.b", F.lit(2))
+    kept = ngram_join.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert sorted((str(r[0]), str(r[1])) for r in kept.collect()) == sorted([("1", a), ("1", b), ("None", words(82, 60)), ("4", "None"), ("4", "")])
+
+
 def test_decontamination_words_by_regex(spark):
     texts = [None, "", " \t--", "One", "-One, TWO.", "ÉTÉ Été a_B\x00c", "İ x", "\u00a0A\u00a0 b", "7Up\n\n[^x]"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -305,7 +331,7 @@ def test_suffix_dedup_by_brute_force(spark, docs, empty, first, crowd):
     base = words(1, 300)
     more = [(20, base[:900]), (20, base[:900]), (20, base[50:700] + "!"), (None, base[100:950]), (None, None), (21, "a" * 700), (22, "b" + "a" * 650), (23, base[:450] + "#" + base[451:]), (24, words(6, 150) * 2)]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    raw = [(-1 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in rows.collect()]
+    raw = [(99 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in rows.collect()]
     seen = collections.Counter(t[i : i + 400] for _, t in raw for i in range(len(t) - 399))
 
     def brute(order):
@@ -321,10 +347,10 @@ def test_suffix_dedup_by_brute_force(spark, docs, empty, first, crowd):
         return sorted(want)
 
     got = suffix_dedup.remove_repeats(rows, keep_first=first, crowd=crowd).collect()
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+    got = sorted((99 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
     # rows of one doc_id stand in any order
     ways = [sorted(raw, key=lambda r: r[0]), sorted(raw[::-1], key=lambda r: r[0])]
-    same = [[i for i, r in enumerate(ways[0]) if r[0] == d] for d in (-1, 20)]
+    same = [[i for i, r in enumerate(ways[0]) if r[0] == d] for d in (99, 20)]
     ways = [[ways[0][k] for k in [*p, *[i for i in range(len(raw)) if i not in same[0] and i not in same[1]], *q]] for p in itertools.permutations(same[0]) for q in itertools.permutations(same[1])] if first else ways[:1]
     ways = [sorted(w, key=lambda r: r[0]) for w in ways]
     assert got in [brute(w) for w in ways]
