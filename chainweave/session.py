@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-chainweave-", dir="/tmp")
     else:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_chainweave"
+        if folder.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -51,4 +53,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing will read again; a result that was made from them must be staged by then."""
+    for t in tables:
+        _drop(t.sparkSession, t._staged_at)
