@@ -1,7 +1,7 @@
 """Chat formatting of typed content parts, reversible, with a loss mask. Only DataFrame functions.
 
 A turn is written as ``### role:``, a line feed, its body, a line feed, ``</turn>`` and a line feed.
-In bodies and roles a backslash goes before every backslash, ``#``, ``<`` and (in roles) ``:``, so that
+In bodies and roles a backslash goes before every backslash, ``#``, ``<``, in roles ``:`` and in types ``|`` and ``>``, so that
 no text can look like a turn's mark or a placeholder, and taking one backslash away before any
 character gives the text back.
 """
@@ -31,7 +31,7 @@ def unescape(text: Column) -> Column:
 def visit(part: Column) -> Column:
     """What one part is in the body: escaped text, or a placeholder that names its type."""
     kind = F.coalesce(part["type"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(kind), F.lit("|>")))
+    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(kind, r"\\#<|>"), F.lit("|>")))
 
 
 def part_tokens(part: Column) -> Column:
@@ -78,12 +78,25 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: Column) -> Column:
-    """array<struct<role,text>> of a formatted conversation's turns; placeholders stay as they are."""
+    """array<struct<role,text>> of a formatted conversation's turns; placeholders stay as they are, see ``read_parts``."""
     whole = rf"(?s)^{HEAD}((?:[^:\\]|\\.)*){COLON}(.*)$"
     pieces = F.filter(F.split(formatted, FOOT), lambda p: p != "")
     return F.transform(pieces, lambda p: F.struct(unescape(F.regexp_extract(p, whole, 1)).alias("role"), unescape(F.regexp_extract(p, whole, 2)).alias("text")))
 
 
+def read_parts(text: Column) -> Column:
+    """array<struct<type,text>> of a turn's body as it stands in the format: runs of text, and placeholders by type (null text)."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)<\|(?:[^|\\]|\\.)*\|>|(?:\\.|[^\\<])+"), F.lit(0))
+    kind = lambda p: F.when(p.startswith("<|"), unescape(F.regexp_extract(p, r"(?s)^<\|(.*)\|>$", 1))).otherwise("text")
+    return F.transform(pieces, lambda p: F.struct(kind(p).alias("type"), F.when(~p.startswith("<|"), unescape(p)).alias("text")))
+
+
+def bodies(formatted: Column) -> Column:
+    """The turns' bodies as they stand in the format."""
+    whole = rf"(?s)^{HEAD}((?:[^:\\]|\\.)*){COLON}(.*)$"
+    return F.transform(F.filter(F.split(formatted, FOOT), lambda p: p != ""), lambda p: F.regexp_extract(p, whole, 2))
+
+
 def masked(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped, with nothing between the spans."""
     return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["chars"].cast("int")))), "")
