@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 0,
     key = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source").cast("string"), F.lit("")))
     total = sources(docs, key)
     size = max(1, -(-sum(total.values()) // max_blocks))
-    share = {s: Fraction((weights or {}).get(s[1:], n**0.5)).limit_denominator(10**6) for s, n in total.items()}
+    asked = {s: Fraction((weights or {}).get(s[1:], n**0.5)) for s, n in total.items()}
+    share = {s: w.limit_denominator(10**6) or w for s, w in asked.items()}
     if any(w <= 0 for w in share.values()):
         raise ValueError("weights must be above 0")
     order, at = [], 0

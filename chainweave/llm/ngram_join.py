@@ -15,7 +15,7 @@ and only lists that still join different components go on. What is left then is
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,11 @@ def needed(n: np.ndarray | int, percent: int = PERCENT):
     return (percent * n + 99) // 100
 
 
-def doc_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[object, np.ndarray]]:
-    """(doc_id, sorted distinct shingle hashes) of every row of (doc_id, text)."""
+def doc_sets(batches: Iterator[pa.RecordBatch], k: int | Callable) -> Iterator[tuple[object, np.ndarray]]:
+    """(doc_id, sorted distinct hashes) of every row of (doc_id, text): of k-word shingles, or what k itself gives of the batches."""
+    if callable(k):
+        yield from k(batches)
+        return
     for batch in batches:
         ids = batch.column(0)
         for i, j, buf, off in bw.pieces(batch):
@@ -162,7 +165,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return rows.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
-def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def groups(docs: DataFrame, k: int | Callable = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string), whose doc_ids are unique and not null.
 
     Null and empty texts have no shingles and stay alone, as every document without a link does: its

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chainweave.llm.rows import fresh_name
 from chainweave.session import read_table, stage_table
 
 #: Bytes that a shard spends on a row besides its text.
@@ -75,8 +76,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """
     order = file_order(docs)
     kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(f"_order{i}") for i, c in enumerate(order)])
-    out = shard_by_bytes(rows, [F.col(f"_order{i}") for i in range(len(order))], text_size(F.col("text")), n_shards)
+    names = [fresh_name(docs, f"_order{i}") for i in range(len(order))]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in zip(names, order, strict=True)])
+    out = shard_by_bytes(rows, [F.col(n) for n in names], text_size(F.col("text")), n_shards)
     return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "size", "shard", "slot")
 
 

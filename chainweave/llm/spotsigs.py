@@ -3,8 +3,9 @@
 Every occurrence of an anchor (a common word) starts a chain of the next content words, spaced by
 ``SPACING``; a signature is the hash of the anchor and its chain, a fingerprint the set of a text's
 signatures. A text with words but without any chain has one signature, of all its words.
-Sets are compared by Jaccard. Two sets of sizes n <= m can't be alike beyond n / m, so pairs are
-sought in partitions of set length only, and a pair is left as soon as the bound shows.
+Sets are compared by Jaccard, from LEAST on. Lengths are cut into partitions that grow by 1 / LEAST, so that two
+sets alike to that are in one partition or in neighbours; others, and sets whose sizes alone are too far
+apart, aren't compared. ``near_groups`` seeks all documents that are alike by their signatures.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainweave.llm import bytewords as bw
+from chainweave.llm.ngram_join import groups
 from chainweave.session import read_table
 
-#: Common function words of English, German, French and Spanish.
+#: Anchors where no others are given: function words of English, German, French and Spanish.
 ANCHORS = (
     "the of and to in is that it for with as was on be by at this from are or an have not which but "
     "der die das und ist ein eine den von zu mit auf im dem sich des nicht es als auch "
@@ -31,6 +33,8 @@ ANCHORS = (
     "el los las del se por con una su para al lo como no si"
 ).split()
 CHAIN, SPACING = 2, 1
+#: Likeness below this is 0.
+LEAST = 0.1
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -72,24 +76,44 @@ def written(s: np.ndarray) -> str:
     return base64.b64encode(s.astype("<u4").tobytes()).decode()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Likeness of two fingerprints, or 0.0 as soon as it must be below ``least``. Two empty ones are alike."""
+def length_partition(n: int, least: float = LEAST) -> int:
+    """Partitions grow by 1 / least, so that partners are in one partition or in neighbours."""
+    return 0 if n == 0 else 1 + int(math.log(n) / math.log(1 / least) + 1e-9)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
+    """Likeness of two fingerprints, 0.0 below ``least``; sets that can't reach it by length aren't compared. Two empty ones are alike."""
     n, m = sorted((len(a), len(b)))
     if m == 0:
         return 1.0
-    if n == 0 or n < least * m:
+    if length_partition(m, least) - length_partition(n, least) > 1 or n < least * m:
         return 0.0
     both = np.sort(np.concatenate([a, b]))
     inter = int(np.count_nonzero(both[1:] == both[:-1]))
-    return inter / (n + m - inter)
+    out = inter / (n + m - inter)
+    return out if out >= least else 0.0
 
 
-def length_partition(n: int, least: float) -> int:
-    """Partitions grow by 1 / least, so that partners are in one partition or in neighbours."""
-    return 0 if n == 0 else 1 + int(math.log(n) / math.log(1 / least) + 1e-9)
+def near_groups(docs: DataFrame, percent: int = 80, words: tuple[str, ...] | list[str] = ANCHORS) -> DataFrame:
+    """(doc_id, n_signatures, component_id) of every row of docs (doc_id, text), whose doc_ids are unique and not null.
+
+    Documents whose signature sets are alike to ``percent`` are linked, by the join of the n-gram operator: candidates share
+    rare signatures, sizes and places bound them before they are counted, and groups of any size stay linear.
+    """
+    anchors = _hash_words(list(words))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                texts = part.column(1).cast(pa.large_string()).fill_null("").to_pylist()
+                for d, s in zip(part.column(0).to_pylist(), signatures(texts, anchors), strict=True):
+                    yield d, np.sort(bw.mix(s.astype(np.uint64)))
+
+    return groups(docs.select("doc_id", "text"), sets, percent).withColumnRenamed("n_shingles", "n_signatures")
 
 
-def fingerprint_neighbours(docs: DataFrame, bucket_rows: int = 1000, max_buckets: int = 8192) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame, bucket_rows: int = 1000, max_buckets: int = 8192, words: tuple[str, ...] | list[str] = ANCHORS) -> DataFrame:
     """op6's digest of every row of docs (doc_id, text), each compared with the next by doc_id.
 
     Ids are cut into buckets at ids that occur; the first rows of a bucket also go, marked, to the
@@ -114,7 +138,7 @@ def fingerprint_neighbours(docs: DataFrame, bucket_rows: int = 1000, max_buckets
     tails = rows.join(F.broadcast(cut_ids), "id").select("id", "text", F.col("before").alias("bucket"), F.lit(True).alias("tail"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = own.unionByName(tails).repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "id", "text")
-    anchors = _hash_words(list(ANCHORS))
+    anchors = _hash_words(list(words))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures"]
 
     def digest(held: list[tuple]) -> pa.RecordBatch:
