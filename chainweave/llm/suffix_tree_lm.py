@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from chainweave.llm import bytewords as bw
 from chainweave.llm.bounded import bloom, maybe_in
 from chainweave.llm.language import held_out
-from chainweave.session import read_table, stage_table
+from chainweave.session import read_table, release, stage_table
 
-DEPTH, LEAST_CONTEXT, LEAST_ENTRY, SMOOTH = 2, 16, 2, 20.0
+DEPTH, LEAST_CONTEXT, LEAST_ENTRY, SMOOTH = 2, 32, 2, 20.0
 LOCAL_SHARE = 4e-6
 #: Hash ranges of counts and weights; tokens counted, and answers added up, at once; documents asked for at once.
 BUCKET_BITS, FLUSH, PART_DOCS = 12, 4_000_000, 60_000
@@ -177,7 +177,7 @@ def learn(train: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
     weights = words.select("key", F.lit(True).alias("word"), "n", F.log10((F.col("n") + 0.5) / 0.5).alias("value"))
     parents = words.select("key", ((F.col("n") + 0.5) / size).alias("p"))
     contexts = words.where((F.col("n") >= least_context) & (F.col("key") != int(np.int64(END.astype(np.int64))))).select(F.col("key").alias("context"), F.col("n").alias("total"))
-    states = []
+    states, used = [], [words]
     for d in range(1, depth + 1):
         wanted = bloom(contexts.select("context"))
 
@@ -198,15 +198,21 @@ def learn(train: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
         kept = kept.select("context", F.expr(f"total - t + {SMOOTH}").alias("left"), F.expr(f"total + {SMOOTH}").alias("t"), "total")
         kept = stage_table(kept, "states")
         states.append(kept.count())
+        used.append(kept)
         if not states[-1]:
+            release(entries)
             break
         got = entries.drop("total").join(kept.drop("total"), "context")
         got = stage_table(with_key(got).select("key", "n", "p", "left", "t"), "entries")
+        release(entries)
+        used.append(got)
         weights = weights.unionByName(got.select("key", F.lit(False).alias("word"), "n", F.log10(1 + F.col("n") / (F.col("left") * F.col("p"))).alias("value")))
         weights = weights.unionByName(with_key(kept, rest=True).select("key", F.lit(False).alias("word"), F.col("total").alias("n"), F.log10(F.col("left") / F.col("t")).alias("value")))
         parents = got.select("key", ((F.col("n") + F.col("left") * F.col("p")) / F.col("t")).alias("p"))
         contexts = got.where(F.col("n") >= least_context).select(F.col("key").alias("context"), F.col("n").alias("total"))
-    return Tree(total["n"], total["v"], stage_table(weights, "weights"), states)
+    weights = stage_table(weights, "weights")
+    release(*used)
+    return Tree(total["n"], total["v"], weights, states)
 
 
 def with_key(rows: DataFrame, rest: bool = False) -> DataFrame:
@@ -223,7 +229,7 @@ def with_key(rows: DataFrame, rest: bool = False) -> DataFrame:
     return rows.select("context", *([] if rest else ["last"]), *names).mapInArrow(keys, ", ".join(["key long", *[f"{c} {kinds[c]}" for c in names]]))
 
 
-ASKED = "bucket int, side int, part long, a binary, b binary, c binary"
+ASKED = "bucket int, side int, part long, a binary, b binary, c binary, ids array<long>, held array<boolean>"
 ANSWER = "part long, ids array<long>, held array<boolean>, rows binary, sums binary"
 
 
@@ -257,7 +263,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
         return np.concatenate(rows), np.concatenate(keys)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For a part of some rows: what is known of them here (bucket -1), and what isn't by hash range."""
+        """For a part of some rows: what is known of them here (side 2), and what isn't by hash range (side 1)."""
         words, is_word, value = near.value
         done = 0
         for batch in batches:
@@ -275,7 +281,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                     done += 1
                     ids, flags = (batch.column(c).slice(i + lo, m) for c in (0, 2))
                     null = pa.nulls(1, pa.binary())
-                    head = [pa.array([-1], pa.int32()), pa.array([1], pa.int32()), pa.array([part], pa.int64()), pa.array([sums.tobytes()], pa.binary()), null, null, pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), flags)]
+                    head = [pa.array([part % (1 << BUCKET_BITS)], pa.int32()), pa.array([2], pa.int32()), pa.array([part], pa.int64()), pa.array([sums.tobytes()], pa.binary()), null, null, pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), flags)]
                     yield pa.RecordBatch.from_arrays(head, names=["bucket", "side", "part", "a", "b", "c", "ids", "held"])
                     rows, keys = rows[~here], keys[~here]
                     some = maybe_in(known.value, keys.view(np.int64))
@@ -289,7 +295,8 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
             key = batch.column(0).to_numpy().view(np.uint64)
             p = packed(bucket_of(key), [key, batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)], ["a", "b", "c"])
             n = p.num_rows
-            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=np.int64)), *p.columns[1:]], names=["bucket", "side", "part", "a", "b", "c"])
+            cols = [p.column(0), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=np.int64)), *p.columns[1:], pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "side", "part", "a", "b", "c", "ids", "held"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by part and row of the weights asked for; a bucket's weights come before its questions."""
@@ -314,6 +321,10 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 bucket, side = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                if side == 2:  # what a part knows by itself goes on
+                    own = batch.slice(r, 1)
+                    yield pa.RecordBatch.from_arrays([own.column(2), own.column(6), own.column(7), pa.nulls(1, pa.binary()), own.column(3)], names=["part", "ids", "held", "rows", "sums"])
+                    continue
                 if bucket != now:
                     now, have, found = bucket, [], None
                 if side == 0:
@@ -358,12 +369,10 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    asked = stage_table(docs.select("doc_id", "text", "held_out").mapInArrow(ask, ASKED + ", ids array<long>, held array<boolean>"), "asked")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = asked.where("bucket >= 0").drop("ids", "held").unionByName(far.mapInArrow(table, ASKED))
+    both = docs.select("doc_id", "text", "held_out").mapInArrow(ask, ASKED).unionByName(far.mapInArrow(table, ASKED))
     got = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "side").mapInArrow(answer, ANSWER)
-    own = asked.where("bucket < 0").select("part", "ids", "held", F.lit(None).cast("binary").alias("rows"), F.col("a").alias("sums"))
-    out = own.unionByName(got).groupBy("part").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = got.groupBy("part").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
