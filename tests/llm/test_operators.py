@@ -464,3 +464,25 @@ def test_pipeline(spark):
     bad = {r.doc_id for r in decontaminate.op2_decontaminate(spark, SF).where("contaminated").collect()}
     later = {r.doc_id for r in ngram_join.op1_ngram_join(spark, SF).where("doc_id <> component_id").collect()}
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()} - bad - later
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and doc_ids, and columns with the names that stages use; then empty tables."""
+    import corpus_pipeline
+
+    clean = [words(900 + i, 60, 60) for i in range(12)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(clean)] + [(0, clean[0], "en", "s", 1), (None, clean[1], None, None, None), (None, clean[2] + " more", "en", None, 1), (3, words(990, 70, 60), None, "t", 1), (20, None, "en", "s", 1), (21, "", "en", "s", 1), (22, "--", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = ["row", "uid", "shard", "rejected", "position", "m_source", "len", "a.b"]
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    items = spark.createDataFrame([(1, clean[5]), (None, clean[6]), (3, None)], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    assert got.columns == [c for c in docs.columns if c != "shard"] + ["size", "shard", "slot"]
+    kept = sorted((str(r.doc_id), r.text) for r in got.collect())
+    want = [(str(i), t) for i, t in enumerate(clean) if i != 5] + [("3", words(990, 70, 60))]
+    assert kept == sorted(want)
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    items.limit(0).write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
