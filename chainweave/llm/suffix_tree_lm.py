@@ -143,7 +143,7 @@ def pair_counts(train: DataFrame, pairs) -> DataFrame:
 
 @dataclass
 class Tree:
-    """Size of the training texts, the number of states of each depth, and the table of weights (key, word, n, value)."""
+    """Size of the training texts, the number of states of each depth, and the table of weights (key, word, rest, n, value)."""
 
     n: int
     v: int
@@ -174,7 +174,7 @@ def learn(train: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = total["n"] + 0.5 * (total["v"] + 1)
     # a weight is log10 of the probability over that of the unknown word
-    weights = words.select("key", F.lit(True).alias("word"), "n", F.log10((F.col("n") + 0.5) / 0.5).alias("value"))
+    weights = words.select("key", F.lit(True).alias("word"), F.lit(False).alias("rest"), "n", F.log10((F.col("n") + 0.5) / 0.5).alias("value"))
     parents = words.select("key", ((F.col("n") + 0.5) / size).alias("p"))
     contexts = words.where((F.col("n") >= least_context) & (F.col("key") != int(np.int64(END.astype(np.int64))))).select(F.col("key").alias("context"), F.col("n").alias("total"))
     states, used = [], [words]
@@ -206,8 +206,8 @@ def learn(train: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
         got = stage_table(with_key(got).select("key", "n", "p", "left", "t"), "entries")
         release(entries)
         used.append(got)
-        weights = weights.unionByName(got.select("key", F.lit(False).alias("word"), "n", F.log10(1 + F.col("n") / (F.col("left") * F.col("p"))).alias("value")))
-        weights = weights.unionByName(with_key(kept, rest=True).select("key", F.lit(False).alias("word"), F.col("total").alias("n"), F.log10(F.col("left") / F.col("t")).alias("value")))
+        weights = weights.unionByName(got.select("key", F.lit(False).alias("word"), F.lit(False).alias("rest"), "n", F.log10(1 + F.col("n") / (F.col("left") * F.col("p"))).alias("value")))
+        weights = weights.unionByName(with_key(kept, rest=True).select("key", F.lit(False).alias("word"), F.lit(True).alias("rest"), F.col("total").alias("n"), F.log10(F.col("left") / F.col("t")).alias("value")))
         parents = got.select("key", ((F.col("n") + F.col("left") * F.col("p")) / F.col("t")).alias("p"))
         contexts = got.where(F.col("n") >= least_context).select(F.col("key").alias("context"), F.col("n").alias("total"))
     weights = stage_table(weights, "weights")
@@ -244,23 +244,27 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
     order = np.argsort(local["key"].to_numpy().view(np.uint64))
     near = spark.sparkContext.broadcast((local["key"].to_numpy().view(np.uint64)[order], local["word"].to_numpy()[order], local["value"].to_numpy()[order]))
     far = tree.weights.where(F.col("n") < max(1.0, LOCAL_SHARE * tree.n)).select("key", "word", "value")
-    known = bloom(far.select("key"))
+    # words are asked for in any case, other weights only after a state, which are few
+    states, known = bloom(tree.weights.where("rest").select("key")), bloom(far.where("not word").select("key"))
 
-    def asked_keys(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and keys of every weight that the texts may have."""
-        rows, keys = [row], [key]
+    def asked_keys(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Rows and keys of every weight that the texts may have, and the key of the state that each needs; words, which come first, need none."""
+        rows, keys, needs = [row], [key], [np.zeros(len(key), dtype=np.uint64)]
+        before = np.zeros(len(key), dtype=np.uint64)  # keys of the sequences of d words that end at a place
         for d, (at, k) in enumerate(sequences(row, key, depth)):
             if d:
                 rows.append(row[at])
                 keys.append(k)
+                needs.append(rest_key(before[at - 1]))
+            before = np.zeros(len(key), dtype=np.uint64)
+            before[at] = k
             if d < depth and len(at):  # as a context of the next word
-                full = np.zeros(len(key), dtype=np.uint64)
-                full[at] = k
-                after = at[(at + 1 < len(key))]
+                after = at[at + 1 < len(key)]
                 after = after[row[after + 1] == row[after]] + 1
                 rows.append(row[after])
-                keys.append(rest_key(full[after - 1]))
-        return np.concatenate(rows), np.concatenate(keys)
+                keys.append(rest_key(before[after - 1]))
+                needs.append(keys[-1])
+        return np.concatenate(rows), np.concatenate(keys), np.concatenate(needs), len(key)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For a part of some rows: what is known of them here (side 2), and what isn't by hash range (side 1)."""
@@ -272,7 +276,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                     cut = off[lo : lo + PART_DOCS + 1]
                     m = len(cut) - 1
                     row, key = tokens(buf[cut[0] : cut[-1]], cut - cut[0])
-                    rows, keys = asked_keys(row, key)
+                    rows, keys, needs, n_words = asked_keys(row, key)
                     at = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
                     here = words[at] == keys if len(words) else np.zeros(len(keys), dtype=bool)
                     w, x = is_word[at[here]], value[at[here]]
@@ -283,8 +287,9 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                     null = pa.nulls(1, pa.binary())
                     head = [pa.array([part % (1 << BUCKET_BITS)], pa.int32()), pa.array([2], pa.int32()), pa.array([part], pa.int64()), pa.array([sums.tobytes()], pa.binary()), null, null, pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), flags)]
                     yield pa.RecordBatch.from_arrays(head, names=["bucket", "side", "part", "a", "b", "c", "ids", "held"])
-                    rows, keys = rows[~here], keys[~here]
-                    some = maybe_in(known.value, keys.view(np.int64))
+                    plain = (np.arange(len(keys)) < n_words)[~here]
+                    rows, keys, needs = rows[~here], keys[~here], needs[~here]
+                    some = plain | (maybe_in(states.value, needs.view(np.int64)) & maybe_in(known.value, keys.view(np.int64)))
                     p = packed(bucket_of(keys[some]), [keys[some], rows[some].astype(np.uint16)], ["a", "b"])
                     n = p.num_rows
                     cols = [p.column(0), pa.array(np.ones(n, dtype=np.int32)), pa.array(np.full(n, part)), p.column(1), p.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))]
