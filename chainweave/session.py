@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-chainweave-", dir="/tmp")
     else:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_chainweave"
-        if folder.startswith(("file:", "/")):
+        store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        if folder.startswith("file:") or folder.startswith("/") and store.startswith("file:"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
