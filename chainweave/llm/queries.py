@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import chat, collinear, decontaminate, language, mixing, ngram_join, sharding, spotsigs, suffix_dedup, suffix_tree_lm
+from chainweave.llm import chat, collinear, decontaminate, language, mixing, ngram_join, sharding, source_audit, spotsigs, suffix_dedup, suffix_tree_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_mix_plan": mixing.op9_mix_plan,
     "op10_shards": sharding.op10_shards,
+    "op11_source_audit": source_audit.op11_source_audit,
 }
 
 SQL: dict[str, str] = {
     "op1_ngram_join": ngram_join.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
+    "op11_source_audit": source_audit.OP11_SQL,
 }
