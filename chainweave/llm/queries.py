@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import chat, collinear, decontaminate, language, mixing, ngram_join, sharding, source_audit, spotsigs, suffix_dedup, suffix_tree_lm, token_alignment
+from chainweave.llm import chat, collinear, decontaminate, language, mixing, ngram_join, pii, sharding, source_audit, spotsigs, suffix_dedup, suffix_tree_lm, token_alignment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_plan": mixing.op9_mix_plan,
     "op10_shards": sharding.op10_shards,
     "op11_source_audit": source_audit.op11_source_audit,
+    "op12_pii": pii.op12_pii,
     "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
     "op11_source_audit": source_audit.OP11_SQL,
+    "op12_pii": pii.OP12_SQL,
 }
