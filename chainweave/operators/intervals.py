@@ -43,17 +43,24 @@ def range_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of rows whose intervals (a: s, e; b: s2, e2) overlap, equal in keys.
 
     A pair meets in the bins of the longer of the two intervals, at most two of which hold either; only the first
-    bin that both touch counts, so that no pair comes twice and nothing has to be made distinct. A crowded bin is
-    a skewed join key, which adaptive execution splits.
+    bin that both touch counts, so that no pair comes twice and nothing has to be made distinct. An interval is
+    only laid into bins of widths that intervals of the other side have, so that short ones among short ones have one
+    row each. A crowded bin is a skewed join key, which adaptive execution splits.
     """
     width = F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("_level") + 1)
 
     def own(df: DataFrame, s: str, e: str) -> DataFrame:
         return df.withColumn("_level", _level(F.expr(f"{e} - {s} + 1")))
 
-    def lifted(df: DataFrame, s: str, e: str, beyond: int) -> DataFrame:
-        df = own(df, s, e).withColumn("_level", F.explode(F.expr(f"slice(array({', '.join(map(str, range(len(WIDTHS))))}), _level + {beyond + 1}, {len(WIDTHS)})")))
-        return df
+    def occurring(df: DataFrame, s: str, e: str) -> Column:
+        """The levels of a side's intervals as bits of one number, found when the join runs."""
+        return own(df.select(s, e), s, e).agg(F.bit_or(F.expr("shiftleft(1, _level)"))).scalar()
+
+    def lifted(df: DataFrame, s: str, e: str, beyond: int, levels: Column) -> DataFrame:
+        """A row for each level from its own (plus ``beyond``) on that the other side has intervals of."""
+        df = own(df, s, e).withColumn("_there", F.coalesce(levels, F.lit(0)))
+        upward = f"slice(array({', '.join(map(str, range(len(WIDTHS))))}), _level + {beyond + 1}, {len(WIDTHS)})"
+        return df.withColumn("_level", F.explode(F.expr(f"filter({upward}, l -> (_there & shiftleft(1, l)) <> 0)"))).drop("_there")
 
     def binned(df: DataFrame, s: str, e: str) -> DataFrame:
         return df.withColumn("_w", width).withColumn("_bin", F.explode(F.expr(f"sequence({s} div _w, {e} div _w)"))).drop("_w")
@@ -62,4 +69,5 @@ def range_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         met = binned(x, "s", "e").join(binned(y, "s2", "e2"), [*keys, "_level", "_bin"])
         return met.withColumn("_w", width).where("s <= e2 and e >= s2 and _bin = greatest(s, s2) div _w").drop("_level", "_bin", "_w")
 
-    return meet(own(a, "s", "e"), lifted(b, "s2", "e2", 0)).unionByName(meet(lifted(a, "s", "e", 1), own(b, "s2", "e2")))
+    here, there = occurring(a, "s", "e"), occurring(b, "s2", "e2")
+    return meet(own(a, "s", "e"), lifted(b, "s2", "e2", 0, here)).unionByName(meet(lifted(a, "s", "e", 1, there), own(b, "s2", "e2")))
