@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes, each distinct segment of text once.
 
 A text is cut before runs of white space, at those characters only that no token of either vocabulary holds
-behind another character, so that neither tokenizer can merge across a cut. Distinct segments are tokenized and
-aligned once, whatever number of documents hold them. Documents are dealt into blocks of bounded bytes; a block meets
-the alignments of its own distinct segments and composes its documents from them.
+behind another character, so that neither tokenizer can merge across a cut. Documents are packed into blocks of
+bounded bytes: the block's distinct segments, and each document as places among them. Distinct segments of all blocks
+are tokenized and aligned once, with the places that they have in blocks; then each block meets the alignments of its
+segments and composes its documents.
 
 Defined results: a null or empty text, and one of which a tokenizer doesn't give back the bytes, has no tokens, counts
 of 0 and an empty alignment, and adds nothing to any count; rows of one doc_id, or of none, are documents of their own;
@@ -15,29 +16,34 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweave.llm.rows import identified, keyed_join
+from chainweave.llm.rows import keyed_join
 from chainweave.session import read_table, stage_table
 
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
-#: Bytes of text of a block of documents, on average; a longer text is a block with others.
-BLOCK_BYTES = 8 << 20
-#: Rows of id pairs up to which they are broadcast (24 bytes each); beyond it only hot pairs are.
+#: Bytes of text of a block of documents; a longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Blocks whose places of a segment are kept in one row: 64 GB of text. A segment is aligned once for each so many.
+LISTED_BLOCKS = 4096
+#: Id pairs up to which their counts are broadcast (20 bytes each); beyond it they are joined.
 MAX_BROADCAST_PAIRS = 1 << 20
 #: White space of either tokenizer's splitting rule.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-SEGMENT = "seg string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int,k:long>>"
+WIDE_SPACES = [c.encode() for c in SPACES if ord(c) > 127]
+BLOCK = "block long, doc_id array<long>, ends array<long>, words binary, segs array<string>, n array<long>"
+SEGMENT = "ok boolean, n_a long, groups string, links array<struct<a:int,b:int,k:long>>, n long, places array<struct<block:long,pos:int>>"
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+SCORED = ["places", "ok", "n_a", "groups", "n_best", "count_sum"]
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -88,12 +94,57 @@ def safe_spaces(a_path: str, b_path: str) -> str:
     return "".join(c for c in "\t\n\x0b\x0c\r " if c not in behind)
 
 
-def segments(text: Column, safe: str) -> Column:
-    """A space and the text, cut before every run of white space that starts with a safe character."""
-    if not safe:
-        return F.array(F.concat(F.lit(" "), text))
-    inside = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
-    return F.split(F.concat(F.lit(" "), text), f"(?<=[^{inside}])(?=[{''.join(f'\\x{ord(c):02x}' for c in safe)}])")
+def cuts(buf: np.ndarray, starts: np.ndarray, safe: str) -> np.ndarray:
+    """Where segments begin in the bytes of texts that begin at ``starts``: there, and at safe white space behind anything else."""
+    kind = np.zeros(256, dtype=np.uint8)
+    kind[[ord(c) for c in SPACES if ord(c) < 128]] = 1
+    kind[[ord(c) for c in safe]] |= 2
+    k = kind[buf]
+    at = np.flatnonzero((k[1:] & 2 != 0) & (k[:-1] & 1 == 0)) + 1
+    wide = np.zeros(len(at), dtype=bool)
+    high = np.flatnonzero(buf[at - 1] >= 0x80)  # the last byte of a longer character, which may be a space too
+    for c in WIDE_SPACES:
+        same = np.ones(len(high), dtype=bool)
+        for i, x in enumerate(reversed(c)):
+            same &= buf[np.maximum(at[high] - 1 - i, 0)] == x
+        wide[high] |= same
+    return np.union1d(at[~wide], starts)
+
+
+def packed(texts: list[str], safe: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct segments, place of each segment of the texts among them, number of segments up to the end of each text)."""
+    raw = [b" " + t.encode() for t in texts]
+    buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    ends = np.cumsum([len(x) for x in raw])
+    at = cuts(buf, np.concatenate([[0], ends[:-1]]), safe)
+    offsets = np.append(at, len(buf)).astype(np.int64)
+    segs = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(buf)]).dictionary_encode()
+    return segs.dictionary.cast(pa.string()), segs.indices.to_numpy().astype(np.int32), np.searchsorted(at, ends)
+
+
+def _packer(safe: str, block_bytes: int):
+    def row(block: int, ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
+        segs, words, ends = packed(texts, safe)
+        n = np.bincount(words, minlength=len(segs))
+        cols = [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary())]
+        cols += [pa.ListArray.from_arrays(pa.array([0, len(segs)], pa.int32()), segs), pa.array([n], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "doc_id", "ends", "words", "segs", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py()
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= block_bytes:
+                    yield row(block, ids, texts)
+                    block, ids, texts, size = block + 1, [], [], 0
+        if texts:
+            yield row(block, ids, texts)
+
+    return run
 
 
 def align(a: list[bytes], b: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -116,46 +167,97 @@ def align(a: list[bytes], b: list[bytes]) -> tuple[list[tuple[int, int]], list[t
 
 
 def aligned(seg: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple:
-    """The row of a segment, by SEGMENT."""
+    """(ok, n_a, groups, links) of a segment."""
     raw, ta, tb = seg.encode(), [bytes_a[i] for i in a], [bytes_b[i] for i in b]
     if b"".join(ta) != raw or b"".join(tb) != raw:
-        return seg, False, 0, 0, 0, 0, "", []
+        return False, 0, "", []
     links, ends = align(ta, tb)
     groups = (",".join(map(str, a[i0:i1])) + "|" + ",".join(map(str, b[j0:j1])) for (i0, j0), (i1, j1) in zip([(0, 0), *ends], ends))
-    pairs = [{"a": x, "b": y, "k": k} for (x, y), k in Counter((a[i], b[j]) for i, j in links).items()]
-    return seg, True, len(a), len(b), len(ends), len(links), ";".join(groups), pairs
+    return True, len(a), ";".join(groups), [{"a": x, "b": y, "k": k} for (x, y), k in Counter((a[i], b[j]) for i, j in links).items()]
 
 
 def _aligner(a_path: str, b_path: str, step: int = 2048):
-    types = pa.schema([("seg", pa.string()), ("ok", pa.bool_()), *[(c, pa.int64()) for c in COUNTS[:4]], ("groups", pa.string()), ("links", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int64())]))), ("n", pa.int64())])
+    pairs = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int64())]))
+    types = [pa.bool_(), pa.int64(), pa.string(), pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (ta, bytes_a), (tb, bytes_b) = byte_tokenizer(a_path), piece_tokenizer(b_path)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                segs, n = batch.column(0).slice(at, step).to_pylist(), batch.column(1).slice(at, step)
+                part = batch.slice(at, step)
+                segs = part.column(0).to_pylist()
                 ids_a = [x.ids for x in ta.encode_batch(segs, add_special_tokens=False)]
                 rows = [aligned(s, x, y, bytes_a, bytes_b) for s, x, y in zip(segs, ids_a, tb.encode(segs, num_threads=1))]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(zip(*rows), types)], n], schema=types)
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([*cols, part.column(1), part.column(2)], names=["ok", "n_a", "groups", "links", "n", "places"])
+
+    return run
+
+
+def _scorer(shared: Broadcast):
+    """Adds n_best and count_sum of a segment's links, from the broadcast id pairs (keys in order, counts, best)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, best = shared.value
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            flat = col["links"].flatten()
+            a, b, k = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            at = np.searchsorted(keys, a << 32 | b) % max(1, len(keys))
+            # a segment that stands only in texts that can't be aligned has pairs that nothing counts
+            k = np.where(keys[at] == (a << 32 | b), k, 0) if len(keys) else k[:0]
+            ends = np.concatenate([[0], np.cumsum(col["links"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            sums = []
+            for x in (best, counts):
+                total = np.concatenate([[0], np.cumsum(k * x[at])]) if len(keys) else np.zeros(ends[-1] + 1, dtype=np.int64)
+                sums.append(pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[col[c] for c in SCORED[:4]], *sums], names=SCORED)
 
     return run
 
 
-def _compose(docs: pa.Table, segs: pa.Table) -> pa.Table:
+def _spoilt(blocks: pa.Table) -> list[tuple[int, int, int]]:
+    """(block, pos, lost): how often segments stand in documents that hold one of the block's bad segments."""
+    out = []
+    for r in blocks.to_pylist():
+        words, ends = np.frombuffer(r["words"], dtype=np.int32), np.array(r["ends"])
+        bad = np.isin(words, r["bad"])
+        doc = np.searchsorted(ends, np.arange(len(words)), side="right")
+        lost = np.bincount(words[np.isin(doc, doc[bad])])
+        out += [(r["block"], int(i), int(lost[i])) for i in np.flatnonzero(lost)]
+    return out
+
+
+def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = _spoilt(pa.Table.from_batches([batch]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["block", "pos", "lost"])
+
+
+def _compose(blocks: pa.Table, segs: pa.Table) -> pa.Table:
     """The documents of a block, from the alignments of its segments."""
-    if not docs.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), **{c: pa.array([], pa.int64()) for c in COUNTS}, "groups": pa.array([], pa.string())})
-    lists = docs.column("segs").combine_chunks().cast(pa.large_list(pa.large_string()))
-    starts = lists.offsets.to_numpy()
-    words = segs.column("seg").combine_chunks().cast(pa.large_string())
-    where = pc.index_in(lists.flatten(), value_set=words)
-    place, starts = where.to_numpy(), starts - starts[0]
-    whole = np.logical_and.reduceat(segs.column("ok").to_numpy()[place], starts[:-1])
-    sums = {c: np.where(whole, np.add.reduceat(segs.column(c).to_numpy()[place], starts[:-1]), 0) for c in COUNTS}
-    texts = segs.column("groups").combine_chunks().cast(pa.large_string()).take(where)
-    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), texts), pa.scalar(";", pa.large_string()))
-    joined = pc.if_else(pa.array(whole), joined, pa.scalar("", pa.large_string()))
-    return pa.table({"doc_id": docs.column("doc_id"), **sums, "groups": joined.cast(pa.string())})
+    out = []
+    order = np.argsort(segs.column("pos").to_numpy())
+    segs = segs.take(pa.array(order))
+    groups = segs.column("groups").combine_chunks().cast(pa.large_string())
+    per = {c: segs.column(c).to_numpy() for c in ("n_a", "n_best", "count_sum")}
+    per["n_groups"] = pc.add(pc.count_substring(groups, ";"), 1).to_numpy(zero_copy_only=False)
+    # a group has one token of either side, and one more for each comma
+    per["n_b"] = pc.count_substring(groups, ",").to_numpy(zero_copy_only=False) + 2 * per["n_groups"] - per["n_a"]
+    ok = segs.column("ok").to_numpy()
+    for r in range(blocks.num_rows):
+        words = np.frombuffer(blocks.column("words")[r].as_py(), dtype=np.int32)
+        ends = np.array(blocks.column("ends")[r].values)
+        starts = np.concatenate([[0], ends[:-1]])
+        whole = np.logical_and.reduceat(ok[words], starts)
+        sums = {c: np.where(whole, np.add.reduceat(x[words], starts), 0) for c, x in per.items()}
+        # tokens that share no inner end overlap in one pair less than there are tokens
+        sums["n_links"] = sums["n_a"] + sums["n_b"] - sums["n_groups"]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int64()), groups.take(pa.array(words)))
+        joined = pc.if_else(pa.array(whole), pc.binary_join(lists, pa.scalar(";", pa.large_string())), pa.scalar("", pa.large_string()))
+        ids = blocks.column("doc_id")[r].values
+        out.append(pa.table({"doc_id": ids, **{c: pa.array(sums[c], pa.int64()) for c in COUNTS}, "groups": joined.cast(pa.string())}))
+    return pa.concat_tables(out)
 
 
 def align_documents(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, block_bytes: int = BLOCK_BYTES, max_pairs: int = MAX_BROADCAST_PAIRS) -> DataFrame:
@@ -163,38 +265,39 @@ def align_documents(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
 
     groups is the alignment as text, ``a1,a2|b1;a3|b2,b3``: ids of either side between common ends.
     """
-    safe = safe_spaces(a_path, b_path)
-    rows = identified(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     none = rows.where("text is null or text = ''").select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups"))
-    live = rows.where("text <> ''")
-    size = live.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
-    live = live.select("uid", "doc_id", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"), segments(F.col("text"), safe).alias("segs"))
-    # documents of a block lie together, so that its distinct segments are counted without another shuffle
-    found = live.select("block", "segs").repartition("block").select("block", F.explode("segs").alias("seg")).groupBy("block", "seg").agg(F.count("*").alias("n"))
-    found = stage_table(found, "segments")
-    each = found.groupBy("seg").agg(F.sum("n").alias("n"))
-    each = stage_table(each.mapInArrow(_aligner(a_path, b_path), SEGMENT + ", n long"), "aligned")
-
-    bad = each.where("not ok").select("seg")
-    counted = each
+    blocks = stage_table(rows.where("text <> ''").mapInArrow(_packer(safe_spaces(a_path, b_path), block_bytes), BLOCK), "blocks")
+    chunks = max(1, -(-blocks.count() // LISTED_BLOCKS))
+
+    found = blocks.select("block", F.posexplode(F.arrays_zip("segs", "n")).alias("pos", "x")).select("block", "pos", F.col("x.segs").alias("seg"), F.col("x.n").alias("n"))
+    each = found.groupBy("seg", F.pmod(F.xxhash64("block"), F.lit(chunks)).alias("chunk")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "pos")).alias("places"))
+    each = each.select("seg", "n", "places").mapInArrow(_aligner(a_path, b_path), SEGMENT)
+    each = stage_table(each.withColumn("id", F.monotonically_increasing_id()), "aligned")
+
+    bad = each.where("not ok").select(F.inline("places"))
+    counted = each.where("ok").select("id", "n", "links")
     if not bad.isEmpty():  # what stands in documents that can't be aligned doesn't count
-        touched = found.join(bad, "seg", "left_semi").select("block").distinct()
-        spoiled = live.join(touched, "block", "left_semi").select("uid", F.explode("segs").alias("seg")).join(bad, "seg", "left_semi").select("uid").distinct()
-        spoiled = stage_table(spoiled, "spoiled")
-        lost = live.join(spoiled, "uid", "left_semi").select(F.explode("segs").alias("seg")).groupBy("seg").agg(F.count("*").alias("lost"))
-        counted = each.join(lost, "seg", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0)))
-    links = counted.where("ok and n > 0").select("n", F.inline("links"))
-    pairs = stage_table(links.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("k")).alias("c"), F.count("*").alias("m")), "pairs")
+        lost = blocks.select("block", "ends", "words").join(bad.groupBy("block").agg(F.collect_list("pos").alias("bad")), "block")
+        lost = stage_table(lost.mapInArrow(_losses, "block long, pos int, lost long"), "lost")
+        lost = each.where("ok").select("id", F.inline("places")).join(lost, ["block", "pos"]).groupBy("id").agg(F.sum("lost").alias("lost"))
+        counted = counted.join(lost, "id", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).where("n > 0")
+    pairs = counted.select("n", F.inline("links")).groupBy("a", "b").agg(F.sum(F.col("n") * F.col("k")).alias("c"), F.count("*").alias("m"))
+    pairs = stage_table(pairs, "pairs")
     top = pairs.groupBy("b").agg(F.max("c").alias("top"))  # one row for an id of the vocabulary
-    pairs = pairs.join(F.broadcast(top), "b").select("a", "b", "c", "m", (F.col("c") == F.col("top")).alias("is_best"))
+    pairs = pairs.join(F.broadcast(top), "b").select("a", "b", "c", "m", (F.col("c") == F.col("top")).cast("long").alias("best"))
     n_pairs, total = pairs.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
-    own = each.where("ok").select("seg", F.inline("links"))
-    scored = own.join(F.broadcast(pairs), ["a", "b"]) if n_pairs <= max_pairs else keyed_join(own, pairs, ["a", "b"], "m", total)
-    scored = scored.groupBy("seg").agg(F.sum(F.when(F.col("is_best"), F.col("k")).otherwise(0)).alias("n_best"), F.sum(F.col("k") * F.col("c")).alias("count_sum"))
-    each = each.drop("links", "n").join(scored, "seg", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
-    shipped = found.select("block", "seg").join(each, "seg").select("block", "seg", "ok", *COUNTS, "groups")
-    out = live.select("block", "doc_id", "segs").groupBy("block").cogroup(shipped.groupBy("block")).applyInArrow(_compose, DOCUMENT)
+    if n_pairs <= max_pairs:
+        known = pairs.select(F.expr("shiftleft(cast(a as bigint), 32) | b").alias("key"), "c", "best").orderBy("key").toArrow()
+        shared = spark.sparkContext.broadcast(tuple(known.column(c).to_numpy() for c in ("key", "c", "best")))
+        scored = each.mapInArrow(_scorer(shared), "places array<struct<block:long,pos:int>>, ok boolean, n_a long, groups string, n_best long, count_sum long")
+    else:
+        sums = keyed_join(each.where("ok").select("id", F.inline("links")), pairs, ["a", "b"], "m", total)
+        sums = sums.groupBy("id").agg(F.sum(F.col("k") * F.col("best")).alias("n_best"), F.sum(F.col("k") * F.col("c")).alias("count_sum"))
+        scored = each.join(sums, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
+    shipped = scored.select(F.inline("places"), "ok", "n_a", "n_best", "count_sum", "groups")
+    out = blocks.select("block", "doc_id", "ends", "words").groupBy("block").cogroup(shipped.groupBy("block")).applyInArrow(_compose, DOCUMENT)
     return out.unionByName(none)
 
 
