@@ -89,9 +89,8 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP,
     # a pair of sources that both lack a term differs by the same amount for all such terms: V times that amount is the
     # base, and a term only adds to the pairs of the sources that have it
     own = wide.select("lang", "counts", "p", "none", F.expr("explode(filter(sequence(0, size(sources) - 1), i -> counts[i] > 0)) as i"))
-    adds = F.expr("""transform(filter(sequence(0, size(p) - 1), j -> counts[j] = 0 or j > i),
-        j -> struct(least(i, j) as a, greatest(i, j) as b, abs(p[i] - p[j]) - abs(none[i] - none[j]) as f))""")
-    adds = own.select("lang", F.inline(adds)).groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
+    own = own.select("lang", "counts", "i", F.expr("posexplode(zip_with(p, none, (x, z) -> abs(p[i] - x) - abs(none[i] - z))) as (j, f)")).where("j > i or counts[j] = 0")
+    adds = own.groupBy("lang", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("f").alias("f"))
     adds = adds.unionByName(adds.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "f"))
     level = F.expr(f"case when v > 0 then {share('0L', 'total', 'v')} else 0L end")
     a = groups.select("lang", "source", F.col("place").alias("a"), "v", level.alias("pa"))
@@ -102,8 +101,8 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP,
     pairs = pairs.withColumn("rank", F.row_number().over(order))
 
     q = F.expr(share("aggregate(counts, 0L, (x, c) -> x + c)", "all", "v"))
-    over = wide.withColumn("q", q).select("lang", "term", F.expr("inline(filter(transform(sources, (s, i) -> struct(s as source, counts[i] as c, p[i] - q as value)), x -> x.c > 0 and x.value > 0))"))
-    over = over.select("lang", "source", F.col("term").alias("item"), "value")
+    over = wide.withColumn("q", q).select("lang", "term", "sources", "counts", "q", F.posexplode("p").alias("i", "pi")).where("counts[i] > 0 and pi > q")
+    over = over.select("lang", F.expr("sources[i]").alias("source"), F.col("term").alias("item"), (F.col("pi") - F.col("q")).alias("value"))
     over = over.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     out = pairs.withColumn("part", F.lit("pair")).unionByName(over.withColumn("part", F.lit("term")))
     return out.select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))
