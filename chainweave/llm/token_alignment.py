@@ -33,6 +33,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Bytes of text of a block of documents; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Bytes of text that are cut, and segments that are composed, at a time.
+PART_BYTES, PART_SEGMENTS = 1 << 20, 1 << 18
 #: Blocks whose places of a segment are kept in one row: 64 GB of text. A segment is aligned once for each so many.
 LISTED_BLOCKS = 4096
 #: Id pairs up to which their counts are broadcast (20 bytes each); beyond it they are joined.
@@ -111,38 +113,52 @@ def cuts(buf: np.ndarray, starts: np.ndarray, safe: str) -> np.ndarray:
     return np.union1d(at[~wide], starts)
 
 
-def packed(texts: list[str], safe: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct segments, place of each segment of the texts among them, number of segments up to the end of each text)."""
+def packed(texts: list[str], safe: str) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(segments of all texts, number of them up to the end of each text)."""
     raw = [b" " + t.encode() for t in texts]
     buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
     ends = np.cumsum([len(x) for x in raw])
     at = cuts(buf, np.concatenate([[0], ends[:-1]]), safe)
     offsets = np.append(at, len(buf)).astype(np.int64)
-    segs = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(buf)]).dictionary_encode()
-    return segs.dictionary.cast(pa.string()), segs.indices.to_numpy().astype(np.int32), np.searchsorted(at, ends)
+    segs = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(buf)])
+    return segs.dictionary_encode(), np.searchsorted(at, ends)
 
 
-def _packer(safe: str, block_bytes: int):
-    def row(block: int, ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
-        segs, words, ends = packed(texts, safe)
+def _packer(safe: str, block_bytes: int, part_bytes: int = PART_BYTES):
+    def row(block: int, ids: list[int | None], parts: list[pa.DictionaryArray], ends: list[np.ndarray]) -> pa.RecordBatch:
+        chunks = pa.chunked_array(parts).unify_dictionaries().chunks  # one dictionary for all
+        segs, words = chunks[-1].dictionary.cast(pa.string()), np.concatenate([c.indices.to_numpy() for c in chunks]).astype(np.int32)
+        before = np.cumsum([0, *[len(c) for c in chunks[:-1]]])
+        last = np.concatenate([e + n for e, n in zip(ends, before)])
         n = np.bincount(words, minlength=len(segs))
-        cols = [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary())]
+        cols = [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([last], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary())]
         cols += [pa.ListArray.from_arrays(pa.array([0, len(segs)], pa.int32()), segs), pa.array([n], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(cols, names=["block", "doc_id", "ends", "words", "segs", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        block, ids, texts, parts, ends, size, done = TaskContext.get().partitionId() << 32, [], [], [], [], 0, 0
+
+        def cut() -> None:  # texts are cut in small parts, so that only places among segments are held for a block
+            part, end = packed(texts, safe)
+            parts.append(part)
+            ends.append(end)
+            texts.clear()
+
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py()
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= block_bytes:
-                    yield row(block, ids, texts)
-                    block, ids, texts, size = block + 1, [], [], 0
+            for i, t in zip(batch.column(0), batch.column(1)):
+                ids.append(i.as_py())
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size >= part_bytes:
+                    cut()
+                    done, size = done + size, 0
+                    if done >= block_bytes:
+                        yield row(block, ids, parts, ends)
+                        block, ids, parts, ends, done = block + 1, [], [], [], 0
         if texts:
-            yield row(block, ids, texts)
+            cut()
+        if ids:
+            yield row(block, ids, parts, ends)
 
     return run
 
@@ -246,17 +262,22 @@ def _compose(blocks: pa.Table, segs: pa.Table) -> pa.Table:
     per["n_b"] = pc.count_substring(groups, ",").to_numpy(zero_copy_only=False) + 2 * per["n_groups"] - per["n_a"]
     ok = segs.column("ok").to_numpy()
     for r in range(blocks.num_rows):
-        words = np.frombuffer(blocks.column("words")[r].as_py(), dtype=np.int32)
-        ends = np.array(blocks.column("ends")[r].values)
-        starts = np.concatenate([[0], ends[:-1]])
-        whole = np.logical_and.reduceat(ok[words], starts)
-        sums = {c: np.where(whole, np.add.reduceat(x[words], starts), 0) for c, x in per.items()}
-        # tokens that share no inner end overlap in one pair less than there are tokens
-        sums["n_links"] = sums["n_a"] + sums["n_b"] - sums["n_groups"]
-        lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int64()), groups.take(pa.array(words)))
-        joined = pc.if_else(pa.array(whole), pc.binary_join(lists, pa.scalar(";", pa.large_string())), pa.scalar("", pa.large_string()))
-        ids = blocks.column("doc_id")[r].values
-        out.append(pa.table({"doc_id": ids, **{c: pa.array(sums[c], pa.int64()) for c in COUNTS}, "groups": joined.cast(pa.string())}))
+        all_words = np.frombuffer(blocks.column("words")[r].as_py(), dtype=np.int32)
+        all_ends, ids = np.array(blocks.column("ends")[r].values), blocks.column("doc_id")[r].values
+        i = 0
+        while i < len(all_ends):  # a part of the documents, or one long one
+            at = all_ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(all_ends, at + PART_SEGMENTS)))
+            words, ends = all_words[at : all_ends[j - 1]], all_ends[i:j] - at
+            starts = np.concatenate([[0], ends[:-1]])
+            whole = np.logical_and.reduceat(ok[words], starts)
+            sums = {c: np.where(whole, np.add.reduceat(x[words], starts), 0) for c, x in per.items()}
+            # tokens that share no inner end overlap in one pair less than there are tokens
+            sums["n_links"] = sums["n_a"] + sums["n_b"] - sums["n_groups"]
+            lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int64()), groups.take(pa.array(words)))
+            joined = pc.if_else(pa.array(whole), pc.binary_join(lists, pa.scalar(";", pa.large_string())), pa.scalar("", pa.large_string()))
+            out.append(pa.table({"doc_id": ids[i:j], **{c: pa.array(sums[c], pa.int64()) for c in COUNTS}, "groups": joined.cast(pa.string())}))
+            i = j
     return pa.concat_tables(out)
 
 
