@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainweave.operators.classify import prepared, single_match
+from chainweave.functions import intervals as fx
 from chainweave.operators.components import connected_components
 from chainweave.operators.intervals import islands, range_join
 from chainweave.session import stage_table
@@ -54,35 +56,71 @@ def superloci(links: DataFrame) -> DataFrame:
     return comps.select(F.substring("node", 1, 3).alias("dset"), F.expr("substring(node, 5)").alias("locus"), F.col("component").alias("super"))
 
 
-def transcript_matches(t: DataFrame, trange: int = 100, max_rounds: int = 200) -> DataFrame:
-    """(seq, strand, qid, rid, multi): one-to-one matches of queries with references.
-
-    Multi-exon transcripts match by equal intron chains; of each chain the first query by place takes the first
-    reference, and so on. Single-exon ones match if ends are near or most of them overlaps: in order
-    of place, every query takes the first reference that no query before it took. All queries ask
-    in rounds, and a reference keeps the first that asks, which settles the same pairs.
+def chain_matches(t: DataFrame) -> DataFrame:
+    """(seq, strand, qid, rid): queries and references of equal intron chains, one to one: of each chain the k-th query by place and the k-th reference."""
+    c = t.where("size(exons) > 1").select("dset", *KEY, "tid", F.expr("exons[0].s").alias("s"), F.expr("exons[size(exons) - 1].e").alias("e"), fx.introns(F.col("exons")).alias("c"))
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy("dset", *KEY, "c").orderBy("s", "e", "tid")))
+    q, r = (c.where(f"dset = '{d}'").select(*KEY, "c", "k", F.col("tid").alias(n)) for d, n in (("qry", "qid"), ("ref", "rid")))
+    return q.join(r, [*KEY, "c", "k"]).select(*KEY, "qid", "rid")
+
+
+def _near(qs: int, qe: int, rs: np.ndarray, re: np.ndarray, trange: int) -> np.ndarray:
+    """Which single exons of references are the query's, by the rule of ``classify.single_match``."""
+    qlen, rlen = qe - qs + 1, re - rs + 1
+    both = np.maximum(0, np.minimum(qe, re) - np.maximum(qs, rs) + 1)
+    close = (np.abs(qs - rs) <= trange) & (np.abs(qe - re) <= trange)
+    return (both > 0) & (close | (both >= 0.8 * np.maximum(qlen, rlen)) | ((qlen > rlen) & (both >= 0.8 * rlen) & (both >= 0.7 * qlen)))
+
+
+def _walk(trange: int):
+    def walk(island: pa.Table) -> pa.Table:
+        """Queries in order of place, each taking the first reference that is left: runs of equal queries and references."""
+        x = island.sort_by([("s", "ascending"), ("e", "ascending")])
+        s, e, nq, nr = (x.column(c).to_numpy() for c in ("s", "e", "nq", "nr"))
+        q, r = np.flatnonzero(nq), np.flatnonzero(nr)
+        rs, re, left = s[r], e[r], nr[r].copy()
+        until = np.maximum.accumulate(re) if len(r) else re
+        out = []
+        for i in q:
+            lo, hi = np.searchsorted(until, s[i]), np.searchsorted(rs, e[i], side="right")
+            open_ = lo + np.flatnonzero((left[lo:hi] > 0) & _near(s[i], e[i], rs[lo:hi], re[lo:hi], trange))
+            wanted = int(nq[i])
+            for j in open_:
+                n = min(wanted, int(left[j]))
+                out.append((s[i], e[i], int(nq[i]) - wanted, rs[j], re[j], int(nr[r[j]] - left[j]), n))
+                left[j] -= n
+                wanted -= n
+                if not wanted:
+                    break
+        cols = {c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(("qs", "qe", "qfrom", "rs", "re", "rfrom", "n"))}
+        return pa.table({**{c: pa.array([island.column(c)[0].as_py()] * len(out), pa.string()) for c in KEY}, **cols})
+
+    return walk
+
+
+def single_matches(t: DataFrame, trange: int = 100) -> DataFrame:
+    """(seq, strand, qid, rid): single-exon queries and references, one to one.
+
+    Two match if their ends are near or most of them overlaps. In order of place, every query takes the first reference that
+    matches and that no query before it took. Transcripts of one interval are one row with their number, and what
+    overlaps, however indirectly, is an island, which is walked once; its memory is 32 bytes for each different interval.
     """
-    q, r = (prepared(t.where(f"dset = '{d}'")) for d in ("qry", "ref"))
-    place = ["s", "e", "id"]
-    multi = []
-    for x, name in ((q, "qid"), (r, "rid")):
-        c = x.where("t.n > 1").select(*KEY, "s", "e", F.col("t.id").alias("id"), F.col("t.c").alias("c"))
-        multi.append(c.withColumn("k", F.row_number().over(Window.partitionBy(*KEY, "c").orderBy(*place))).select(*KEY, "c", "k", F.col("id").alias(name)))
-    chains = multi[0].join(multi[1], [*KEY, "c", "k"]).select(*KEY, "qid", "rid", F.lit(True).alias("multi"))
-    one, other = (x.where("t.n = 1") for x in (q, r))
-    pairs = range_join(one.select(*KEY, "s", "e", F.col("t").alias("q")), other.select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("t").alias("r")), KEY)
-    pairs = pairs.where(F.expr(single_match(trange))).select(*KEY, F.struct("s", "e", "q.id").alias("q"), F.struct(F.col("s2").alias("s"), F.col("e2").alias("e"), "r.id").alias("r"))
-    open_ = stage_table(pairs, "candidates")
-    held = None
-    for _ in range(max_rounds):
-        # each query asks its first reference; each reference keeps the first query that ever asked
-        asks = open_.groupBy(*KEY, "q").agg(F.min("r").alias("r"))
-        now = stage_table(asks.groupBy(*KEY, "r").agg(F.min("q").alias("q")), "held")
-        lost = stage_table(asks.join(now, [*KEY, "r", "q"], "left_anti"), "lost")
-        held = now
-        if lost.isEmpty():
-            break
-        open_ = stage_table(open_.join(lost, [*KEY, "q", "r"], "left_anti"), "candidates")
-    else:
-        raise RuntimeError("matches did not settle")
-    return chains.unionByName(held.select(*KEY, F.col("q.id").alias("qid"), F.col("r.id").alias("rid"), F.lit(False).alias("multi")))
+    x = t.where("size(exons) = 1").select("dset", *KEY, "tid", F.expr("exons[0].s").alias("s"), F.expr("exons[0].e").alias("e"))
+    x = stage_table(x.withColumn("k", F.row_number().over(Window.partitionBy("dset", *KEY, "s", "e").orderBy("tid")) - 1), "singles")
+    n = lambda d: F.count(F.when(F.col("dset") == d, 1))
+    spots = x.groupBy(*KEY, "s", "e").agg(n("qry").alias("nq"), n("ref").alias("nr"))
+    isl = islands(x, KEY).select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"))
+    spots = range_join(spots, isl, KEY).withColumnRenamed("s2", "island")
+    both = spots.groupBy(*KEY, "island").agg(F.sum("nq").alias("q"), F.sum("nr").alias("r")).where("q > 0 and r > 0")
+    spots = spots.join(both.select(*KEY, "island"), [*KEY, "island"], "left_semi").select(*KEY, "island", "s", "e", "nq", "nr")
+    runs = spots.groupBy(*KEY, "island").applyInArrow(_walk(trange), "seq string, strand string, qs long, qe long, qfrom long, rs long, re long, rfrom long, n long")
+    each = runs.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    each = each.select(*KEY, "qs", "qe", (F.col("qfrom") + F.col("i")).alias("qk"), "rs", "re", (F.col("rfrom") + F.col("i")).alias("rk"))
+    q = x.where("dset = 'qry'").select(*KEY, F.col("s").alias("qs"), F.col("e").alias("qe"), F.col("k").cast("long").alias("qk"), F.col("tid").alias("qid"))
+    r = x.where("dset = 'ref'").select(*KEY, F.col("s").alias("rs"), F.col("e").alias("re"), F.col("k").cast("long").alias("rk"), F.col("tid").alias("rid"))
+    return each.join(q, [*KEY, "qs", "qe", "qk"]).join(r, [*KEY, "rs", "re", "rk"]).select(*KEY, "qid", "rid")
+
+
+def transcript_matches(t: DataFrame, trange: int = 100) -> DataFrame:
+    """(seq, strand, qid, rid, multi): one-to-one matches of queries with references, by chains and by single exons."""
+    return chain_matches(t).withColumn("multi", F.lit(True)).unionByName(single_matches(t, trange).withColumn("multi", F.lit(False)))

@@ -65,8 +65,7 @@ def extended_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-exon queries and references of one intron chain, one to one by place."""
-    m = lc.transcript_matches(_transcripts(spark, sf_dir))
-    return m.where("multi").select("qid", "rid")
+    return lc.chain_matches(_transcripts(spark, sf_dir)).select("qid", "rid")
 
 
 def transcript_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +74,11 @@ def transcript_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locus_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loci of both sets, those with a matched intron chain, and those without any overlapping locus of the other set."""
+    """Loci of both sets, those with a matched transcript, and those without any overlapping locus of the other set."""
     t = _transcripts(spark, sf_dir)
-    ex = exons(spark, sf_dir)
+    ex = stage_table(exons(spark, sf_dir), "exons")
     members = stage_table(lc.loci(ex), "loci")
-    links, m = stage_table(lc.locus_links(ex, members), "links"), lc.transcript_matches(t).where("multi")
+    links, m = stage_table(lc.locus_links(ex, members), "links"), lc.transcript_matches(t)
     hit = m.select(F.explode(F.array("qid", "rid")).alias("tid")).distinct().withColumn("hit", F.lit(1))
     linked = links.select(F.explode(F.array(F.struct(F.lit("qry").alias("dset"), F.col("qlocus").alias("locus")), F.struct(F.lit("ref").alias("dset"), F.col("rlocus").alias("locus")))).alias("l")).select("l.*").distinct().withColumn("linked", F.lit(1))
     per = members.join(hit, "tid", "left").groupBy("dset", *KEY, "locus").agg(F.max("hit").alias("hit")).join(linked, ["dset", "locus"], "left")
@@ -244,6 +243,19 @@ cm as (select q.tid as qid, r.tid as rid from
   (select tx.tid, seq, strand, chain, row_number() over (partition by seq, strand, chain order by s, e, tx.tid) as k from tx join chain using (tid) where dset = 'qry') q join
   (select tx.tid, seq, strand, chain, row_number() over (partition by seq, strand, chain order by s, e, tx.tid) as k from tx join chain using (tid) where dset = 'ref') r using (seq, strand, chain, k))
 """
+#: Queries one after the other, each with the references that are taken by then.
+_MATCH_ALL = _MATCH + """,
+sq as (select tid, seq, strand, s, e, row_number() over (partition by seq, strand order by s, e, tid) as k from tx where n = 1 and dset = 'qry'),
+sr as (select tid, seq, strand, s, e, row_number() over (partition by seq, strand order by s, e, tid) as place from tx where n = 1 and dset = 'ref'),
+pair as materialized (select q.tid as qid, r.tid as rid, r.place from sq q join sr r on q.seq = r.seq and q.strand = r.strand and q.s <= r.e and q.e >= r.s where abs(q.s - r.s) <= 100 and abs(q.e - r.e) <= 100
+  or least(q.e, r.e) - greatest(q.s, r.s) + 1 >= 0.8 * greatest(q.e - q.s + 1, r.e - r.s + 1)
+  or q.e - q.s > r.e - r.s and least(q.e, r.e) - greatest(q.s, r.s) + 1 >= 0.8 * (r.e - r.s + 1) and least(q.e, r.e) - greatest(q.s, r.s) + 1 >= 0.7 * (q.e - q.s + 1)),
+turn as (select seq, strand, 0::bigint as k, []::bigint[] as taken, null::bigint as qid, null::bigint as rid from (select distinct seq, strand from sq)
+  union all select seq, strand, k, case when rid is null then taken else list_append(taken, rid) end, qid, rid from (
+    select t.seq, t.strand, q.k, t.taken, q.tid as qid, (select arg_min(p.rid, p.place) from pair p where p.qid = q.tid and not list_contains(t.taken, p.rid)) as rid
+    from turn t join sq q on q.seq = t.seq and q.strand = t.strand and q.k = t.k + 1)),
+am as (select qid, rid, true as multi from cm union all select qid, rid, false from turn where rid is not null)
+"""
 _SPANS = "from tx a join tx b on a.seq = b.seq and a.s <= b.e and a.e >= b.s"
 
 SQL = {
@@ -260,7 +272,8 @@ SQL = {
       l as (select tid, min(other) as locus from reach group by tid)
       select seq, strand, locus, min(s) as s, max(e) as e, count(*) filter (dset = 'qry') as n_qry, count(*) filter (dset = 'ref') as n_ref from tx join l using (tid) group by all having n_qry > 0""",
     "chain_matches": _EX + _MATCH + "select qid, rid from cm",
-    "locus_level": _EX + _LOCI + _MATCH + """, h as (select qid as tid from cm union select rid from cm), k as (select 'qry' as dset, qlocus as locus from links union select 'ref', rlocus from links),
+    "transcript_matches": _EX + _MATCH_ALL + "select q.seq, q.strand, qid, rid, multi from am join tx q on q.tid = qid",
+    "locus_level": _EX + _LOCI + _MATCH_ALL + """, h as (select qid as tid from am union select rid from am), k as (select 'qry' as dset, qlocus as locus from links union select 'ref', rlocus from links),
       per as (select l.dset, seq, strand, l.locus, bool_or(h.tid is not null) as hit, bool_or(k.locus is not null) as linked from loc l left join h on h.tid = l.tid left join k on k.dset = l.dset and k.locus = l.locus group by all)
       select seq, strand, count(*) filter (dset = 'qry') as qry_loci, count(*) filter (dset = 'qry' and hit) as qry_matched, count(*) filter (dset = 'qry' and not linked) as qry_alone,
         count(*) filter (dset = 'ref') as ref_loci, count(*) filter (dset = 'ref' and hit) as ref_matched, count(*) filter (dset = 'ref' and not linked) as ref_alone from per group by seq, strand""",
