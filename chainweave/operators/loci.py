@@ -64,7 +64,7 @@ def chain_matches(t: DataFrame) -> DataFrame:
     return q.join(r, [*KEY, "c", "k"]).select(*KEY, "qid", "rid")
 
 
-def _near(qs: int, qe: int, rs: np.ndarray, re: np.ndarray, trange: int) -> np.ndarray:
+def near_exons(qs: int, qe: int, rs: np.ndarray, re: np.ndarray, trange: int) -> np.ndarray:
     """Which single exons of references are the query's, by the rule of ``classify.single_match``."""
     qlen, rlen = qe - qs + 1, re - rs + 1
     both = np.maximum(0, np.minimum(qe, re) - np.maximum(qs, rs) + 1)
@@ -83,7 +83,7 @@ def _walk(trange: int):
         out = []
         for i in q:
             lo, hi = np.searchsorted(until, s[i]), np.searchsorted(rs, e[i], side="right")
-            open_ = lo + np.flatnonzero((left[lo:hi] > 0) & _near(s[i], e[i], rs[lo:hi], re[lo:hi], trange))
+            open_ = lo + np.flatnonzero((left[lo:hi] > 0) & near_exons(s[i], e[i], rs[lo:hi], re[lo:hi], trange))
             wanted = int(nq[i])
             for j in open_:
                 n = min(wanted, int(left[j]))

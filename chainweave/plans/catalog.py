@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chainweave.functions import intervals as fx
 from chainweave.operators import compare
 from chainweave.operators.intervals import islands, range_join
-from chainweave.plans import relations
+from chainweave.plans import relations, samples
 from chainweave.plans.testbed import EXONS_SQL, exons, transcripts
 
 KEY = ["seq", "strand"]
@@ -133,7 +133,7 @@ def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tx_summary, chain_key, interval_union, base_level, intron_level, intron_missed, intron_novel, unique_exons, exon_level, exon_missed, exon_novel, chain_level, equivalence_classes, dedupe_refs, overlap_pairs, refs_overlapping, sequential_ids)}
 QUERIES["introns_from_exons"] = intron_rows
-QUERIES |= relations.QUERIES
+QUERIES |= relations.QUERIES | samples.QUERIES
 
 _ALONE = "select distinct a.seq, a.strand, a.s, a.e from {2} a where a.dset = '{0}' and not exists (select 1 from {2} b where b.dset = '{1}' and b.seq = a.seq and b.strand = a.strand and b.s <= a.e and b.e >= a.s)"
 _UNIQUE = """, ranked as (select ex.*, ex.s = tx.s as is_left, ex.e = tx.e as is_right,
@@ -177,4 +177,4 @@ SQL = {
     i2 as (select seq, strand, min(s) as s, max(e) as e from g2 group by seq, strand, k)
     select seq, strand, s, e, row_number() over (order by seq, strand, s) as id from i2""",
 }
-SQL |= relations.SQL
+SQL |= relations.SQL | samples.SQL
