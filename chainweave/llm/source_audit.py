@@ -11,14 +11,21 @@ pairs of value 0 and no terms; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chainweave.llm.bytewords import LOWER, pieces, words
 from chainweave.llm.decontaminate import PLAIN, UPPER
-from chainweave.session import read_table, release, stage_table
+from chainweave.session import read_table, stage_table
 
 #: Runs of ASCII letters and of everything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+LETTER = np.ones(256, dtype=bool)
+LETTER[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 LEAST_DOCUMENTS = 30
 TOP = 50
 SCALE, PRIOR = 1_000_000_000, 5
@@ -28,12 +35,6 @@ PLAIN_COUNT = (2**63 - 1) // SCALE - PRIOR
 MAX_BROADCAST_BYTES, SALT = 64 << 20, 64
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text, A to Z lower-cased, in order and with repeats."""
-    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, PLAIN))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
-
-
 def share(count: str, total: str, kept: str) -> str:
     """SQL for the smoothed share 1 + floor(SCALE * (count + PRIOR) / (total + PRIOR * kept)), exact for any long."""
     below = f"({total} + {PRIOR} * {kept})"
@@ -42,16 +43,36 @@ def share(count: str, total: str, kept: str) -> str:
     return f"1 + case when {count} <= {PLAIN_COUNT} then {plain} else {wide} end"
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (lang, source, term) within parts of a task's texts: occurrences and documents."""
+    for batch in batches:
+        langs, sources = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+        width = len(sources.dictionary)
+        group = langs.indices.to_numpy().astype(np.int64) * width + sources.indices.to_numpy()
+        for i, j, buf, off in pieces(batch):
+            low = LOWER[buf]
+            start, end, first = words(low, off, LETTER)
+            if not len(start):
+                continue
+            at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)  # the terms, end to end
+            term = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(low[LETTER[low]])]).dictionary_encode()
+            code, n = term.indices.to_numpy().astype(np.int64), len(term.dictionary)
+            doc = np.repeat(np.arange(i, j), np.diff(first))
+            own = np.unique(doc * n + code)  # a document's distinct terms
+            key, occurrences = np.unique(group[doc] * n + code, return_counts=True)
+            documents = np.unique(group[own // n] * n + own % n, return_counts=True)[1]
+            texts = term.dictionary.take(pa.array(key % n)).cast(pa.string())
+            g = key // n
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(g // width)), sources.dictionary.take(pa.array(g % width)), texts, pa.array(occurrences), pa.array(documents)], names=["lang", "source", "term", "n", "d"])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n: occurrences, d: documents) of docs (lang, source, text).
+    """(lang, source, term, n: occurrences, d: documents) of docs (lang, source, text), none of them null.
 
-    Each text is cut once; its terms and its distinct terms are two arrays of one row, and both kinds are counted
-    in the scan's tasks before the shuffle.
+    Texts are cut and counted in parts of about a megabyte by arrays, so that what the shuffle gets is counted already.
     """
-    rows = docs.select("lang", "source", terms(F.col("text")).alias("words"))
-    rows = rows.select("lang", "source", F.expr("stack(2, 0L, words, 1L, array_distinct(words)) as (kind, words)"))
-    rows = rows.select("lang", "source", "kind", F.explode("words").alias("term"))
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("kind")).alias("n"), F.sum("kind").alias("d"))
+    rows = docs.select("lang", "source", "text").mapInArrow(_counted, "lang string, source string, term string, n long, d long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -82,14 +103,20 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP,
     else:
         salted = by_lang.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         wide = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALT)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
-    wide = wide.withColumn("by", F.map_from_arrays("found.source", "found.n"))
-    wide = wide.withColumn("counts", F.expr("transform(sources, s -> coalesce(by[s], 0L))"))
-    wide = wide.withColumn("p", F.expr(f"transform(counts, (c, i) -> {share('c', 'totals[i]', 'v')})"))
+    # the map is bound once a row: a lambda would make it anew for each source
+    counts = "transform(array(map_from_arrays(found.source, found.n)), m -> transform(sources, s -> coalesce(m[s], 0L)))[0]"
+    wide = stage_table(wide.select("lang", "term", "v", "all", "sources", "totals", "none", F.expr(counts).alias("counts")), "wide")
+    # the vectors are in the staged table, so that no lambda computes them again
+    wide = wide.select("lang", "term", "v", "all", "sources", "none", "counts", F.expr(f"transform(counts, (c, i) -> {share('c', 'totals[i]', 'v')})").alias("p"), F.expr("filter(sequence(0, size(counts) - 1), i -> counts[i] = 0)").alias("zeros"))
 
     # a pair of sources that both lack a term differs by the same amount for all such terms: V times that amount is the
     # base, and a term only adds to the pairs of the sources that have it
-    own = wide.select("lang", "counts", "p", "none", F.expr("explode(filter(sequence(0, size(sources) - 1), i -> counts[i] > 0)) as i"))
-    own = own.select("lang", "counts", "i", F.expr("posexplode(zip_with(p, none, (x, z) -> abs(p[i] - x) - abs(none[i] - z))) as (j, f)")).where("j > i or counts[j] = 0")
+    own = wide.select("lang", "counts", "p", "none", "zeros", F.posexplode("counts").alias("i", "c")).where("c > 0")
+    own = own.select("lang", "i", "p", "none", F.expr("filter(zeros, j -> j < i)").alias("zeros"))  # pairs come from the smaller place that has the term
+    own = own.select("lang", "i", "zeros", F.size("p").alias("m"), F.expr("""posexplode(concat(
+        zip_with(slice(p, i + 2, size(p)), slice(none, i + 2, size(p)), (x, z) -> abs(p[i] - x) - abs(none[i] - z)),
+        transform(zeros, j -> abs(p[i] - p[j]) - abs(none[i] - none[j])))) as (k, f)"""))
+    own = own.select("lang", "i", F.expr("if(k < m - 1 - i, i + 1 + k, zeros[k - (m - 1 - i)])").alias("j"), "f")
     adds = own.groupBy("lang", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("f").alias("f"))
     adds = adds.unionByName(adds.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "f"))
     level = F.expr(f"case when v > 0 then {share('0L', 'total', 'v')} else 0L end")
