@@ -32,10 +32,10 @@ from chainweave.session import read_table, stage_table
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Bytes of text of a block of documents; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text that are cut, and segments that are composed, at a time.
 PART_BYTES, PART_SEGMENTS = 1 << 20, 1 << 18
-#: Blocks whose places of a segment are kept in one row: 64 GB of text. A segment is aligned once for each so many.
+#: Blocks whose places of a segment are kept in one row: 32 GB of text. A segment is aligned once for each so many.
 LISTED_BLOCKS = 4096
 #: Id pairs up to which their counts are broadcast (20 bytes each); beyond it they are joined.
 MAX_BROADCAST_PAIRS = 1 << 20
@@ -124,6 +124,15 @@ def packed(texts: list[str], safe: str) -> tuple[pa.DictionaryArray, np.ndarray]
     return segs.dictionary_encode(), np.searchsorted(at, ends)
 
 
+def to_planes(words: np.ndarray) -> bytes:
+    """Places as planes of their lowest to highest bytes, which compress well: frequent segments come early in a block."""
+    return np.ascontiguousarray(words.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def _packer(safe: str, block_bytes: int, part_bytes: int = PART_BYTES):
     def row(block: int, ids: list[int | None], parts: list[pa.DictionaryArray], ends: list[np.ndarray]) -> pa.RecordBatch:
         chunks = pa.chunked_array(parts).unify_dictionaries().chunks  # one dictionary for all
@@ -131,7 +140,7 @@ def _packer(safe: str, block_bytes: int, part_bytes: int = PART_BYTES):
         before = np.cumsum([0, *[len(c) for c in chunks[:-1]]])
         last = np.concatenate([e + n for e, n in zip(ends, before)])
         n = np.bincount(words, minlength=len(segs))
-        cols = [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([last], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary())]
+        cols = [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([last], pa.list_(pa.int64())), pa.array([to_planes(words)], pa.binary())]
         cols += [pa.ListArray.from_arrays(pa.array([0, len(segs)], pa.int32()), segs), pa.array([n], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(cols, names=["block", "doc_id", "ends", "words", "segs", "n"])
 
@@ -154,6 +163,7 @@ def _packer(safe: str, block_bytes: int, part_bytes: int = PART_BYTES):
                     done, size = done + size, 0
                     if done >= block_bytes:
                         yield row(block, ids, parts, ends)
+                        pa.default_memory_pool().release_unused()
                         block, ids, parts, ends, done = block + 1, [], [], [], 0
         if texts:
             cut()
@@ -236,7 +246,7 @@ def _spoilt(blocks: pa.Table) -> list[tuple[int, int, int]]:
     """(block, pos, lost): how often segments stand in documents that hold one of the block's bad segments."""
     out = []
     for r in blocks.to_pylist():
-        words, ends = np.frombuffer(r["words"], dtype=np.int32), np.array(r["ends"])
+        words, ends = from_planes(r["words"]), np.array(r["ends"])
         bad = np.isin(words, r["bad"])
         doc = np.searchsorted(ends, np.arange(len(words)), side="right")
         lost = np.bincount(words[np.isin(doc, doc[bad])])
@@ -262,7 +272,7 @@ def _compose(blocks: pa.Table, segs: pa.Table) -> pa.Table:
     per["n_b"] = pc.count_substring(groups, ",").to_numpy(zero_copy_only=False) + 2 * per["n_groups"] - per["n_a"]
     ok = segs.column("ok").to_numpy()
     for r in range(blocks.num_rows):
-        all_words = np.frombuffer(blocks.column("words")[r].as_py(), dtype=np.int32)
+        all_words = from_planes(blocks.column("words")[r].as_py())
         all_ends, ids = np.array(blocks.column("ends")[r].values), blocks.column("doc_id")[r].values
         i = 0
         while i < len(all_ends):  # a part of the documents, or one long one
@@ -278,6 +288,8 @@ def _compose(blocks: pa.Table, segs: pa.Table) -> pa.Table:
             joined = pc.if_else(pa.array(whole), pc.binary_join(lists, pa.scalar(";", pa.large_string())), pa.scalar("", pa.large_string()))
             out.append(pa.table({"doc_id": ids[i:j], **{c: pa.array(sums[c], pa.int64()) for c in COUNTS}, "groups": joined.cast(pa.string())}))
             i = j
+    del segs, groups
+    pa.default_memory_pool().release_unused()
     return pa.concat_tables(out)
 
 
@@ -293,7 +305,9 @@ def align_documents(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
     chunks = max(1, -(-blocks.count() // LISTED_BLOCKS))
 
     found = blocks.select("block", F.posexplode(F.arrays_zip("segs", "n")).alias("pos", "x")).select("block", "pos", F.col("x.segs").alias("seg"), F.col("x.n").alias("n"))
-    each = found.groupBy("seg", F.pmod(F.xxhash64("block"), F.lit(chunks)).alias("chunk")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "pos")).alias("places"))
+    # rows go to their segment's task as they are: lists made before the shuffle would only make it larger
+    found = found.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int")).repartition("seg", "chunk")
+    each = found.groupBy("seg", "chunk").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "pos")).alias("places"))
     each = each.select("seg", "n", "places").mapInArrow(_aligner(a_path, b_path), SEGMENT)
     each = stage_table(each.withColumn("id", F.monotonically_increasing_id()), "aligned")
 
