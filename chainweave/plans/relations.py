@@ -226,7 +226,8 @@ coded as (select *, case
     when kept or fwd and spans then case when not pokes and not crossing and not odd_ then 'm' else 'n' end
     when njm > 0 then 'j' when ovlen > 4 then 'o' when qs > rs and qe < re then 'i' else 'y' end as code from f),
 ranked as (select qid, rid, code, case code when '=' then 0 when 'c' then 4 when 'k' then 4 when 'm' then 6 when 'n' then 6 when 'j' then 6 when 'e' then 12 when 'o' then 12 when 'i' then 20 else 30 end as rank,
-    case when qn = 1 and rn > 1 and code = 'n' then upto else ovlen end as ovlen, case when qn > 1 and rn > 1 and not (qls < r0e or rls < q0e) then njm else 0 end as njm, qn, rn, rl from coded),
+    case when qn = 1 and rn > 1 and code = 'n' then upto when qn > 1 and rn > 1 and code = 'o' and qls < r0e then greatest(0, least(qe, r0e) - greatest(qls, rs) + 1)
+      when qn > 1 and rn > 1 and code = 'o' and rls < q0e then greatest(0, least(q0e, re) - greatest(qs, rls) + 1) else ovlen end as ovlen, case when qn > 1 and rn > 1 and not (qls < r0e or rls < q0e) then njm else 0 end as njm, qn, rn, rl from coded),
 best as (select * from (select *, row_number() over (partition by qid order by rank, case when qn = 1 and rn > 1 then 1 else 0 end, case when qn > 1 then -njm else 0 end, -ovlen,
     case when rank < 14 then abs(rn - qn) else 0 end, case when rank < 14 then rn else -rn end, -rl, rid) as k from ranked) where k = 1),
 codes as (select t.tid as qid, rid, coalesce(code, 'u') as code, cast(coalesce(rank, 94) as int) as rank, coalesce(ovlen, 0) as ovlen, cast(coalesce(njm, 0) as int) as njm, cast(t.n as int) as qn, cast(rn as int) as rn, rl as rlen from tx t left join best on qid = t.tid where t.dset = 'qry')

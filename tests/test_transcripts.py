@@ -72,6 +72,12 @@ def test_codes(spark):
     assert coded(spark, [("1-5", "6-9")])[0][0] is None
 
 
+def test_shared_bases_of_chains_apart(spark):
+    """Only the exons between two chains count, though another one overlaps too."""
+    q, r = "1201-1206, 1268-1277", "1000-1035, 1092-1172, 1201-1277"
+    assert coded(spark, [(q, r), (r, q)]) == [("o", 6, 0), ("o", 6, 0)]
+
+
 def test_strict_and_coding_codes(spark):
     pairs = [(A, A), ("1001-1200, 1500-1700, 2000-2201", A), ("1002-1200, 1500-1700, 2000-2200", A), ("1000-1201", S), ("1000-1205", S)]
     assert [x[0] for x in coded(spark, pairs, strict=True)] == ["=", "=", "~", "=", "~"]
