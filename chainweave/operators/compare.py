@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainweave.functions import intervals as fx
 from chainweave.operators.intervals import islands, range_join
-from chainweave.operators.loci import KEY, locus_links, loci, superloci, transcript_matches
+from chainweave.operators.loci import KEY, locus_links, loci, single_matches, strict_chain_matches, superloci, transcript_matches
 from chainweave.session import stage_table
 
 
@@ -58,17 +58,26 @@ def base_counts(ex: DataFrame) -> DataFrame:
     return both.unionByName(size)
 
 
-def accuracy(t: DataFrame, reach: int = 100, per_seq: bool = False) -> DataFrame:
+def accuracy(t: DataFrame, reach: int = 100, per_seq: bool = False, strict: bool = False, met_refs: bool = False, met_queries: bool = False) -> DataFrame:
     """level, q_matched, q, r_matched, r, sn, pr of transcripts (tid, dset, seq, strand, exons), and missed and novel counts as levels of their own.
 
     ``seq`` comes first if per_seq, null for all. Sensitivity and precision are percentages, null where there is nothing to
     divide by. Matching needs one strand; unstranded queries count as unmatched. Introns are held against those of
-    the same super-locus only.
+    the same super-locus only. With ``strict`` a transcript is matched by near ends only, and chains in common are counted as
+    ``strict_chain_matches`` does. With ``met_refs`` only references whose locus overlaps a query's count, with ``met_queries`` only
+    queries whose locus overlaps a reference's.
     """
     t = stage_table(t.select("tid", "dset", *KEY, "exons"), "transcripts")
     ex = stage_table(t.select("tid", "dset", *KEY, F.explode("exons").alias("x")).select("tid", "dset", *KEY, "x.s", "x.e"), "exons")
     members = stage_table(loci(ex), "loci")
     links = stage_table(locus_links(ex, members).where("strand <> '.'"), "links")
+    for d, on, side_locus in (("ref", met_refs, "rlocus"), ("qry", met_queries, "qlocus")):
+        if on:
+            met = members.where(f"dset = '{d}'").join(links.select(F.col(side_locus).alias("locus")).distinct(), "locus", "left_semi")
+            members = stage_table(members.where(f"dset <> '{d}'").unionByName(met), "loci")
+    if met_refs or met_queries:
+        counted = members.select("tid", "dset", *KEY)
+        t, ex = (stage_table(x.join(counted, ["tid", "dset", *KEY], "left_semi"), "counted") for x in (t, ex))
     sup = stage_table(superloci(links), "superloci")
     # every level is rows of (seq, side, feature counts)
     side = lambda d: F.expr(f"cast(dset = '{d}' as long)")
@@ -88,8 +97,14 @@ def accuracy(t: DataFrame, reach: int = 100, per_seq: bool = False) -> DataFrame
     same = di.where("strand <> '.'").groupBy(*KEY, "s", "e").agg(F.count("*").alias("n")).where("n = 2")
     level("intron", di, same, same)
     chains = t.where("size(exons) > 1")
-    matched = stage_table(transcript_matches(t.where("strand <> '.'"), reach), "matches")
-    level("chain", chains, matched.where("multi"), matched.where("multi"))
+    if strict:
+        pairs, met = strict_chain_matches(t.where("strand <> '.'"), reach)
+        matched = stage_table(pairs.unionByName(single_matches(t.where("strand <> '.'"), reach, strict=True)), "matches")
+        met = met.select("seq", F.explode(F.expr("sequence(1L, n)")))
+        level("chain", chains, met, met)
+    else:
+        matched = stage_table(transcript_matches(t.where("strand <> '.'"), reach), "matches")
+        level("chain", chains, matched.where("multi"), matched.where("multi"))
     level("transcript", t, matched, matched)
     lt = members.select("dset", "seq", "locus").distinct()
     hit = lambda d, c: members.where(f"dset = '{d}'").join(matched.select(F.col(c).alias("tid")), "tid").select("seq", "locus").distinct()

@@ -72,7 +72,12 @@ def near_exons(qs: int, qe: int, rs: np.ndarray, re: np.ndarray, trange: int) ->
     return (both > 0) & (close | (both >= 0.8 * np.maximum(qlen, rlen)) | ((qlen > rlen) & (both >= 0.8 * rlen) & (both >= 0.7 * qlen)))
 
 
-def _walk(trange: int):
+def near_ends(qs: int, qe: int, rs: np.ndarray, re: np.ndarray, trange: int) -> np.ndarray:
+    """Which spans end near the query's ends, and overlap it."""
+    return (rs <= qe) & (re >= qs) & (np.abs(qs - rs) <= trange) & (np.abs(qe - re) <= trange)
+
+
+def _walk(trange: int, strict: bool = False):
     def walk(island: pa.Table) -> pa.Table:
         """Queries in order of place, each taking the first reference that is left: runs of equal queries and references."""
         x = island.sort_by([("s", "ascending"), ("e", "ascending")])
@@ -80,10 +85,11 @@ def _walk(trange: int):
         q, r = np.flatnonzero(nq), np.flatnonzero(nr)
         rs, re, left = s[r], e[r], nr[r].copy()
         until = np.maximum.accumulate(re) if len(r) else re
+        fits = near_ends if strict else near_exons
         out = []
         for i in q:
             lo, hi = np.searchsorted(until, s[i]), np.searchsorted(rs, e[i], side="right")
-            open_ = lo + np.flatnonzero((left[lo:hi] > 0) & near_exons(s[i], e[i], rs[lo:hi], re[lo:hi], trange))
+            open_ = lo + np.flatnonzero((left[lo:hi] > 0) & fits(s[i], e[i], rs[lo:hi], re[lo:hi], trange))
             wanted = int(nq[i])
             for j in open_:
                 n = min(wanted, int(left[j]))
@@ -98,10 +104,10 @@ def _walk(trange: int):
     return walk
 
 
-def single_matches(t: DataFrame, trange: int = 100) -> DataFrame:
+def single_matches(t: DataFrame, trange: int = 100, strict: bool = False) -> DataFrame:
     """(seq, strand, qid, rid): single-exon queries and references, one to one.
 
-    Two match if their ends are near or most of them overlaps. In order of place, every query takes the first reference that
+    Two match if their ends are near or most of them overlaps; if ``strict``, near ends only. In order of place, every query takes the first reference that
     matches and that no query before it took. Transcripts of one interval are one row with their number, and what
     overlaps, however indirectly, is an island, which is walked once; its memory is 32 bytes for each different interval.
     """
@@ -113,12 +119,60 @@ def single_matches(t: DataFrame, trange: int = 100) -> DataFrame:
     spots = range_join(spots, isl, KEY).withColumnRenamed("s2", "island")
     both = spots.groupBy(*KEY, "island").agg(F.sum("nq").alias("q"), F.sum("nr").alias("r")).where("q > 0 and r > 0")
     spots = spots.join(both.select(*KEY, "island"), [*KEY, "island"], "left_semi").select(*KEY, "island", "s", "e", "nq", "nr")
-    runs = spots.groupBy(*KEY, "island").applyInArrow(_walk(trange), "seq string, strand string, qs long, qe long, qfrom long, rs long, re long, rfrom long, n long")
+    runs = spots.groupBy(*KEY, "island").applyInArrow(_walk(trange, strict), "seq string, strand string, qs long, qe long, qfrom long, rs long, re long, rfrom long, n long")
+    return _members(runs, x)
+
+
+def _members(runs: DataFrame, x: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, strand, qid, rid) of runs of equal queries and references; x numbers (k) those of one span."""
     each = runs.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
-    each = each.select(*KEY, "qs", "qe", (F.col("qfrom") + F.col("i")).alias("qk"), "rs", "re", (F.col("rfrom") + F.col("i")).alias("rk"))
-    q = x.where("dset = 'qry'").select(*KEY, F.col("s").alias("qs"), F.col("e").alias("qe"), F.col("k").cast("long").alias("qk"), F.col("tid").alias("qid"))
-    r = x.where("dset = 'ref'").select(*KEY, F.col("s").alias("rs"), F.col("e").alias("re"), F.col("k").cast("long").alias("rk"), F.col("tid").alias("rid"))
-    return each.join(q, [*KEY, "qs", "qe", "qk"]).join(r, [*KEY, "rs", "re", "rk"]).select(*KEY, "qid", "rid")
+    each = each.select(*KEY, *by, "qs", "qe", (F.col("qfrom") + F.col("i")).alias("qk"), "rs", "re", (F.col("rfrom") + F.col("i")).alias("rk"))
+    q = x.where("dset = 'qry'").select(*KEY, *by, F.col("s").alias("qs"), F.col("e").alias("qe"), F.col("k").cast("long").alias("qk"), F.col("tid").alias("qid"))
+    r = x.where("dset = 'ref'").select(*KEY, *by, F.col("s").alias("rs"), F.col("e").alias("re"), F.col("k").cast("long").alias("rk"), F.col("tid").alias("rid"))
+    return each.join(q, [*KEY, *by, "qs", "qe", "qk"]).join(r, [*KEY, *by, "rs", "re", "rk"]).select(*KEY, "qid", "rid")
+
+
+def _strict_walk(trange: int):
+    def walk(chain: pa.Table) -> pa.Table:
+        """Queries of one chain in order, each taking the first open reference of near ends, and counting the open ones that it passes."""
+        x = chain.sort_by([("s", "ascending"), ("e", "ascending")])
+        s, e, nq, nr = (x.column(c).to_numpy() for c in ("s", "e", "nq", "nr"))
+        r = np.flatnonzero(nr)
+        rs, re, left, hits, out = s[r], e[r], nr[r].copy(), 0, []
+        for i in np.flatnonzero(nq):
+            wanted = int(nq[i])
+            for j in np.flatnonzero((left > 0) & near_ends(s[i], e[i], rs, re, trange)):
+                n = min(wanted, int(left[j]))
+                if not n:
+                    break
+                # the first of n passes the open ones before j; so do the others, as only j's number falls
+                hits += n * (int(left[:j].sum()) + 1)
+                out.append((s[i], e[i], int(nq[i]) - wanted, rs[j], re[j], int(nr[r[j]] - left[j]), n, 0))
+                left[j] -= n
+                wanted -= n
+            hits += wanted * int(left.sum())
+        out.append((0, 0, 0, 0, 0, 0, 0, hits))
+        names = ("qs", "qe", "qfrom", "rs", "re", "rfrom", "n", "hits")
+        return pa.table({**{c: pa.repeat(chain.column(c)[0], len(out)) for c in (*KEY, "c")}, **{c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(names)}})
+
+    return walk
+
+
+def strict_chain_matches(t: DataFrame, trange: int = 100) -> tuple[DataFrame, DataFrame]:
+    """One-to-one matches (seq, strand, qid, rid) of equal chains whose ends are near, and (seq, strand, n): how often equal chains met.
+
+    In order of place every query looks at the references of its chain that have no near match yet, until it finds one for itself;
+    each look counts as a chain in common, so that a chain can count more than once. Transcripts of one chain and
+    span are one row with their number.
+    """
+    x = t.where("size(exons) > 1").select("dset", *KEY, "tid", F.expr("exons[0].s").alias("s"), F.expr("exons[size(exons) - 1].e").alias("e"), fx.rendered(fx.introns(F.col("exons"))).alias("c"))
+    x = stage_table(x.withColumn("k", F.row_number().over(Window.partitionBy("dset", *KEY, "c", "s", "e").orderBy("tid")) - 1), "chains")
+    n = lambda d: F.count(F.when(F.col("dset") == d, 1))
+    spots = x.groupBy(*KEY, "c", "s", "e").agg(n("qry").alias("nq"), n("ref").alias("nr"))
+    both = spots.groupBy(*KEY, "c").agg(F.sum("nq").alias("q"), F.sum("nr").alias("r")).where("q > 0 and r > 0").drop("q", "r")
+    runs = spots.join(both, [*KEY, "c"], "left_semi").groupBy(*KEY, "c").applyInArrow(_strict_walk(trange), "seq string, strand string, c string, qs long, qe long, qfrom long, rs long, re long, rfrom long, n long, hits long")
+    runs = stage_table(runs, "runs")
+    return _members(runs.where("n > 0"), x, ("c",)), runs.where("hits > 0").select(*KEY, F.col("hits").alias("n"))
 
 
 def transcript_matches(t: DataFrame, trange: int = 100) -> DataFrame:

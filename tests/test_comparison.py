@@ -196,3 +196,46 @@ def test_sequences(spark, tmp_path):
     assert sorted(tuple(x) for x in s.collect()) == [("c", 1, "ACGTA"), ("c", 6, "CGTTT"), ("d", 1, "GGGG")]
     got = {x.tid: x.bases for x in fasta.spliced(tx(spark, [("qry", 1, "+", "2-6,9-10"), ("qry", 2, "-", "2-6,9-10")]), s).collect()}
     assert got == {1: "CGTACTT", 2: "AAGTACG"}
+
+
+def test_strict_levels_by_brute_force(spark):
+    """Near ends only, chains counted at each look, against the loop over queries and references in order of place."""
+    import random
+
+    r = random.Random(8)
+    chains = ["{}-1200,1500-1700,2000-{}", "{}-1200,1500-{}"]
+    rows = [(r.choice(("qry", "ref")), i, r.choice("+-"), r.choice(chains).format(1000 + r.choice([0, 5, 30, 30, 60]), 2200 + r.choice([0, 5, 40]))) for i in range(70)]
+    rows += [(r.choice(("qry", "ref")), 100 + i, "+", f"{a}-{a + r.randrange(80, 100)}") for i, a in enumerate(r.randrange(5000, 5200) for _ in range(30))]
+    exons = {i: spans(x) for _, i, _, x in rows}
+    order = lambda i: (exons[i][0][0], exons[i][-1][1], i)
+    hits, pairs, near = 0, set(), 20
+    for strand in "+-":
+        q, ref = (sorted((i for d, i, st, _ in rows if d == k and st == strand), key=order) for k in ("qry", "ref"))
+        taken = set()
+        for i in q:
+            for j in ref:
+                a, b = exons[i], exons[j]
+                if j in taken or a[-1][1] < b[0][0] or b[-1][1] < a[0][0] or [(x[1], y[0]) for x, y in zip(a, a[1:])] != [(x[1], y[0]) for x, y in zip(b, b[1:])]:
+                    continue
+                ends = abs(a[0][0] - b[0][0]) <= near and abs(a[-1][1] - b[-1][1]) <= near
+                hits += len(a) > 1
+                if ends:
+                    taken.add(j)
+                    pairs.add((i, j))
+                    break
+    t = tx(spark, rows)
+    got, looks = loci.strict_chain_matches(t, near)
+    single = loci.single_matches(t, near, strict=True)
+    assert {(x.qid, x.rid) for x in got.unionByName(single).collect()} == pairs and looks.agg(F.sum("n")).first()[0] == hits > len(pairs)
+    levels = {x.level: x for x in compare.accuracy(t, near, strict=True).collect()}
+    assert (levels["chain"].q_matched, levels["transcript"].q_matched, levels["transcript"].r_matched) == (hits, len(pairs), len(pairs))
+
+
+def test_only_what_meets_counts(spark):
+    """References and queries of loci that overlap nothing can be left out of every level."""
+    t = tx(spark, [("ref", 1, "+", "1000-1200,1500-1700"), ("ref", 2, "+", "9000-9200,9500-9700"), ("qry", 3, "+", "1000-1200,1500-1700"), ("qry", 4, "+", "5000-5100"), ("qry", 5, ".", "1000-1100")])
+    sizes = lambda **how: {x.level: (x.q, x.r, x.q_matched, x.r_matched) for x in compare.accuracy(t, **how).collect()}
+    plain, refs, both = sizes(), sizes(met_refs=True), sizes(met_refs=True, met_queries=True)
+    assert plain["transcript"] == (3, 2, 1, 1) and plain["missed locus"][3] == 1 and plain["novel locus"][2] == 2
+    assert refs["transcript"] == (3, 1, 1, 1) and "missed locus" not in refs and refs["base"][:2] == (604, 402) and refs["intron"] == (1, 1, 1, 1)
+    assert both["transcript"] == both["locus"] == both["chain"] == (1, 1, 1, 1) and both["exon"] == (2, 2, 2, 2) and both["base"] == (402, 402, 402, 402)
