@@ -32,10 +32,10 @@ from chainweave.session import read_table, stage_table
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Bytes of text of a block of documents; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes of text that are cut, and segments that are composed, at a time.
 PART_BYTES, PART_SEGMENTS = 1 << 20, 1 << 18
-#: Blocks whose places of a segment are kept in one row: 32 GB of text. A segment is aligned once for each so many.
+#: Blocks whose places of a segment are kept in one row: 48 GB of text. A segment is aligned once for each so many.
 LISTED_BLOCKS = 4096
 #: Id pairs up to which their counts are broadcast (20 bytes each); beyond it they are joined.
 MAX_BROADCAST_PAIRS = 1 << 20
