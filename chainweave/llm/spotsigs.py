@@ -33,7 +33,7 @@ ANCHORS = (
     "el los las del se por con una su para al lo como no si"
 ).split()
 CHAIN, SPACING = 2, 1
-#: Likeness below this is 0.
+#: Where a search has no need of likeness below a bound, lengths are held against it first.
 LEAST = 0.1
 
 
@@ -81,12 +81,12 @@ def length_partition(n: int, least: float = LEAST) -> int:
     return 0 if n == 0 else 1 + int(math.log(n) / math.log(1 / least) + 1e-9)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
-    """Likeness of two fingerprints, 0.0 below ``least``; sets that can't reach it by length aren't compared. Two empty ones are alike."""
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Likeness of two fingerprints; with ``least`` 0.0 below it, and sets that can't reach it by length aren't compared. Two empty ones are alike."""
     n, m = sorted((len(a), len(b)))
     if m == 0:
         return 1.0
-    if length_partition(m, least) - length_partition(n, least) > 1 or n < least * m:
+    if least and (length_partition(m, least) - length_partition(n, least) > 1 or n < least * m):
         return 0.0
     both = np.sort(np.concatenate([a, b]))
     inter = int(np.count_nonzero(both[1:] == both[:-1]))

@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import itertools
@@ -234,6 +235,9 @@ def test_fingerprints(docs, empty):
         t, x = r.text or "", after.text or ""
         edited = t[: len(t) - len(t) // 2] + x[: len(t) // 2]
         assert got[r.doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        own, new, other = (set(memoryview(base64.b64decode(x)).cast("I")) for x in (got[r.doc_id].fingerprint, got[r.doc_id].edited_fingerprint, got[after.doc_id].fingerprint))
+        like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert (got[r.doc_id].near_edited, got[r.doc_id].near_next) == (like(own, new), like(own, other))  # without a floor
     assert spotsigs.fingerprint_neighbours(empty).count() == 0
 
 
