@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.functions import intervals as fx
+from chainweave.operators.classify import best_codes, prepared, with_codes
 from chainweave.operators.components import connected_components
+from chainweave.operators.context import candidates
 from chainweave.operators.intervals import islands, range_join
-from chainweave.operators.loci import KEY, near_exons
+from chainweave.operators.loci import KEY, loci, near_exons
 from chainweave.session import stage_table
 
 #: Bases that an end may poke into a container's intron; the share of the shorter of two single exons.
@@ -222,3 +224,50 @@ def start_clusters(t: DataFrame, reach: int = 100) -> DataFrame:
     each = stage_table(t.join(folded, [*by, "s", "e"]).select("tid", *by, "session", "cluster"), "clustered")
     first = each.groupBy(*by, "session", "cluster").agg(F.min("tid").alias("tss"))
     return each.join(first, [*by, "session", "cluster"]).select("tid", "locus", "tss")
+
+
+def adopted_strands(t: DataFrame) -> DataFrame:
+    """(tid, strand) of unstranded transcripts: the strand of the transcripts of any sample that they hang together with, '.' if there are none.
+
+    What hangs together shares exon bases, also by way of other unstranded transcripts. The forward strand comes first:
+    what it takes is lost to the other one.
+    """
+    ex = stage_table(t.select("tid", "seq", "strand", F.explode("exons").alias("x")).select("tid", "seq", "strand", "x.s", "x.e"), "exons")
+    open_, taken = ex, None
+    for strand in "+-":
+        sub = open_.where(F.col("strand").isin(strand, "."))
+        members = loci(sub, ("seq",)).join(sub.select("tid", "strand").distinct(), "tid")
+        held = members.where(F.col("strand") == strand).select("locus").distinct()
+        got = stage_table(members.where("strand = '.'").join(held, "locus", "left_semi").select("tid", F.lit(strand).alias("strand")), "adopted")
+        taken = got if taken is None else taken.unionByName(got)
+        open_ = open_.join(got.select("tid"), "tid", "left_anti")
+    return t.where("strand = '.'").select("tid").join(taken, "tid", "left").select("tid", F.coalesce("strand", F.lit(".")).alias("strand"))
+
+
+def class_codes(t: DataFrame, refs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(qid, rid, code, by_head) of the best reference of each transcript, told by the head of what is one over the samples.
+
+    Where the head of a class (its first transcript by sample and place) equals a reference, so does each member, though it
+    may be nearer to another. Chains that equal a reference's are found by their introns; only what is not settled by then
+    is held against every reference that it overlaps.
+    """
+    x = stage_table(laid(t).join(heads, "tid").select("sample", "tid", "s", "e", "head"), "members")
+    first = x.groupBy("head").agg(F.min_by("tid", F.struct("sample", "s", "e", "tid")).alias("first"))
+    x = stage_table(x.join(first, "head").select("tid", "first"), "members")
+    q = prepared(t).select(*KEY, F.col("t").alias("q"), F.col("t.c").alias("c")).where("q.n > 1")
+    r = prepared(refs).select(*KEY, F.col("t").alias("r"), F.col("t.c").alias("c")).where("r.n > 1")
+    equal = stage_table(best_codes(with_codes(q.join(r, [*KEY, "c"]).select("q", "r"))).select("qid", "rid", "code"), "equal")
+
+    def told(codes: DataFrame) -> DataFrame:
+        """All members of classes whose head equals a reference."""
+        return x.join(codes.where("code = '='").select(F.col("qid").alias("first"), "rid"), "first").select(F.col("tid").alias("qid"), "rid", F.lit("=").alias("code"), F.lit(True).alias("by_head"))
+
+    settled = stage_table(told(equal), "settled")
+    own = equal.join(settled.select("qid"), "qid", "left_anti")
+    left = t.join(settled.select(F.col("qid").alias("tid")), "tid", "left_anti").join(own.select(F.col("qid").alias("tid")), "tid", "left_anti")
+    coded = stage_table(best_codes(candidates(left, refs)).select("qid", "rid", "code"), "coded")
+    more = stage_table(told(coded), "settled")
+    rest = coded.unionByName(own).join(more.select("qid"), "qid", "left_anti").withColumn("by_head", F.lit(False))
+    out = settled.unionByName(more).unionByName(rest)
+    none = t.select(F.col("tid").alias("qid")).join(out.select("qid"), "qid", "left_anti")
+    return out.unionByName(none.select("qid", F.lit(None).cast(dict(out.dtypes)["rid"]).alias("rid"), F.lit("u").alias("code"), F.lit(False).alias("by_head")))

@@ -61,7 +61,20 @@ def tss_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.start_clusters(q.select("tid", *lc.KEY, "s", "e").join(members, "tid"), REACH)
 
 
-QUERIES = {f.__name__: f for f in (sample_duplicates, tracking, redundant, tss_clusters)}
+def sample_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strands that unstranded queries take from what they hang together with over all samples."""
+    q, _ = _sets(spark, sf_dir)
+    return samples.adopted_strands(q)
+
+
+def class_codes_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best references and codes where the head of equal transcripts over the samples tells for all of them."""
+    q, r = _sets(spark, sf_dir)
+    q = _kept(q)
+    return samples.class_codes(q, r, stage_table(samples.equivalents(q), "heads"))
+
+
+QUERIES = {f.__name__: f for f in (sample_duplicates, tracking, redundant, tss_clusters, sample_strands, class_codes_by_class)}
 
 _SAME = """x.s <= {m}.e and x.e >= {m}.s and (x.s = {m}.s and x.e = {m}.e or least(x.e, {m}.e) - greatest(x.s, {m}.s) + 1 >= 0.8 * greatest(x.e - x.s + 1, {m}.e - {m}.s + 1)
       or {m}.e - {m}.s > x.e - x.s and least(x.e, {m}.e) - greatest(x.s, {m}.s) + 1 >= 0.8 * (x.e - x.s + 1) and least(x.e, {m}.e) - greatest(x.s, {m}.s) + 1 >= 0.7 * ({m}.e - {m}.s + 1))"""
@@ -132,4 +145,16 @@ SQL = {
           from tf join t on t.locus = tf.locus and t.k = tf.k + 1)),
       fin as (select locus, unnest(cl) as c from tf where k = (select max(k) from t where t.locus = tf.locus))
       select unnest(c.m) as tid, locus, list_min(c.m) as tss from fin""",
+    "sample_strands": _EX + ", " + ", ".join(f"""
+      {k}_m as (select tid, strand from tx where dset = 'qry' and strand in ('{c}', '.'){more}),
+      {k}_n as (select distinct a.tid as a, b.tid as b from ex a join ex b on a.dset = 'qry' and b.dset = 'qry' and a.seq = b.seq and a.s <= b.e and a.e >= b.s and a.strand in ('{c}', '.') and b.strand in ('{c}', '.') and a.tid <> b.tid
+        where a.tid in (select tid from {k}_m) and b.tid in (select tid from {k}_m)),
+      {k}_r as (select tid, tid as other from {k}_m union select r.tid, n.b from {k}_r r join {k}_n n on n.a = r.other),
+      {k}_t as (select distinct m.tid from {k}_m m join {k}_r r on r.tid = m.tid join {k}_m o on o.tid = r.other where m.strand = '.' and o.strand = '{c}')"""
+      for k, c, more in (("fw", "+", ""), ("bw", "-", " and tid not in (select tid from fw_t)"))) + """
+      select tid, case when tid in (select tid from fw_t) then '+' when tid in (select tid from bw_t) then '-' else '.' end as strand from tx where dset = 'qry' and strand = '.'""",
+    "class_codes_by_class": _CODES + _DEDUP + _EQUAL + """,
+      mem as (select head, kq.tid, row_number() over (partition by head order by sample, s, e, tid) as b from kq join eq using (tid)),
+      h as (select head, rid from mem join codes on qid = tid where b = 1 and code = '=')
+      select mem.tid as qid, coalesce(h.rid, codes.rid) as rid, case when h.rid is not null then '=' else codes.code end as code, h.rid is not null as by_head from mem join codes on qid = tid left join h using (head)""",
 }
