@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.functions import intervals as fx
-from chainweave.operators import context
+from chainweave.operators import context, samples
 from chainweave.operators import loci as lc
 from chainweave.operators.classify import best_codes
 from chainweave.session import stage_table
@@ -90,6 +90,62 @@ class Comparison:
         mine: Column = F.format_string("q1:%s|%s|%d|%8.6f|%8.6f|%8.6f|%d", "gene", "tid", "n", "fpkm", "tpm", "cov", "len")
         return rows.select(F.format_string(prefix + "_%08d|%d|%d", "id", "n", "len").alias("tcons"), "xloc", F.coalesce(F.concat_ws("|", F.col("ref_gene_id"), F.when(F.col("ref_gene_id").isNotNull(), F.col("ref_id"))), F.lit("-")).alias("ref"), "code", mine.alias("q1"))
 
+    def sample_names(self) -> list[str]:
+        """Names of the query samples in order; there are as many as files."""
+        return [r["dset"] for r in self.q.select("dset").distinct().orderBy("dset").collect()]
+
+    def kept(self) -> DataFrame:
+        """Queries of all samples, numbered, without the duplicates of their sample, and the head of those that are one (head)."""
+        if not hasattr(self, "_kept"):
+            order = F.array(*map(F.lit, self.sample_names()))
+            t = self.q.withColumn("sample", (F.array_position(order, F.col("dset")) - 1).cast("int"))
+            t = stage_table(t.join(samples.deduplicated(t).where("tid = into").select("tid"), "tid"), "kept")
+            self._kept = stage_table(t.join(samples.equivalents(t), "tid"), "kept")
+        return self._kept
+
+    def tracking_by_sample(self, prefix: str = "TCONS") -> DataFrame:
+        """One row for what is one transcript over the samples: its number, extended locus, best reference, code, and a column for each sample.
+
+        A sample's transcripts are listed as ``q1:gene|id|exons|fpkm|tpm|cov|bases``, or '-'. head, tid, seq, strand, s and e of the
+        longest one come last.
+        """
+        t = self.kept()
+        label = F.format_string("%s|%s|%d|%8.6f|%8.6f|%8.6f|%d", F.coalesce("gene", "gene_name", "tid"), F.col("tid").cast("string"), F.size("exons"), "fpkm", "tpm", "cov", fx.covered(F.col("exons")))
+        names = self.sample_names()
+        rows = samples.tracked(t, t.select("tid", "head"), self.codes.select("qid", "rid", "code"), list(range(len(names))), t.select("tid", label.alias("v")))
+        x = self.loci_table().select("locus", "xloc").join(self.extended().where("dset <> 'ref'").select("tid", "locus"), "locus").select("tid", "xloc")
+        place = t.select("tid", "seq", "strand", F.expr("exons[0].s").alias("s"), F.expr("exons[size(exons) - 1].e").alias("e"))
+        rows = numbered(rows.join(place, "tid"), ["s", "e", "tid"]).join(x, "tid").join(self._ids(self.r, "ref").withColumnRenamed("ref_id", "ref"), "ref", "left")
+        cells = [F.when(F.col(f"q{i + 1}") == "-", "-").otherwise(F.concat(F.lit(f"q{i + 1}:"), f"q{i + 1}")).alias(f"q{i + 1}") for i in range(len(names))]
+        ref = F.when(F.col("ref").isNotNull(), F.concat_ws("|", "ref_gene_id", "ref")).otherwise("-").alias("ref")
+        return rows.select(F.format_string(prefix + "_%08d|%d|%d", "id", "n", "len").alias("tcons"), "xloc", ref, "code", *cells, "n_samples", "head", "tid", "seq", "strand", "s", "e", "id")
+
+    def loci_by_sample(self) -> DataFrame:
+        """xloc, place, refs and a list of transcripts for each sample, '-' where it has none."""
+        names = self.sample_names()
+        m = self.extended().where("dset <> 'ref'").select("tid", "dset", "locus")
+        cells = m.groupBy("locus").pivot("dset", names).agg(F.array_sort(F.collect_list("tid")))
+        cells = cells.select("locus", *[F.when(F.size(F.coalesce(f"`{k}`", F.array())) > 0, F.array_join(f"`{k}`", ",")).otherwise("-").alias(f"q{i + 1}") for i, k in enumerate(names)])
+        return self.loci_table().drop("queries").join(cells, "locus").select("xloc", "place", "refs", *[f"q{i + 1}" for i in range(len(names))])
+
+    def combined(self, prefix: str = "TCONS", keep: bool = True, poke: int = 0, tss: int | None = None, in_exon: bool = False, keep_equal: bool = False) -> DataFrame:
+        """Attributes of the combined set, a row a transcript: tcons, xloc, tid, ref, code, contained, tss, n_samples, redundant.
+
+        What is one over the samples is its longest transcript. With ``keep`` false those that another one of their extended locus holds
+        (see ``samples.contained``) are ``redundant``, but for those equal to a reference if ``keep_equal``. tss numbers the clusters of
+        start sites from 1 by the smallest number of their transcripts.
+        """
+        rows = stage_table(self.tracking_by_sample(prefix), "tracking")
+        t = self.kept().join(rows.select("tid", "xloc", "id"), "tid")
+        held = samples.contained(t.select("sample", "tid", "seq", "strand", "exons"), poke, tss, in_exon)
+        starts = samples.start_clusters(t.select(F.col("id").alias("tid"), F.col("xloc").alias("locus"), "seq", "strand", F.expr("exons[0].s").alias("s"), F.expr("exons[size(exons) - 1].e").alias("e")))
+        starts = starts.select(F.col("tid").alias("id"), "tss")
+        rank = starts.select("tss").distinct().join(rows.select(F.col("id").alias("tss"), "seq", "strand"), "tss")
+        starts = starts.join(numbered(rank, ["tss"], "tss_id").select("tss", "tss_id"), "tss").select("id", "tss_id")
+        out = rows.join(held, "tid", "left").join(starts, "id")
+        gone = F.lit(not keep) & F.col("why").isNotNull() & ~(F.lit(keep_equal) & (F.col("code") == "="))
+        return out.select(F.split("tcons", r"\|")[0].alias("tcons"), "xloc", "tid", "ref", "code", F.col("why").alias("contained"), "tss_id", "n_samples", gone.alias("redundant"))
+
     def annotated(self) -> DataFrame:
         """Lines (seq, s, line) of queries and their exons, with the locus, the best reference and its code."""
         x = self.loci_table().select("locus", "xloc").join(self.extended().where("dset <> 'ref'").select("tid", "locus"), "locus").select("tid", "xloc")

@@ -109,10 +109,10 @@ def consensus(t: DataFrame, heads: DataFrame) -> DataFrame:
     return x.groupBy("head").agg(F.min_by("tid", F.struct(-F.col("len"), "sample", "tid")).alias("tid"))
 
 
-def tracked(t: DataFrame, heads: DataFrame, codes: DataFrame, samples: list) -> DataFrame:
+def tracked(t: DataFrame, heads: DataFrame, codes: DataFrame, samples: list, labels: DataFrame | None = None) -> DataFrame:
     """head, tid (of the consensus), n, len, ref, code, n_samples, and a column for each of ``samples``: q1, q2 and so on.
 
-    A cell lists the sample's transcripts as ``tid|exons|bases`` by tid, or is '-'. ``codes`` has the best reference and the
+    A cell lists the sample's transcripts as ``tid|exons|bases``, or as ``labels`` (tid, v) says, by tid, or is '-'. ``codes`` has the best reference and the
     code of each query (qid, rid, code). If the head of what is one transcript equals a reference, that one is every
     member's; else the consensus tells.
     """
@@ -122,8 +122,9 @@ def tracked(t: DataFrame, heads: DataFrame, codes: DataFrame, samples: list) ->
     head = codes.where("code = '='").select(F.col("qid").alias("first"), F.col("rid").alias("head_ref"))
     rep = rep.select("head", "m.*", "n_samples", "first").join(own, "tid", "left").join(head, "first", "left")
     rep = rep.select("head", "tid", "n", "len", "n_samples", F.coalesce("head_ref", "ref").alias("ref"), F.when(F.col("head_ref").isNotNull(), "=").otherwise(F.coalesce("code", F.lit("u"))).alias("code"))
-    item = F.struct("tid", F.concat_ws("|", "tid", "n", "len").alias("v"))
-    cells = x.groupBy("head").pivot("sample", samples).agg(F.array_sort(F.collect_list(item)))  # a sample's copies of one transcript
+    said = x.withColumn("v", F.concat_ws("|", "tid", "n", "len")) if labels is None else x.join(labels.select("tid", "v"), "tid")
+    item = F.struct("tid", "v")
+    cells = said.groupBy("head").pivot("sample", samples).agg(F.array_sort(F.collect_list(item)))  # a sample's copies of one transcript
     cells = cells.select("head", *[F.when(F.size(F.coalesce(f"`{k}`", F.array())) > 0, F.array_join(F.transform(f"`{k}`", lambda v: v["v"]), ",")).otherwise("-").alias(f"q{i + 1}") for i, k in enumerate(samples)])
     return rep.join(cells, "head")
 

@@ -239,3 +239,25 @@ def test_only_what_meets_counts(spark):
     assert plain["transcript"] == (3, 2, 1, 1) and plain["missed locus"][3] == 1 and plain["novel locus"][2] == 2
     assert refs["transcript"] == (3, 1, 1, 1) and "missed locus" not in refs and refs["base"][:2] == (604, 402) and refs["intron"] == (1, 1, 1, 1)
     assert both["transcript"] == both["locus"] == both["chain"] == (1, 1, 1, 1) and both["exon"] == (2, 2, 2, 2) and both["base"] == (402, 402, 402, 402)
+
+
+def test_samples_in_reports(spark, tmp_path):
+    """Three samples from text files: duplicates go, equal chains are one row, cells are '-' where a sample has none."""
+    line = 'c\ts\texon\t{}\t{}\t.\t{}\t.\ttranscript_id "{}"; gene_id "{}";'
+    chain = {"A": [("1000-1200,1500-1700,2000-2200", "a1"), ("1050-1200,1500-1700,2000-2100", "a2"), ("9000-9300", "a3")], "B": [("990-1200,1500-1700,2000-2300", "b1"), ("1100-1200,1500-1600", "b2")], "C": [("9010-9300", "c1"), ("9020-9120", "c2")]}
+    for name, rows in chain.items():
+        (tmp_path / f"{name}.gtf").write_text("\n".join(line.format(*p, "+", t, f"g{t}") for x, t in rows for p in spans(x)) + "\n")
+    (tmp_path / "r.gtf").write_text("\n".join(line.format(*p, "+", "r1", "G") for p in spans("1000-1200,1500-1700,2000-2200")) + "\n")
+    q = None
+    for name in chain:
+        t = annotation.read_transcripts(spark, str(tmp_path / f"{name}.gtf"), name)
+        q = t if q is None else q.unionByName(t)
+    c = reports.Comparison(q, annotation.read_transcripts(spark, str(tmp_path / "r.gtf"), "ref", reference=True))
+    rows = {x.tid: x for x in c.tracking_by_sample().collect()}
+    assert {t: (x.xloc, x.ref, x.code, x.n_samples) for t, x in rows.items()} == {"b1": ("XLOC_000001", "G|r1", "=", 2), "b2": ("XLOC_000001", "G|r1", "c", 1), "a3": ("XLOC_000002", "-", "u", 2), "c2": ("XLOC_000002", "-", "u", 1)}
+    b1 = rows["b1"]
+    assert (b1.q1, b1.q2, b1.q3) == ("q1:ga1|a1|3|0.000000|0.000000|0.000000|603", "q2:gb1|b1|3|0.000000|0.000000|0.000000|713", "-") and b1.tcons == "TCONS_00000001|3|713"
+    assert [rows["a3"][f"q{k}"].split("|")[1:3] if rows["a3"][f"q{k}"] != "-" else "-" for k in (1, 2, 3)] == [["a3", "1"], "-", ["c1", "1"]]
+    assert sorted(tuple(x) for x in c.loci_by_sample().collect()) == [("XLOC_000001", "c[+]990-2300", "G|r1", "a1,a2", "b1,b2", "-"), ("XLOC_000002", "c[+]9000-9300", "-", "a3", "-", "c1,c2")]
+    both = {x.tid: (x.contained, x.redundant, x.tss_id) for x in c.combined(keep=False).collect()}
+    assert both == {"b1": (None, False, 1), "b2": ("chain", True, 2), "a3": (None, False, 3), "c2": ("single", True, 3)}
