@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainweave.functions.intervals import merge_close
 
-#: A transcript of this span less 500 or more is dropped; so are shorter spans than LEAST_SPAN made by one exon.
+#: A transcript of this span less 500 or more is dropped; so is a single exon without a transcript's line whose ends are less than LEAST_SPAN apart.
 MAX_SPAN, LEAST_SPAN = 7_000_000, 10
 _NONE = "cast(array() as array<struct<s:bigint,e:bigint>>)"
 
@@ -71,8 +71,8 @@ def assemble(features: DataFrame, reference: bool = False, close: int = 4, singl
     Exons and coding parts of one parent on one sequence make a transcript, with or without a line of its own;
     coding parts count as exons as well. Parts on another strand than a stranded parent are left out; an
     unstranded parent takes its parts' strand. A transcript line without parts has one exon. Exons that overlap or
-    touch are joined, then those at most ``close`` bases apart. Spans of MAX_SPAN are dropped, single-exon
-    transcripts unless ``single_exon``, and unstranded ones of a reference.
+    touch are joined, then those at most ``close`` bases apart. Spans of MAX_SPAN are dropped, tiny single exons that no
+    transcript's line names, single-exon transcripts unless ``single_exon``, and unstranded ones of a reference.
     """
     lines = features.where("kind = 'transcript' and id is not null")
     number = lambda k: F.coalesce(F.expr(f"""try_cast(coalesce(nullif(regexp_extract(info, '(?:^|;)\\\\s*{k}[= ]+"?([^";]+)', 1), ''), '0') as double)"""), F.lit(0.0)).alias(k.lower())
@@ -89,11 +89,12 @@ def assemble(features: DataFrame, reference: bool = False, close: int = 4, singl
     t = t.join(genes, ["dset", "seq", "parent"], "left")
     strand = F.when(F.col("own").isin("+", "-"), F.col("own")).otherwise(F.coalesce("pstrand", "own"))
     exons = F.when(F.coalesce(F.size("x"), F.lit(0)) > 0, F.col("x")).otherwise(F.array(F.struct(F.col("ls").alias("s"), F.col("le").alias("e"))))
-    t = t.select("dset", "tid", F.coalesce("gene", "ggene", "parent", "pgene").alias("gene"), F.coalesce("gene_name", "gname", "pname").alias("gene_name"), "seq", strand.alias("strand"), F.coalesce("source", "psource").alias("source"), exons.alias("x"), "cs", "ce", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("fpkm", "tpm", "cov")])
+    t = t.select("dset", "tid", F.coalesce("gene", "ggene", "parent", "pgene").alias("gene"), F.coalesce("gene_name", "gname", "pname").alias("gene_name"), "seq", strand.alias("strand"), F.coalesce("source", "psource").alias("source"), exons.alias("x"), F.col("own").isNotNull().alias("lined"), "cs", "ce", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("fpkm", "tpm", "cov")])
     # parts of an unstranded parent may come from several strands' rows: one row a transcript and strand
-    t = t.groupBy("dset", "tid", "seq", "strand").agg(F.flatten(F.collect_list("x")).alias("x"), *[F.first(c, ignorenulls=True).alias(c) for c in ("gene", "gene_name", "source", "fpkm", "tpm", "cov")], F.min("cs").alias("cs"), F.max("ce").alias("ce"))
+    t = t.groupBy("dset", "tid", "seq", "strand").agg(F.flatten(F.collect_list("x")).alias("x"), *[F.first(c, ignorenulls=True).alias(c) for c in ("gene", "gene_name", "source", "fpkm", "tpm", "cov")], F.min("cs").alias("cs"), F.max("ce").alias("ce"), F.max("lined").alias("lined"))
     t = t.withColumn("exons", merge_close(_merged(F.col("x")), close)).drop("x").where(F.expr("size(exons) > 0"))
     t = t.where(F.expr(f"exons[size(exons) - 1].e - exons[0].s + 501 <= {MAX_SPAN}"))
+    t = t.where(F.expr(f"lined or size(exons) > 1 or exons[0].e - exons[0].s >= {LEAST_SPAN}")).drop("lined")
     t = t if single_exon else t.where("size(exons) > 1")
     return t.where("strand <> '.'") if reference else t
 

@@ -12,7 +12,7 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
     """(seq, start, bases): each line of bases with its place in its sequence, from 1.
 
     Lines keep their order by file and offset. Sequences end at the next header, and what stands before the first header
-    is left out. Only header places and line lengths are ordered, the bases stay where they are read.
+    is left out. Lengths are summed in order of lines, file by file.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value"))
     w = Window.partitionBy("file").orderBy("at")
