@@ -35,10 +35,9 @@ def feature_kind(kind: Column) -> Column:
     return out.when(k.endswith("gene"), "gene").when(k.endswith("match"), "match").otherwise("other")
 
 
-def _columns(spark: SparkSession, path) -> DataFrame:
+def _columns(lines: DataFrame) -> DataFrame:
     """Tab-separated fields c of the lines that have eight or more; comment lines are out."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
-    return lines.select(F.split("value", "\t").alias("c")).where(F.size("c") >= 8)
+    return lines.where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 8)
 
 
 def read_features(spark: SparkSession, path, sample: str) -> DataFrame:
@@ -48,7 +47,12 @@ def read_features(spark: SparkSession, path, sample: str) -> DataFrame:
     holds for each line by itself; a line of several parents gives one row for each. In GTF the parent of
     exons is their transcript_id.
     """
-    c = _columns(spark, path)
+    return features_of(spark.read.text(path), sample)
+
+
+def features_of(lines: DataFrame, sample: str) -> DataFrame:
+    """The same of lines (value), which may be a stream."""
+    c = _columns(lines)
     a, b, info = F.expr("try_cast(c[3] as bigint)"), F.expr("try_cast(c[4] as bigint)"), F.coalesce(F.try_element_at("c", F.lit(9)), F.lit(""))
     rows = c.select(F.lit(sample).alias("dset"), F.col("c")[0].alias("seq"), F.col("c")[1].alias("source"), feature_kind(F.col("c")[2]).alias("kind"), F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)).alias("s"), F.greatest(a, b).alias("e"), F.expr("try_cast(c[5] as double)").alias("score"), F.col("c")[6].alias("strand"), F.col("c")[7].alias("phase"), info.alias("info"))
     rows = rows.where("s is not null and e is not null and kind <> 'match' and strand in ('+', '-', '.')").withColumn("gff3", F.col("info").rlike(r"(?:^|;)\s*(ID|Parent)="))
@@ -128,7 +132,7 @@ def read_bed(spark: SparkSession, path, sample: str) -> DataFrame:
 
 def read_tlf(spark: SparkSession, path, sample: str) -> DataFrame:
     """The same rows from one-line transcripts, whose attributes list ``exons=s-e,s-e``; bad parts are skipped, reversed ones swapped."""
-    c = _columns(spark, path).select("c", F.coalesce(F.try_element_at("c", F.lit(9)), F.lit("")).alias("info"))
+    c = _columns(spark.read.text(path)).select("c", F.coalesce(F.try_element_at("c", F.lit(9)), F.lit("")).alias("info"))
     x = F.explode(F.split(gff_attribute(F.col("info"), "exons"), ",")).alias("x")
     rows = c.select(gff_attribute(F.col("info"), "ID").alias("tid"), F.coalesce(gff_attribute(F.col("info"), "geneID"), gff_attribute(F.col("info"), "ID")).alias("gene"), F.lit(sample).alias("dset"), F.col("c")[0].alias("seq"), F.col("c")[6].alias("strand"), x)
     a, b = F.expr("try_cast(split(x, '-')[0] as bigint)"), F.expr("try_cast(get(split(x, '-'), 1) as bigint)")

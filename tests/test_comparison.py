@@ -261,3 +261,29 @@ def test_samples_in_reports(spark, tmp_path):
     assert sorted(tuple(x) for x in c.loci_by_sample().collect()) == [("XLOC_000001", "c[+]990-2300", "G|r1", "a1,a2", "b1,b2", "-"), ("XLOC_000002", "c[+]9000-9300", "-", "a3", "-", "c1,c2")]
     both = {x.tid: (x.contained, x.redundant, x.tss_id) for x in c.combined(keep=False).collect()}
     assert both == {"b1": (None, False, 1), "b2": ("chain", True, 2), "a3": (None, False, 3), "c2": ("single", True, 3)}
+
+
+def test_streaming_assembly(spark, tmp_path):
+    """Lines of one transcript over several batches and a restart give the transcripts of one read."""
+    import random
+
+    from chainweave.streaming.assembly import assemble_stream, latest
+
+    lines = []
+    for tid, (strand, text) in QUERIES.items():
+        info = f'transcript_id "{tid}"; gene_id "{tid[:6]}";'
+        lines.append(f"NT\ts\ttranscript\t{spans(text)[0][0]}\t{spans(text)[-1][1]}\t.\t{strand}\t.\t{info} FPKM \"1.5\";")
+        lines += [f"NT\ts\texon\t{a}\t{b}\t.\t{strand}\t.\t{info}" for a, b in spans(text)]
+    random.Random(1).shuffle(lines)
+    (tmp_path / "in").mkdir()
+    paths = str(tmp_path / "out"), str(tmp_path / "check")
+    for k in range(3):  # each start goes on from the checkpoint
+        for part in range(2):
+            (tmp_path / "in" / f"{k}{part}.gtf").write_text("\n".join(lines[2 * k + part :: 6]) + "\n")
+        stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+        assemble_stream(stream, "q", *paths).awaitTermination()
+    (tmp_path / "all.gtf").write_text("\n".join(lines) + "\n")
+    want = annotation.read_transcripts(spark, str(tmp_path / "all.gtf"), "q")
+    got = latest(spark, paths[0]).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == len(QUERIES)
+    assert spark.read.parquet(paths[0]).count() > len(QUERIES)
