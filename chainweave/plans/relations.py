@@ -297,3 +297,9 @@ SQL = {
 SQL["sample_matrix"] = _EX + """, i as (select tid, string_agg((a + 1) || '-' || (b - 1), ',' order by i) as chain from gi group by tid)
   select seq, strand, chain, count(distinct tid % 3) as samples, coalesce(string_agg(tid, ',' order by tid) filter (tid % 3 = 0), '-') as s0, coalesce(string_agg(tid, ',' order by tid) filter (tid % 3 = 1), '-') as s1, coalesce(string_agg(tid, ',' order by tid) filter (tid % 3 = 2), '-') as s2
   from tx join i using (tid) where dset = 'qry' group by seq, strand, chain"""
+#: Unstranded queries against references of either strand; then those without one against the stranded queries that they share bases with.
+SQL["assigned_strands"] = _CODES.replace("q.seq = r.seq and q.strand = r.strand and", "q.seq = r.seq and q.strand = '.' and r.strand <> '.' and") + """, near as (select qid as tid, t.strand from best join tx t on t.tid = rid where ovlen > 0),
+  shared as (select a.tid, b.tid as other, b.strand, sum(greatest(0, least(x.e, y.e) - greatest(x.s, y.s) + 1)) as n from tx a join tx b on a.dset = 'qry' and a.strand = '.' and b.dset = 'qry' and b.strand <> '.' and a.seq = b.seq and a.s <= b.e and a.e >= b.s
+    join ex x on x.tid = a.tid join ex y on y.tid = b.tid where a.tid not in (select tid from near) group by all),
+  most as (select tid, coalesce(max(case when strand = '+' then n end), 0) as f, coalesce(max(case when strand = '-' then n end), 0) as r from shared group by tid)
+  select tid, strand from near union all select tid, case when f > r then '+' else '-' end from most where f <> r"""
