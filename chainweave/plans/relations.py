@@ -303,3 +303,25 @@ SQL["assigned_strands"] = _CODES.replace("q.seq = r.seq and q.strand = r.strand
     join ex x on x.tid = a.tid join ex y on y.tid = b.tid where a.tid not in (select tid from near) group by all),
   most as (select tid, coalesce(max(case when strand = '+' then n end), 0) as f, coalesce(max(case when strand = '-' then n end), 0) as r from shared group by tid)
   select tid, strand from near union all select tid, case when f > r then '+' else '-' end from most where f <> r"""
+#: Codes of the surroundings: for each locus of the other strand at most an s, an i and an x, a run behind a locus, and then the best of all.
+SQL["context_codes"] = _CODES + _LOCI + """,
+had as (select t.tid as qid, t.seq, t.strand, t.s, t.e, t.n, coalesce(code, 'u') as code from tx t left join best on qid = t.tid where t.dset = 'qry'),
+cp as (select h.qid, r.tid as rid, h.code as had, locus, h.n as qn, h.s as qs, h.e as qe, {'rid': r.tid, 'rn': r.n, 'rl': r.len} as ref, r.len as rl from had h join tx r on h.seq = r.seq and h.strand in ('+', '-') and r.strand in ('+', '-') and h.strand <> r.strand
+  and r.dset = 'ref' and h.s <= r.e and h.e >= r.s join loc on loc.tid = r.tid where h.code not in ('=', 'c', 'j', 'e', 'o')),
+sh as (select distinct qid, rid from cp join gi x on x.tid = qid join gi y on y.tid = rid where abs(x.a - y.a) <= 10 and abs(x.b - y.b) <= 10),
+ins as (select distinct qid, rid from cp join gi y on y.tid = rid where qs > y.a and qe < y.b),
+bs as (select qid, rid, sum(greatest(0, least(x.e, y.e) - greatest(x.s, y.s) + 1)) as n from cp join ex x on x.tid = qid join ex y on y.tid = rid group by all),
+cl as (select cp.qid, cp.locus, cp.qn, arg_min(ref, (-rl, cp.rid)) filter (sh.qid is not null) as s, arg_min(ref, (-rl, cp.rid)) filter (ins.qid is not null and had <> 'i') as i,
+    arg_min(ref, (-bs.n, cp.rid)) filter (bs.n > 0) as x, arg_min(ref, (-rl, cp.rid)) filter (bs.n = 0) as near
+  from cp left join sh on sh.qid = cp.qid and sh.rid = cp.rid left join ins on ins.qid = cp.qid and ins.rid = cp.rid join bs on bs.qid = cp.qid and bs.rid = cp.rid group by all),
+lone as (select *, unnest(case when strand = '.' then ['+', '-'] else [strand] end) as side from had where n = 1 and code = 'u'),
+behind as (select l.qid, l.n as qn, rep as rid, row_number() over (partition by l.qid order by side, case when side = '+' then -lt.s else lt.s end, lt.locus) as k from lone l join lt on lt.dset = 'ref' and lt.seq = l.seq and lt.strand = l.side
+  and case when side = '+' then lt.e between l.s - 1999 and l.s + 5 and lt.s <= l.e else lt.s between l.e + 1 and l.e + 2000 end),
+more as (select qid, rid, code, rank, ovlen, njm, qn, rn, rl from ranked
+  union all select qid, s.rid, 's', 16, 0, 0, qn, s.rn, s.rl from cl where s is not null union all select qid, i.rid, 'i', 20, 0, 0, qn, i.rn, i.rl from cl where i is not null
+  union all select qid, coalesce(x, near).rid, 'x', 18, 0, 0, qn, coalesce(x, near).rn, coalesce(x, near).rl from cl where s is null and i is null
+  union all select qid, behind.rid, 'p', 90, 0, 0, qn, tx.n, tx.len from behind join tx on tx.tid = behind.rid where k = 1),
+first_ as (select * from (select *, row_number() over (partition by qid order by rank, case when qn = 1 and rn > 1 then 1 else 0 end, case when qn > 1 then -njm else 0 end, -ovlen,
+    case when rank < 14 then abs(rn - qn) else 0 end, case when rank < 14 then rn else -rn end, -rl, rid) as k from more) where k = 1)
+select t.tid as qid, rid, coalesce(code, 'u') as code, cast(coalesce(rank, 94) as int) as rank, coalesce(ovlen, 0) as ovlen, cast(coalesce(njm, 0) as int) as njm, cast(t.n as int) as qn, cast(rn as int) as rn, rl as rlen
+from tx t left join first_ on qid = t.tid where t.dset = 'qry'"""
