@@ -490,3 +490,51 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     items.limit(0).write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_shards_by_brute_force(spark):
+    """Each row is in the shard that holds the middle of its bytes, in order of doc_id."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    sizes = sorted((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in rows)
+    total, at, want, slots = sum(s for *_, s in sizes), 0, {}, collections.Counter()
+    for i, crc, size in sizes:
+        shard = min(23, (2 * at + size) * 24 // (2 * total))
+        want[i] = (size, crc, "bytes", shard, slots[shard], None)
+        slots[shard] += 1
+        at += size
+    got = {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in sharding.op10_shards(spark, SF).collect()}
+    assert got == want and len(slots) == 24
+
+
+def test_mix_plan_by_brute_force(spark):
+    """Earliest deadline first at every slot: releases and deadlines follow from the square root of a source's rows, until one runs out."""
+    from fractions import Fraction
+
+    rows = mixing.op9_mix_plan(spark, SF).collect()
+    n = collections.Counter(r.source for r in rows)
+    share = {s: Fraction(k**0.5).limit_denominator(10**6) for s, k in n.items()}
+    left, done, began, slot, want = dict(n), collections.Counter(), 0, 0, {}
+    while left:
+        total = sum(share[s] for s in left)
+        own = {s: share[s] / total for s in left}
+        start = dict(done)
+        while True:
+            open_ = []
+            for s in left:
+                i = done[s] - start.get(s, 0)
+                release, deadline = began + int(i / own[s]), began + -int(-(i + 1) // own[s])
+                if release <= slot:
+                    open_.append((deadline, "-" if s is None else "+" + s, s, release))
+            deadline, _, s, release = min(open_)
+            want[s, done[s]] = (slot, release, deadline)
+            assert release <= slot < deadline
+            done[s] += 1
+            slot += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                began = slot
+                break
+    # on this table a block is one row
+    assert {(r.source, r.block): (r.slot, r.release, r.deadline) for r in rows} == want and sorted(r.position for r in rows) == list(range(len(rows)))
+    assert all(r.position == r.slot for r in rows)
