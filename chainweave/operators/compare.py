@@ -49,6 +49,21 @@ def novel_junctions(introns: DataFrame) -> DataFrame:
     return q.join(met, [*KEY, "s", "e"], "left_semi").join(r.select(*KEY, F.col("s2").alias("s"), F.col("e2").alias("e")), [*KEY, "s", "e"], "left_anti")
 
 
+def missed_references(t: DataFrame, reach: int = 100) -> DataFrame:
+    """(tid, seq, strand) of references that no query matches."""
+    hit = transcript_matches(t, reach).select(F.col("rid").alias("tid"))
+    return t.where("dset = 'ref'").select("tid", *KEY).join(hit, "tid", "left_anti")
+
+
+def queries_apart(ex: DataFrame) -> DataFrame:
+    """(tid, strand, side, seq) of queries in loci that overlap no reference's locus; side is F, R or U for forward, reverse and unstranded."""
+    ex = stage_table(ex, "exons")
+    members = stage_table(loci(ex), "loci")
+    met = locus_links(ex, members).select(F.col("qlocus").alias("locus")).distinct()
+    out = members.where("dset = 'qry'").join(met, "locus", "left_anti")
+    return out.select("tid", "strand", F.expr("case strand when '+' then 'F' when '-' then 'R' else 'U' end").alias("side"), "seq")
+
+
 def base_counts(ex: DataFrame) -> DataFrame:
     """(seq, tp, q, r): bases of the unions of queries and references and of what they share."""
     u = islands(ex, ["dset", *KEY])

@@ -18,7 +18,7 @@ KEY = ["seq", "strand"]
 def exon_islands(ex: DataFrame, by: list[str]) -> DataFrame:
     """(tid, island, *by, s, e: of the island) of every transcript's exons; exons of one island overlap through others."""
     u = islands(ex, by)
-    u = u.select(*by, F.xxhash64(*by, "s").alias("island"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    u = u.select(*by, F.struct(*by, "s").alias("island"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     return range_join(ex, u, by).select("tid", *by, "island", F.col("s2").alias("s"), F.col("e2").alias("e")).distinct()
 
 

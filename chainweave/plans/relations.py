@@ -175,7 +175,16 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.accuracy(_transcripts(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (class_codes, code_histogram, loci, locus_table, locus_links, superloci, extended_loci, chain_matches, transcript_matches, locus_level, tmap, refmap, context_codes, cross_strand_pairs, assigned_strands, novel_junctions, self_overlap, queries_overlapping, contained_chains, sample_matrix, sequence_summary, accuracy)}
+def missed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.missed_references(_transcripts(spark, sf_dir))
+
+
+def queries_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries whose locus overlaps no reference's."""
+    return compare.queries_apart(exons(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (missed_references, queries_apart, class_codes, code_histogram, loci, locus_table, locus_links, superloci, extended_loci, chain_matches, transcript_matches, locus_level, tmap, refmap, context_codes, cross_strand_pairs, assigned_strands, novel_junctions, self_overlap, queries_overlapping, contained_chains, sample_matrix, sequence_summary, accuracy)}
 
 _EX = "with recursive ex as (" + EXONS_SQL.format(lineitem="lineitem", orders="orders") + """),
 tx as (select tid, dset, seq, strand, min(s) as s, max(e) as e, count(*) as n, cast(sum(e - s + 1) as bigint) as len from ex group by all),
@@ -325,3 +334,5 @@ first_ as (select * from (select *, row_number() over (partition by qid order by
     case when rank < 14 then abs(rn - qn) else 0 end, case when rank < 14 then rn else -rn end, -rl, rid) as k from more) where k = 1)
 select t.tid as qid, rid, coalesce(code, 'u') as code, cast(coalesce(rank, 94) as int) as rank, coalesce(ovlen, 0) as ovlen, cast(coalesce(njm, 0) as int) as njm, cast(t.n as int) as qn, cast(rn as int) as rn, rl as rlen
 from tx t left join first_ on qid = t.tid where t.dset = 'qry'"""
+SQL["missed_references"] = _EX + _MATCH_ALL + "select tid, seq, strand from tx where dset = 'ref' and tid not in (select rid from am)"
+SQL["queries_apart"] = _EX + _LOCI + "select tid, strand, case strand when '+' then 'F' when '-' then 'R' else 'U' end as side, seq from loc where dset = 'qry' and locus not in (select qlocus from links)"
