@@ -32,10 +32,10 @@ from chainweave.session import read_table, stage_table
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Bytes of text of a block of documents; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 14 << 20
 #: Bytes of text that are cut, and segments that are composed, at a time.
 PART_BYTES, PART_SEGMENTS = 1 << 20, 1 << 18
-#: Blocks whose places of a segment are kept in one row: 48 GB of text. A segment is aligned once for each so many.
+#: Blocks whose places of a segment are kept in one row: 56 GB of text. A segment is aligned once for each so many.
 LISTED_BLOCKS = 4096
 #: Id pairs up to which their counts are broadcast (20 bytes each); beyond it they are joined.
 MAX_BROADCAST_PAIRS = 1 << 20
@@ -266,11 +266,11 @@ def _compose(blocks: pa.Table, segs: pa.Table) -> pa.Table:
     order = np.argsort(segs.column("pos").to_numpy())
     segs = segs.take(pa.array(order))
     groups = segs.column("groups").combine_chunks().cast(pa.large_string())
+    ok, groups = groups.is_valid().to_numpy(zero_copy_only=False), groups.fill_null("")
     per = {c: segs.column(c).to_numpy() for c in ("n_a", "n_best", "count_sum")}
     per["n_groups"] = pc.add(pc.count_substring(groups, ";"), 1).to_numpy(zero_copy_only=False)
     # a group has one token of either side, and one more for each comma
     per["n_b"] = pc.count_substring(groups, ",").to_numpy(zero_copy_only=False) + 2 * per["n_groups"] - per["n_a"]
-    ok = segs.column("ok").to_numpy()
     for r in range(blocks.num_rows):
         all_words = from_planes(blocks.column("words")[r].as_py())
         all_ends, ids = np.array(blocks.column("ends")[r].values), blocks.column("doc_id")[r].values
@@ -331,7 +331,8 @@ def align_documents(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE
         sums = keyed_join(each.where("ok").select("id", F.inline("links")), pairs, ["a", "b"], "m", total)
         sums = sums.groupBy("id").agg(F.sum(F.col("k") * F.col("best")).alias("n_best"), F.sum(F.col("k") * F.col("c")).alias("count_sum"))
         scored = each.join(sums, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
-    shipped = scored.select(F.inline("places"), "ok", "n_a", "n_best", "count_sum", "groups")
+    # a segment that can't be aligned has no groups
+    shipped = scored.select(F.inline("places"), "n_a", "n_best", "count_sum", F.expr("if(ok, groups, null)").alias("groups"))
     out = blocks.select("block", "doc_id", "ends", "words").groupBy("block").cogroup(shipped.groupBy("block")).applyInArrow(_compose, DOCUMENT)
     return out.unionByName(none)
 
