@@ -10,8 +10,6 @@ from chainweave.sources.annotation import MAX_SPAN, decoded
 
 #: Attributes that only number exons.
 NUMBERING = ("exon_id", "exon_number")
-_PAIRS = "cast(array() as array<struct<k:string,v:string>>)"
-
 
 def attributes(info: Column) -> Column:
     """All attributes of a line as a map. GFF3 has ``key=value``, GTF ``key "value"`` (a value without quotes counts too); of a key that comes
@@ -70,11 +68,11 @@ def attribute_table(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parted_ids(features: DataFrame, reach: int = MAX_SPAN) -> DataFrame:
-    """features in which an id that is used again more than ``reach`` bases on, or on the other strand, is an id of its own.
+    """features in which an id that is used again more than ``reach`` bases on is an id of its own.
 
     Lines of one id (a transcript's own, and its parts' by their parent) are taken by place on a sequence; where the next one
     starts farther than ``reach`` behind the end of all before it, another record begins. The first keeps its
-    id, those behind it get ``id.2`` and so on. Unstranded lines go with either strand's.
+    id, those behind it get ``id.2`` and so on.
     """
     # a part belongs to a transcript's id by its parent; transcripts themselves and genes by their own
     record = F.when(F.col("kind").isin("transcript", "gene"), F.col("id")).otherwise(F.col("parent"))
@@ -82,10 +80,8 @@ def parted_ids(features: DataFrame, reach: int = MAX_SPAN) -> DataFrame:
     by = ["dset", "seq", "_kind", "_record"]
     w = Window.partitionBy(*by).orderBy("s", "e", "strand")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("strand") != ".", F.col("strand")), ignorenulls=True).over(before)
-    # a stretch of one strand over another of the same id
     far = F.col("s") - F.max("e").over(before) > reach
-    f = f.withColumn("_new", F.coalesce(far, F.lit(False)).cast("int")).withColumn("_turn", F.coalesce((F.col("strand") != ".") & (seen != F.col("strand")), F.lit(False)))
+    f = f.withColumn("_new", F.coalesce(far, F.lit(False)).cast("int"))
     f = f.withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     named = lambda c: F.when(F.col("_record").isNotNull() & (F.col("_part") > 0), F.concat(c, F.lit("."), (F.col("_part") + 1).cast("string"))).otherwise(F.col(c))
     own = F.col("kind").isin("transcript", "gene")
