@@ -30,8 +30,8 @@ def _kept(q: DataFrame) -> DataFrame:
 def sample_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query and the one of its sample that stands for it: equal chains or matching single exons, and the same where it must lie within."""
     q, _ = _sets(spark, sf_dir)
-    inside = samples.deduplicated(q, contain=True).select("tid", F.col("into").alias("into_holder"))
-    return samples.deduplicated(q).join(inside, "tid")
+    inside = samples.deduplicated(q, contain=True).select("tid", F.col("into").alias("held_by"))
+    return samples.deduplicated(q).withColumnRenamed("into", "stays_as").join(inside, "tid")
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ eq as (select tid, min(o) as head from rc group by tid union all select tid, min
 """
 
 SQL = {
-    "sample_duplicates": _EX + _DEDUP + _HOLDER + "select sample, dup.tid, dup.into_ as into, hold.into_ as into_holder from dup join hold using (tid) join qs using (tid)",
+    "sample_duplicates": _EX + _DEDUP + _HOLDER + "select sample, dup.tid, dup.into_ as stays_as, hold.into_ as held_by from dup join hold using (tid) join qs using (tid)",
     "tracking": _CODES + _DEDUP + _EQUAL + f""",
       mem as (select head, kq.*, row_number() over (partition by head order by len desc, sample, tid) as a, row_number() over (partition by head order by sample, s, e, tid) as b from kq join eq using (tid)),
       rep as (select head, max(case when a = 1 then tid end) as tid, max(case when a = 1 then n end) as n, max(case when a = 1 then len end) as len, count(distinct sample) as n_samples, max(case when b = 1 then tid end) as first_,
