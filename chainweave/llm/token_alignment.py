@@ -216,6 +216,7 @@ def _aligner(a_path: str, b_path: str, step: int = 2048):
                 rows = [aligned(s, x, y, bytes_a, bytes_b) for s, x, y in zip(segs, ids_a, tb.encode(segs, num_threads=1))]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([*cols, part.column(1), part.column(2)], names=["ok", "n_a", "groups", "links", "n", "places"])
+            pa.default_memory_pool().release_unused()  # the worker is kept for other tasks
 
     return run
 
@@ -238,6 +239,7 @@ def _scorer(shared: Broadcast):
                 total = np.concatenate([[0], np.cumsum(k * x[at])]) if len(keys) else np.zeros(ends[-1] + 1, dtype=np.int64)
                 sums.append(pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()))
             yield pa.RecordBatch.from_arrays([*[col[c] for c in SCORED[:4]], *sums], names=SCORED)
+            pa.default_memory_pool().release_unused()
 
     return run
 
