@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chainweave.operators.classify import ORDER, RANK, best_codes, prepared, with_codes
 from chainweave.operators.intervals import range_join
+from chainweave.session import stage_table
 
 #: Bases between a locus and a polymerase run, bases that both may share, and how far ends of shadowed introns may lie apart.
 RUN_REACH, RUN_SHARED, SHADOW = 2000, 6, 10
@@ -91,11 +92,14 @@ def class_codes(queries: DataFrame, refs: DataFrame, ref_loci: DataFrame | None
     rows = candidates(queries, refs)
     every = queries.select(F.col("tid").alias("qid"), F.size("exons").alias("qn"))
     if ref_loci is not None:
+        rows = stage_table(rows, "candidates")  # the joins below ask for it many times
         same = best_codes(rows)
         had = every.join(same.select("qid", "code"), "qid", "left").select("qid", F.coalesce("code", F.lit("u")).alias("code"))
+        had = stage_table(had, "codes")
         spans = ref_loci.select("seq", "strand", "locus", "ls", "le", "rep").distinct().select("seq", "strand", "locus", F.col("ls").alias("s"), F.col("le").alias("e"), "rep")
         r = prepared(refs).select(F.col("t.id").alias("rid"), F.col("t.n").alias("rn"), F.col("t.len").alias("rlen"), F.expr("t.ce > 0").alias("rcds"))
         runs = polymerase_runs(queries, spans, had).join(spans.select("locus", F.col("rep").alias("rid")), "locus").join(r, "rid").join(every, "qid")
+        runs = stage_table(runs, "runs")
         rows = rows.unionByName(cross_strand(queries, refs, ref_loci.select("tid", "locus"), had)).unionByName(added(runs, "p"))
         if sequence is not None:
             low = repeats(queries, sequence, had).join(runs.select("qid"), "qid", "left_anti").join(every, "qid")
