@@ -162,10 +162,9 @@ def _small(df: DataFrame, size: Column, limit: int) -> DataFrame:
 
 
 def _documents_with(rows: DataFrame, terms: DataFrame, units: Callable[[Column], Column], limit: int) -> DataFrame:
-    """(term, dt) of the wanted terms over all documents."""
-    own = rows.select(F.explode(units(F.coalesce("text", F.lit("")))).alias("term"))
-    wanted = _small(terms, F.octet_length("term") + 24, limit)
-    return own.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("dt"))
+    """(term, dt) of the wanted terms (distinct) over all documents: counted first, so that the join meets each term once."""
+    dt = rows.select(F.explode(units(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("dt"))
+    return dt.join(_small(terms, F.octet_length("term") + 24, limit), "term")  # a semi join would be moved below the counts
 
 
 def _telling(joint: DataFrame, entities: DataFrame, terms: DataFrame, total: int) -> DataFrame:

@@ -220,3 +220,15 @@ def test_digest(spark):
     got = {r.doc_id: r for r in token_alignment.op13_token_alignment(spark, sf).collect()}
     whole = {r.doc_id: r.groups for r in token_alignment.align_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert {i: r.groups_sha256 for i, r in got.items()} == {i: hashlib.sha256(g.encode()).hexdigest() if g else "" for i, g in whole.items()}
+
+
+def test_terms_are_counted_before_they_meet(spark):
+    # 400 documents that all hold the 5 wanted terms: a join of documents' words with them would make 2,000 rows
+    rows = spark.createDataFrame([(i, "call alpha beta gamma delta " + "word" * (i % 3)) for i in range(400)], "uid long, text string")
+    terms = spark.createDataFrame([(t,) for t in ("call", "alpha", "beta", "gamma", "delta")], "term string")
+    for limit in (pii.MAX_BROADCAST_BYTES, 0):
+        got = pii._documents_with(rows, terms, pii._words, limit)
+        assert {(r.term, r.dt) for r in got.collect()} == {(t, 400) for t in ("call", "alpha", "beta", "gamma", "delta")}
+        lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        at = {k: [i for i, x in enumerate(lines) if k in x] for k in ("Join", "Aggregate")}
+        assert at["Join"] and max(at["Join"]) < min(at["Aggregate"])
