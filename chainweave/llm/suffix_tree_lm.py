@@ -34,7 +34,7 @@ from chainweave.session import read_table, release, stage_table
 DEPTH, LEAST_CONTEXT, LEAST_ENTRY, SMOOTH = 2, 32, 2, 20.0
 LOCAL_SHARE = 4e-6
 #: Hash ranges of counts and weights; tokens counted, and answers added up, at once; documents asked for at once.
-BUCKET_BITS, FLUSH, PART_DOCS = 12, 4_000_000, 60_000
+BUCKET_BITS, FLUSH, PART_DOCS = 12, 1_500_000, 60_000
 END = bw.mix(np.array([0x656E64], dtype=np.uint64))[0]
 FOLD = bw.U(0xD6E8FEB86659FD93)
 LEFT = bw.U(0x5851F42D4C957F2D)
@@ -69,7 +69,7 @@ COUNTED = "bucket int, a binary, b binary, n binary"
 
 def packed(bucket: np.ndarray, cols: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     """One row for each bucket that occurs, with its values of every column as bytes."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")  # by counting, as buckets are few
     at = bucket[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, dtype=np.int64)
     ends = np.append(first, len(at))
@@ -135,6 +135,8 @@ def pair_counts(train: DataFrame, pairs) -> DataFrame:
                     least = max(FLUSH, 2 * size)
         if held:
             yield rows(*settle())
+            held = []
+        bw.give_back()
 
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = train.select("text").mapInArrow(count, COUNTED).repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -271,7 +273,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
         words, is_word, value = near.value
         done = 0
         for batch in batches:
-            for i, j, buf, off in bw.pieces(batch, limit=4 << 20):
+            for i, j, buf, off in bw.pieces(batch, limit=2 << 20):
                 for lo in range(0, j - i, PART_DOCS):
                     cut = off[lo : lo + PART_DOCS + 1]
                     m = len(cut) - 1
@@ -294,6 +296,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                     n = p.num_rows
                     cols = [p.column(0), pa.array(np.ones(n, dtype=np.int32)), pa.array(np.full(n, part)), p.column(1), p.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))]
                     yield pa.RecordBatch.from_arrays(cols, names=["bucket", "side", "part", "a", "b", "c", "ids", "held"])
+                bw.give_back()
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,8 +354,11 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
+                    bw.give_back()
         if size:
             yield flush()
+            held = []
+        bw.give_back()
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     size = tree.n + 0.5 * (tree.v + 1)

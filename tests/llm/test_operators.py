@@ -5,12 +5,14 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainweave.llm import chat, collinear, decontaminate, language, mixing, ngram_join, queries, sharding, spotsigs, suffix_dedup, suffix_tree_lm
+from chainweave.llm import bytewords, chat, collinear, decontaminate, language, mixing, ngram_join, queries, sharding, spotsigs, suffix_dedup, suffix_tree_lm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -202,6 +204,20 @@ def test_suffix_tree_by_brute_force(spark, docs, empty):
     assert {x.train_tokens for x in none} == {0} and suffix_tree_lm.score(empty.selectExpr("doc_id", "text", "true as held_out"), tree).count() == 0
 
 
+def test_memory_goes_back():
+    """What a task has freed doesn't stay with the worker; a bucket's values keep their order."""
+    taken = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    before = taken()
+    held = [np.ones(12_000) for _ in range(2000)]
+    most = taken()
+    del held
+    bytewords.give_back()
+    assert most - before > 100 << 20 and taken() - before < (most - before) / 4
+    key = np.arange(50_000, dtype=np.uint64)
+    got = suffix_tree_lm.packed(suffix_tree_lm.bucket_of(key), [key], ["a"])
+    assert all((np.diff(np.frombuffer(x.as_py(), dtype=np.uint64).astype(np.int64)) > 0).all() for x in got.column(1))
+
+
 def test_suffix_tree_gain(spark):
     """On held-out documents the tree is better than single words, and it has more states where there is more text."""
     sizes = []
