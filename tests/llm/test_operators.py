@@ -377,6 +377,17 @@ def test_parts_read_back(spark):
     assert chat.format_chat(spark.createDataFrame([], f"conv_id long, turn long, role string, parts {chat.PART}")).count() == 0
 
 
+def test_fuzzy_passages_among_fragments(spark):
+    """Two documents share a fuzzy passage; 60 earlier and later ones hold 20 words of it each, and so all that leaders see."""
+    p = words(61, 60, 10**6).split()
+    changed = [f"c{k}" if k % 10 == 4 else w for k, w in enumerate(p)]
+    own = lambda i: words(8000 + i, 70, 10**6).split()
+    rows = [(i if i < 30 else 500 + i, " ".join([*own(i), *p[at : at + 20], *own(100 + i)])) for i in range(60) for at in [(i * 7) % 41]]
+    rows += [(200 + i, " ".join([*own(200 + i), *q, *own(300 + i)])) for i, q in enumerate((p, changed))]
+    got = collinear.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.other_id) for x in got} == {(201, 200)} and all(x.n_words >= 50 and x.identity >= 0.8 for x in got)
+
+
 def test_mix_of_small_weights(spark, docs):
     got = mixing.mix(docs, {"s0": 1e-9, "s1": 1.0}).collect()
     assert sorted(r.position for r in got) == list(range(11))
