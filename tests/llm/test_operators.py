@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,29 @@ def test_memory_goes_back():
     assert all((np.diff(np.frombuffer(x.as_py(), dtype=np.uint64).astype(np.int64)) > 0).all() for x in got.column(1))
 
 
+def test_weights_by_bucket():
+    """A bucket's weights are few rows however many batches they come in, and every one is found again where it was put."""
+    r = np.random.default_rng(3)
+    key = r.integers(0, 2**64, 100_000, dtype=np.uint64)
+    cols = [key.view(np.int64), r.random(len(key)) < 0.5, r.random(len(key))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 5000]) for c in cols], names=["key", "word", "value"]) for i in range(0, len(key), 5000)]
+    got = list(suffix_tree_lm.weight_rows(iter(batches)))
+    assert sum(b.num_rows for b in got) <= 1 << suffix_tree_lm.BUCKET_BITS  # twenty times as many before
+    assert (np.diff(np.concatenate([b.column(0).to_numpy() for b in got])) > 0).all()
+    back = [np.concatenate([suffix_tree_lm.joined(b.column(c), 0, b.num_rows, k) for b in got]) for c, k in ((3, np.uint8), (4, np.float64), (5, np.bool_))]
+    put = suffix_tree_lm.within(key)
+    as_put = np.argsort(suffix_tree_lm.bucket_of(key), kind="stable")
+    assert (suffix_tree_lm.widened(back[0]) == put[as_put]).all() and (back[1] == cols[2][as_put]).all() and (back[2] == cols[1][as_put]).all()
+    table = np.sort(np.append(key, np.array([0, 1, 2, 2**64 - 2, 2**64 - 1], dtype=np.uint64)))
+    asked = np.append(table[::7], r.integers(0, 2**64, 50_000, dtype=np.uint64))
+    for some in (table, table[:1], table[:0]):
+        hit, at = suffix_tree_lm.spots(some, suffix_tree_lm.firsts(some), asked)
+        assert (hit == np.isin(asked, some)).all() and (some[at] == asked[hit]).all()
+    third = got[0].slice(2, 1)
+    inside = suffix_tree_lm.bucket_of(key) == third.column(0)[0].as_py()
+    assert (suffix_tree_lm.widened(suffix_tree_lm.joined(third.column(3), 0, 1, np.uint8)) == put[inside]).all()
+
+
 def test_suffix_tree_gain(spark):
     """On held-out documents the tree is better than single words, and it has more states where there is more text."""
     sizes = []
