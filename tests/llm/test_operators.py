@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chainweave import session
 from chainweave.llm import bytewords, chat, collinear, decontaminate, language, mixing, ngram_join, queries, sharding, spotsigs, suffix_dedup, suffix_tree_lm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -291,6 +293,20 @@ def test_passages(spark, docs, empty):
     assert collinear.passages(empty).count() == 0
 
 
+def test_staging_leaves_no_shuffle_files(spark):
+    """What a tidily staged table was shuffled by is dropped when it is written, and the session's setting stays as it was."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    shuffled = lambda: {f for f in files() if "/shuffle_" in f}
+    was, before = spark.conf.get(session.CLEANUP), shuffled()
+    table = session.stage_table(spark.range(10_000).repartition(4, "id"), "some", tidy=True)
+    end = time.monotonic() + 10
+    while shuffled() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(session.CLEANUP) == was
+    assert table.count() == 10_000
+    session.release(table)
+
+
 def test_passages_among_fragments(spark):
     """Documents that hold a whole passage meet, although many others hold parts of it only; so do rows without doc_id and equal texts."""
     p = words(50, 60, 10**6).split()
