@@ -605,3 +605,34 @@ def test_mix_plan_by_brute_force(spark):
     # on this table a block is one row
     assert {(r.source, r.block): (r.slot, r.release, r.deadline) for r in rows} == want and sorted(r.position for r in rows) == list(range(len(rows)))
     assert all(r.position == r.slot for r in rows)
+
+
+def test_seeds_once_and_outside_spans(spark):
+    """A hot seed that came twice counts once, and seeds inside a found span no longer ask."""
+    row = lambda doc, pos, asks: (1000 * doc + pos, doc, pos, True, asks)
+    rows = [row(d, p, d > 1) for d in (1, 2) for p in range(20)] + [row(2, p, True) for p in range(5)] + [row(3, p, True) for _ in range(3) for p in range(3)]
+    shared = spark.createDataFrame(rows, collinear.SEED)
+    got = sorted((r.doc, r.pos, r.asks) for r in collinear.dense_rows(shared).collect())
+    assert got == [(d, p, d > 1) for d in (1, 2) for p in range(20)]
+    found = spark.createDataFrame([(2, 0, 12), (2, 3, 9), (7, 0, 99)], "uid long, start int, end int")
+    got = sorted((r.doc, r.pos, r.asks) for r in collinear.dense_rows(shared, found).collect())
+    assert got == [(d, p, d > 1 and p > 8) for d in (1, 2) for p in range(20)]
+
+
+def test_pairs_of_a_batch_as_one_by_one():
+    """Alignments of long and short texts in one table, and what may share a passage, as by plain loops."""
+    r = np.random.default_rng(3)
+    pairs = []
+    for k in range(60):
+        x = r.integers(0, 2**32, int(r.choice([50, 90, 200, 700])), dtype=np.uint32)
+        y = x.copy()
+        y[r.random(len(y)) < r.choice([0.0, 0.1, 0.3, 0.9])] = 7
+        y = np.delete(y, r.integers(0, len(y), k % 7))
+        pairs.append((x, np.concatenate([y, r.integers(0, 2**32, int(r.integers(0, 30)), dtype=np.uint32)])))
+    plain = [collinear.longest_part(x, y, 0.8) for x, y in pairs]
+    assert [(min(p[1] - p[0], p[3] - p[2]), p[4]) for p in collinear.longest_parts(pairs, 0.8)] == [(min(p[1] - p[0], p[3] - p[2]), p[4]) for p in plain]
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    may = collinear.may_hold(x, y, np.cumsum(n) - n, n, np.cumsum(m) - m, m, 50, 0.8)
+    holds = np.array([min(p[1] - p[0], p[3] - p[2]) >= 50 for p in plain])
+    assert may[holds].all() and not may.all() and holds.any()
