@@ -636,3 +636,10 @@ def test_pairs_of_a_batch_as_one_by_one():
     may = collinear.may_hold(x, y, np.cumsum(n) - n, n, np.cumsum(m) - m, m, 50, 0.8)
     holds = np.array([min(p[1] - p[0], p[3] - p[2]) >= 50 for p in plain])
     assert may[holds].all() and not may.all() and holds.any()
+
+
+def test_pairs_need_seeds_with_those_of_many_places(spark):
+    """A pair's places in b count once each, and with b's seeds of many places; only pairs of LEAST_SEEDS are chained."""
+    rows = [(1, 2, p, p, 0) for p in range(7)] + [(1, 3, p, p, 0) for p in range(6)] + [(1, 4, p, p, 1) for p in range(6)] + [(1, 5, p, 3, 5) for p in range(9)]
+    got = collinear.chain_rows(spark.createDataFrame(rows, "a long, b long, pa int, pb int, h int"), least=collinear.K).collect()
+    assert {(r.b, r.b0, r.b1) for r in got} == {(2, 0, 10), (4, 0, 9)}
