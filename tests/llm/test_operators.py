@@ -643,3 +643,13 @@ def test_pairs_need_seeds_with_those_of_many_places(spark):
     rows = [(1, 2, p, p, 0) for p in range(7)] + [(1, 3, p, p, 0) for p in range(6)] + [(1, 4, p, p, 1) for p in range(6)] + [(1, 5, p, 3, 5) for p in range(9)]
     got = collinear.chain_rows(spark.createDataFrame(rows, "a long, b long, pa int, pb int, h int"), least=collinear.K).collect()
     assert {(r.b, r.b0, r.b1) for r in got} == {(2, 0, 10), (4, 0, 9)}
+
+
+def test_pairs_by_bytes_of_words_lose_none():
+    """Looking at the last byte of words leaves every pair that whole words leave, and drops pairs without seeds in common."""
+    r = np.random.default_rng(4)
+    pairs = [(x, np.where(r.random(len(x)) < k % 10 / 10, r.integers(0, 2**32, len(x), dtype=np.uint32), x)) for k in range(50) for x in [r.integers(0, 2**32, 50 + 3 * k, dtype=np.uint32)]]
+    n = np.array([len(x) for x, _ in pairs])
+    x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    whole, by_byte = (collinear.may_hold(x.astype(t), y.astype(t), np.cumsum(n) - n, n, np.cumsum(n) - n, n, 50, 0.8) for t in (np.uint32, np.uint8))
+    assert whole.any() and not by_byte.all() and not (whole & ~by_byte).any()
