@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from chainweave.functions import intervals as fx
 from chainweave.operators import compare
-from chainweave.operators.intervals import islands, range_join
+from chainweave.operators.intervals import islands, met_by, range_join
 from chainweave.plans import relations, samples
 from chainweave.plans.testbed import EXONS_SQL, exons, transcripts
+from chainweave.session import stage_table
 
 KEY = ["seq", "strand"]
 EX = "with recursive ex as (" + EXONS_SQL.format(lineitem="lineitem", orders="orders") + """),
@@ -110,9 +111,9 @@ def dedupe_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of queries and references that overlap on one strand: pairs and bases by sequence."""
-    t = tx_summary(spark, sf_dir)
-    q, r = t.where("dset = 'qry'").select(*KEY, "s", "e"), t.where("dset = 'ref'").select(*KEY, F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return range_join(q, r, KEY).groupBy(*KEY).agg(F.count("*").alias("pairs"), F.sum(fx.overlap_len("s", "e", "s2", "e2")).alias("bases"))
+    t = stage_table(tx_summary(spark, sf_dir).select("dset", *KEY, "s", "e"), "spans", tidy=True)
+    met = met_by(t.where("dset = 'qry'"), t.where("dset = 'ref'"), KEY)
+    return met.groupBy(*KEY).agg(F.sum(F.expr("m * n")).alias("pairs"), F.sum(F.expr("m * bases")).alias("bases"))
 
 
 def refs_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
