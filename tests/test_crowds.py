@@ -57,3 +57,72 @@ def test_class_codes_hold_equal_transcripts_once(spark, monkeypatch):
     got = context.class_codes(q, r).collect()
     assert sum(seen) < 1000
     assert len(got) == 1800 and {(x.code, x.rid, x.qid // 4000) for x in got} == {("=", 20000, 0), ("c", 20000, 1), ("n", 20000, 2)}
+
+
+
+def test_met_by_counts_without_pairs(spark):
+    from chainweave.operators.intervals import met_by
+
+    r = random.Random(3)
+    a, b = ([("c", s, s + r.choice([0, 3, 40, 900])) for s in (r.randrange(5, 4000, 7) for _ in range(n))] for n in (120, 150))
+    t, u = (spark.createDataFrame(x, "seq string, s long, e long") for x in (a, b))
+    for piece in (64, 1 << 16):
+        got = {(x.s, x.e): (x.m, x.n, x.bases) for x in met_by(t, u, ["seq"], piece).collect()}
+        both = {(s, e): [min(e, f) - max(s, d) + 1 for _, d, f in b if s <= f and e >= d] for _, s, e in a}
+        assert got == {k: (a.count(("c", *k)), len(v), sum(v)) for k, v in both.items() if v}
+    twice = met_by(t.withColumn("copies", t.s * 0 + 2), u, ["seq"]).collect()
+    assert {(x.s, x.e): x.m for x in twice} == {k: 2 * v[0] for k, v in got.items()}
+
+
+def test_span_counts_make_no_pairs(spark, monkeypatch):
+    from chainweave.plans import catalog, relations
+
+    sf = "/root/testdata/sf0.001"
+    want = {x: sorted(map(tuple, catalog.QUERIES[x](spark, sf).collect())) for x in ("overlap_pairs", "self_overlap", "queries_overlapping")}
+    t = catalog.tx_summary(spark, sf).collect()
+    q, r = ([x for x in t if x.dset == d] for d in ("qry", "ref"))
+    meet = lambda x, y: x.seq == y.seq and x.strand == y.strand and x.s <= y.e and x.e >= y.s
+    n = {x.tid: sum(meet(x, y) for y in r) for x in q}
+    assert want["queries_overlapping"] == sorted((k, v) for k, v in n.items() if v)
+    assert sum(x[2] for x in want["self_overlap"]) == sum(meet(x, y) and x.tid != y.tid for x in r for y in r)
+    assert sum(x[2] for x in want["overlap_pairs"]) == sum(n.values())
+    for module in (catalog, relations):
+        monkeypatch.setattr(module, "range_join", None, raising=False)
+    for x, rows in want.items():
+        assert sorted(map(tuple, catalog.QUERIES[x](spark, sf).collect())) == rows
+
+
+def test_containers_count_equal_transcripts_once(spark):
+    from chainweave.operators.best import containers
+
+    rows = crowd(4, 300) + [(tid + 1000, *x) for tid, *x in crowd(4, 300)]
+    x = [(t, s, e, tuple((a[1], b[0]) for a, b in zip(e, e[1:]))) for t, _, s, e, _, _ in rows]
+
+    def holds(q, r):
+        n, c, d = len(q[3]), q[3], r[3]
+        at = next((i for i in range(len(d) - n + 1) if d[i : i + n] == c), None)
+        return q[1] == r[1] and 0 < n < len(d) and at is not None and q[2][0][0] >= r[2][at][0] and q[2][-1][1] <= r[2][at + n][1]
+
+    want = {q[0]: n for q in x if (n := sum(holds(q, r) for r in x))}
+    got = {y.tid: y.n_containers for y in containers(spark.createDataFrame(rows, SCHEMA).select(*PLAIN)).collect()}
+    assert got == want and max(got.values()) > 2
+
+
+def test_cross_strand_counts(spark, monkeypatch):
+    monkeypatch.setattr(context, "BLOCK", 16)
+    monkeypatch.setattr(context, "span_pairs", None)  # no pair is made
+    q, r = crowd(5, 150), crowd(6, 150, 1000)
+    # introns of 6 bases that agree but for 10, in transcripts that don't overlap
+    q.append((900, "c", "+", [(50100, 50100), (50107, 50107)], None, None))
+    r.append((1900, "c", "-", [(50090, 50092), (50098, 50099)], None, None))
+    gaps = lambda x: [(a[1], b[0]) for a, b in zip(x[3], x[3][1:])]
+    want = {}
+    for a in q:
+        for b in r:
+            if {a[2], b[2]} == {"+", "-"} and a[3][0][0] <= b[3][-1][1] and a[3][-1][1] >= b[3][0][0]:
+                w = want.setdefault(a[2], [0, 0, 0])
+                w[0] += 1
+                w[1] += any(abs(x[0] - y[0]) <= 10 and abs(x[1] - y[1]) <= 10 for x in gaps(a) for y in gaps(b))
+                w[2] += any(a[3][0][0] > y[0] and a[3][-1][1] < y[1] for y in gaps(b))
+    got = context.cross_strand_counts(*(spark.createDataFrame(x, SCHEMA).select(*PLAIN) for x in (q, r))).collect()
+    assert {x.strand: [x.pairs, x.shadows, x.inside] for x in got} == want
