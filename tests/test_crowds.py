@@ -126,3 +126,70 @@ def test_cross_strand_counts(spark, monkeypatch):
                 w[2] += any(a[3][0][0] > y[0] and a[3][-1][1] < y[1] for y in gaps(b))
     got = context.cross_strand_counts(*(spark.createDataFrame(x, SCHEMA).select(*PLAIN) for x in (q, r))).collect()
     assert {x.strand: [x.pairs, x.shadows, x.inside] for x in got} == want
+
+
+def test_codes_of_the_other_strand_by_loops(spark):
+    q, r = crowd(7, 120), [(tid, seq, strand, x, cs, ce) for tid, seq, strand, x, cs, ce in crowd(8, 40, 1000)]
+    q += [(500 + i, "c", "+-"[i % 2], [(1170 + i, 1280)], None, None) for i in range(12)]
+    locus = {b[0]: b[0] % 5 if b[2] == "+" else 10 + b[0] % 5 for b in r}
+    had = {a[0]: "uimyn="[a[0] % 6] for a in q}
+    # equal transcripts have one code and one locus
+    for rows, of, key in ((q, had, lambda a: (a[2], tuple(a[3]), a[4])), (r, locus, lambda a: (a[2], tuple(a[3])))):
+        first = {}
+        for a in rows:
+            of[a[0]] = first.setdefault(key(a), of[a[0]])
+    gaps = lambda x: [(a[1], b[0]) for a, b in zip(x, x[1:])]
+    size = lambda x: sum(b - a + 1 for a, b in x)
+    want = []
+    for a in q:
+        if a[2] == "." or had[a[0]] == "=":
+            continue
+        s, e, x = a[3][0][0], a[3][-1][1], a[3]
+        for lo in set(locus.values()):
+            met = [b for b in r if {a[2], b[2]} == {"+", "-"} and locus[b[0]] == lo and s <= b[3][-1][1] and e >= b[3][0][0]]
+            bases = {b[0]: sum(max(0, min(v[1], w[1]) - max(v[0], w[0]) + 1) for v in x for w in b[3]) for b in met}
+            longest = lambda some: min(some, key=lambda b: (-size(b[3]), b[0]), default=None)
+            sh = longest([b for b in met if any(abs(v[0] - w[0]) <= 10 and abs(v[1] - w[1]) <= 10 for v in gaps(x) for w in gaps(b[3]))])
+            ins = longest([b for b in met if had[a[0]] != "i" and any(s > w[0] and e < w[1] for w in gaps(b[3]))])
+            want += [(a[0], c, b[0]) for c, b in (("s", sh), ("i", ins)) if b]
+            if met and not sh and not ins:
+                on = [b for b in met if bases[b[0]]]
+                want.append((a[0], "x", (min(on, key=lambda b: (-bases[b[0]], b[0])) if on else longest(met))[0]))
+    t, u = (spark.createDataFrame(x, SCHEMA).select(*PLAIN) for x in (q, r))
+    loci, best = spark.createDataFrame(list(locus.items()), "tid long, locus long"), spark.createDataFrame(list(had.items()), "qid long, code string")
+    got = [(x.qid, x.code, x.rid) for x in context.cross_strand(t, u, loci, best).collect()]
+    assert sorted(got) == sorted(want) and {x[1] for x in got} == set("six")
+
+
+def test_loci_and_strands_hold_equal_transcripts_once(spark, monkeypatch):
+    from chainweave.operators import loci as lc
+
+    rows = crowd(9, 200)
+    t = spark.createDataFrame(rows, SCHEMA).select("tid", "seq", "strand", "exons").selectExpr("*", "if(tid % 2 = 1, 'qry', 'ref') as dset").cache()
+    parent = {x[0]: x[0] for x in rows}
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for a in rows:
+        for b in rows:
+            if a[2] == b[2] and (a[0] - b[0]) % 2 == 0 and any(v[0] <= w[1] and v[1] >= w[0] for v in a[3] for w in b[3]):
+                x, y = sorted((top(a[0]), top(b[0])))
+                parent[y] = x
+    _, some, every = lc.loci_of(t)
+    assert {x.tid: x.locus for x in every.collect()} == {x: top(x) for x in parent} and some.count() < len(rows)
+    chain = [(1000, 1100), (1300, 1400), (1700, 1800)]
+    q, r = copies(spark, chain, 600, strand="."), copies(spark, chain, 700, 20000, strand="-")
+    seen = counted(monkeypatch)
+    assert {tuple(x)[1] for x in context.assigned_strands(q, r).collect()} == {"-"} and sum(seen) < 1000
+
+
+def test_contained_and_equal_queries_are_listed(spark):
+    from chainweave.operators.best import equal_or_contained
+
+    q, r = (spark.createDataFrame(crowd(k, 200, 1000 * k), SCHEMA).cache() for k in (11, 12))
+    rows = context.candidates(q, r).cache()
+    best = classify.best_codes(rows).where("code = '='")
+    want = best.select("rid", "code", "qid").unionByName(rows.where("code = 'c'").join(best.select("qid"), "qid", "left_anti").select("rid", "code", "qid"))
+    got = sorted(map(tuple, equal_or_contained(q, r).select("rid", "code", "qid").collect()))
+    assert got == sorted(map(tuple, want.collect())) and {x[1] for x in got} == {"=", "c"}
